@@ -1,5 +1,74 @@
+"""A corpus pipeline: language ID, near-duplicates, benchmark decontamination, secrets, mixing.
+
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns the documents that go on, with the columns
+of ``documents``; the last one returns copies with their place in the mixture. ``run`` writes each stage's result as Parquet
+in the shared folder and reads it again for the next one.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ratestep.llm import decontaminate, langid, minhash_dedup, mixing, secrets
+from ratestep.runtime import Scratch
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known; those without a letter and those between two languages go."""
+    out = langid.identify(docs, langid.train(docs), keep=docs.columns)
+    return out.where((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("ambiguous")).select(*docs.columns)
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each group of near-duplicates; of rows that repeat an id, one."""
+    kept = minhash_dedup.near_duplicates(docs).where("kept").select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
+    out = docs.join(kept, "doc_id", "left_semi")
+    if not docs.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+
+
+def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.contamination(docs, items, keep=docs.columns).where(~F.col("contaminated")).select(*docs.columns)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret found replaced by a mark."""
+    found = secrets.find_secrets(docs, secrets.train(secrets.generated_samples(docs)), keep=docs.columns)
+    hit = F.size("found") > 0
+    text = secrets.redacted(F.col("text"), F.col("found"))
+    out = found.withColumn("text", text).withColumn("n_chars", F.when(hit, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies of the documents at the rates that bring the sources to their target shares, in one global order."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("language", languages),
+    ("near_duplicates", distinct_documents),
+    ("decontamination", clean_of_benchmarks),
+    ("secrets", without_secrets),
+    ("mixing", mixture),
+]
+
+#: SQL has neither the language model nor the Markov models; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        after = scratch.cut(out, name)
+        scratch.drop(docs)
+        docs = after
+    return docs

@@ -93,7 +93,7 @@ def item_blocks(items: DataFrame, item_col: str, text_col: str, max_chars: int)
     return [[(r.i, r.t) for r in known.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()] for k in range(n)]
 
 
-def _scanner(shared, key: str, size: int, id_col: str, text_col: str):
+def _scanner(shared, key: str, size: int, kept: list[str], text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _BUILT:
             _BUILT.clear()
@@ -111,8 +111,8 @@ def _scanner(shared, key: str, size: int, id_col: str, text_col: str):
                 who.append([ids[i] for i in items])
             pair = lambda x, y: pa.list_(pa.struct([(x, pa.int64()), (y, pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col), pa.array(n, pa.int64()), pa.array(runs, pair("first", "end")), pa.array(spans, pair("start", "end")), pa.array(who, pa.list_(pa.string()))],
-                [id_col, "n_words", "runs", "spans", "items"],
+                [*(batch.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(runs, pair("first", "end")), pa.array(spans, pair("start", "end")), pa.array(who, pa.list_(pa.string()))],
+                [*kept, "n_words", "runs", "spans", "items"],
             )
 
     return run
@@ -134,30 +134,35 @@ def contamination(
     size: int = 13,
     max_chars: int = 32_000_000,
     min_share: int = 20,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """A row for each row of ``docs``: its words, hit words, the items found, spans in the original text, and a verdict.
+    """A row for each row of ``docs``: ``keep`` (the id by default), its words, hit words, the items found, spans in the original text, and a verdict.
 
     A document is contaminated if ``min_share`` * n_hit >= n_words and n_hit > 0. Null and empty texts have no words. Items
     without words and items with a null id find nothing; items that repeat count once; an empty ``items`` table leaves
     every document clean. Items are held by every executor, in one automaton as long as their texts have no
     more than ``max_chars`` bytes. Larger sets are scanned in several passes of that size whose hits are joined by id;
-    that way needs distinct ids. Other columns, of whatever names, are not read.
+    that way needs distinct ids. Names in ``keep`` that clash with the added ones are replaced; other columns are not read.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     ensure_importable(spark)
-    shape = f"{id_col} {dict(docs.dtypes)[id_col]}, n_words long, runs array<struct<first:long,end:long>>, spans array<struct<start:long,end:long>>, items array<string>"
+    added = ("n_words", "n_hit", "n_items", "items_sha256", "spans", "items", "runs", "contaminated")
+    kept = [c for c in (keep or [id_col]) if c not in added]
+    kinds = dict(docs.dtypes)
+    shape = ", ".join(f"`{c}` {kinds[c]}" for c in kept)
+    shape += ", n_words long, runs array<struct<first:long,end:long>>, spans array<struct<start:long,end:long>>, items array<string>"
     blocks = item_blocks(items, item_col, item_text_col, max_chars)
     found = None
     for block in blocks:
         shared = spark.sparkContext.broadcast(block)
-        part = docs.select(id_col, text_col).mapInArrow(_scanner(shared, uuid.uuid4().hex, size, id_col, text_col), shape)
+        part = docs.select(*dict.fromkeys([*kept, id_col, text_col])).mapInArrow(_scanner(shared, uuid.uuid4().hex, size, kept, text_col), shape)
         if found is None:
             found = part
         else:
             more = part.where(F.size("items") > 0).select(id_col, *(F.col(c).alias(f"{c}_2") for c in ("runs", "spans", "items")))
             found = found.join(more, id_col, "left").select(
-                id_col, "n_words", *(F.when(F.col(f"{c}_2").isNull(), F.col(c)).otherwise(_merge_blocks(F.col(c), F.col(f"{c}_2"))).alias(c) for c in ("runs", "spans", "items"))
+                *kept, "n_words", *(F.when(F.col(f"{c}_2").isNull(), F.col(c)).otherwise(_merge_blocks(F.col(c), F.col(f"{c}_2"))).alias(c) for c in ("runs", "spans", "items"))
             )
     if len(blocks) == 1:
         n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["first"])
@@ -165,7 +170,7 @@ def contamination(
         n_hit = F.size(F.array_distinct(F.flatten(F.transform("runs", lambda x: F.sequence(x["first"], x["end"] - 1))))).cast("long")
     names = F.array_sort("items")
     return found.select(
-        id_col,
+        *kept,
         "n_words",
         n_hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),

@@ -153,7 +153,7 @@ def train(
 
 
 def identify(
-    docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", held_out: int = 5, least_lead: float = 0.05, keep: list[str] | None = None
+    docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text", held_out: int = 5, least_lead: float = 0.02, keep: list[str] | None = None
 ) -> DataFrame:
     """``keep`` (the id by default), held_out, lang_pred, score and ambiguous for each row.
 
@@ -166,12 +166,14 @@ def identify(
     shared = spark.sparkContext.broadcast(model)
     added = ["held_out", "lang_pred", "score", "ambiguous"]
     kept = [c for c in (keep or [id_col]) if c not in added]
-    wide = docs.select(*kept, F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % held_out == 0, F.lit(False)).alias("held_out"), F.col(text_col).alias("__t"))
+    text = text_col if text_col in kept else "__t"
+    held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % held_out == 0, F.lit(False))
+    wide = docs.select(*kept, held.alias("held_out"), *([] if text in kept else [F.col(text_col).alias(text)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            data, off, valid = columns(batch, "__t")
+            data, off, valid = columns(batch, text)
             n = batch.num_rows
             best, score, lead = np.full(n, -1), np.zeros(n), np.zeros(n)
             lettered = np.array([bool(valid[k]) and has_letter(data[off[k] : off[k + 1]].tobytes()) for k in range(n)], dtype=bool)
