@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratestep.runtime import bounded_batches, ensure_importable
+from ratestep.runtime import Scratch, bounded_batches, ensure_importable
 
 END = "\r\n\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -38,17 +38,19 @@ def base32_sha1(payload: Column) -> Column:
     return F.concat(*out)
 
 
-def record_strings(pages: DataFrame, id_col: str, url_col: str, payload_col: str, date: str, min_revisit_bytes: int) -> DataFrame:
+def record_strings(pages: DataFrame, scratch: Scratch, id_col: str, url_col: str, payload_col: str, date: str, min_revisit_bytes: int) -> DataFrame:
     """(record, payload_bytes) of each row; rows whose payload an earlier id holds become revisits without a block."""
     base = pages.select(
         F.col(id_col).alias("id"),
         F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), "[\\x00-\\x20\\x7F]", "%20").alias("url"),
         F.coalesce(F.col(payload_col), F.lit("")).alias("payload"),
     ).withColumns({"n": F.octet_length("payload").cast("long"), "digest": base32_sha1(F.col("payload"))})
-    # Only payloads with two ids or more have revisits; the first id of each comes from a partial aggregate.
-    first = (
+    # Only payloads with two ids or more have revisits; the first id of each comes from a partial aggregate. It is
+    # written first: Spark then knows its size, and payloads are only shuffled if it is too large to broadcast.
+    first = scratch.cut(
         base.where(F.col("n") >= min_revisit_bytes).groupBy("digest", "n").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
-        .where("first_id < last_id").select("digest", "n", "first_id")
+        .where("first_id < last_id").select("digest", "n", "first_id"),
+        "first",
     )
     revisit = F.col("first_id").isNotNull() & F.col("id").isNotNull() & (F.col("id") != F.col("first_id"))
     named = base.join(first, ["digest", "n"], "left").withColumn("revisit", revisit)
@@ -91,7 +93,7 @@ def write_warc(
     revisit nor revisited; a null url has no target line. Sizes are classed first, so that the largest record alone
     decides how many passes are made, and files stay small enough to be read whole.
     """
-    records = record_strings(pages, id_col, url_col, payload_col, date, min_revisit_bytes)
+    records = record_strings(pages, Scratch(pages.sparkSession, "warc"), id_col, url_col, payload_col, date, min_revisit_bytes)
     most = pages.agg(F.max(F.octet_length(payload_col))).first()[0] or 0
     out, least = [], -1
     for limit, per_file in FILE_CLASSES:
