@@ -1,11 +1,765 @@
-"""Queries over the test tables, one for each operator, and the SQL that each is compared with."""
+"""Queries over the test tables, one or more for each operator, and the SQL that each is compared with.
+
+``daily`` series are events of each type by day (30 days), ``folded`` ones by hour of the day (24), ``users`` are trials over
+the 24 hours of the first day, ``flags`` are returned and other lineitems by month. Logs, rates and probabilities are rounded to
+six digits on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ratestep import oracle as o
+from ratestep.operators import baselines, fit, grid, live, tree
+from ratestep.plans import exact
+from ratestep.runtime import Scratch
+from ratestep.sources import axis, files, generators
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+START = "2024-01-01 00:00:00"
+M = 3
+_ROUND = 6
+
+
+def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def r6(c: Column | str, name: str) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return (F.round(c, _ROUND) + F.lit(0.0)).alias(name)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def day() -> Column:
+    return axis.hours_between("ts", START, "1 day")
+
+
+def hour() -> Column:
+    return axis.hours_between("ts", START)
+
+
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").where(F.col("event_type").isNotNull())
+    return axis.densify(axis.interval_counts(events, F.col("event_type"), day()), 0, 29)
+
+
+def hourly(spark: SparkSession, sf_dir: str, last: int = 719) -> DataFrame:
+    events = table(spark, sf_dir, "events").where(F.col("event_type").isNotNull())
+    return axis.densify(axis.interval_counts(events, F.col("event_type"), hour()), 0, last)
+
+
+def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return axis.fold_periods(hourly(spark, sf_dir), 24)
+
+
+def user_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as trials over the first day's hours; repeats within an hour are one event."""
+    e = table(spark, sf_dir, "events")
+    trial = F.lpad(F.col("user_id").cast("string"), 12, "0").alias("trial_id")
+    return e.select(F.lit("users").alias("series_id"), trial, F.when(hour() < 24, hour()).alias("t")).distinct()
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return axis.spike_counts(user_trials(spark, sf_dir), 0, 23)
+
+
+def gathered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.gather(daily(spark, sf_dir), weak=1.0)
+
+
+def fitted(spark: SparkSession, sf_dir: str, m: int = M) -> DataFrame:
+    return exact.fit(daily(spark, sf_dir), "poisson", m, weak=1.0)
+
+
+FULL = o.full(30, M)
+FOLD = o.full(24, M)
+
+# Sources and the axis
+
+
+@register("interval_counts", "SELECT event_type AS series_id, ((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 3600000000)::INTEGER AS k, count(*)::DOUBLE AS y FROM events WHERE event_type IS NOT NULL GROUP BY 1, 2")
+def interval_counts(spark, sf_dir):
+    return axis.interval_counts(table(spark, sf_dir, "events").where("event_type IS NOT NULL"), F.col("event_type"), hour())
+
+
+@register("densify", o.query(o.DAILY, select="SELECT series_id, k, y, e FROM ser"))
+def densify(spark, sf_dir):
+    return daily(spark, sf_dir)
+
+
+@register("fold_hour_of_day", o.query(o.FOLDED, select="SELECT series_id, k::INTEGER AS k, y, e FROM ser"))
+def fold_hour_of_day(spark, sf_dir):
+    return folded(spark, sf_dir)
+
+
+@register("spike_counts", o.query(o.USERS, o.user_series("ser", "true"), select="SELECT series_id, k, y AS s, e AS g FROM ser"))
+def spike_counts(spark, sf_dir):
+    return users(spark, sf_dir)
+
+
+@register("split_trials", o.query(o.USERS, o.user_series("ser", "r <= 75"), select="SELECT series_id, k, y AS s, e AS g FROM ser"))
+def split_trials(spark, sf_dir):
+    return axis.spike_counts(axis.split_trials(user_trials(spark, sf_dir), 75)[0], 0, 23)
+
+
+@register("add_trials", o.query(o.USERS, o.user_series("ser", "true"), select="SELECT series_id, k, y AS s, e AS g FROM ser"))
+def add_trials(spark, sf_dir):
+    first, rest = axis.split_trials(user_trials(spark, sf_dir), 75)
+    return axis.add_trials(axis.spike_counts(first, 0, 23), axis.spike_counts(rest, 0, 23))
+
+
+@register("text_trials", "SELECT 'users' AS series_id, ((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 3600000000)::INTEGER AS t, count(DISTINCT user_id)::BIGINT AS n FROM events WHERE ts < TIMESTAMP '2024-01-02' GROUP BY 2")
+def text_trials(spark, sf_dir):
+    path = Scratch(spark, "trials").path("text")
+    files.write_trials(user_trials(spark, sf_dir).where("t IS NOT NULL"), path)
+    return files.read_trials(spark, path).groupBy("series_id", "t").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("predicate_scan", "SELECT event_id, value FROM events WHERE event_type = 'click' AND value > 50")
+def predicate_scan(spark, sf_dir):
+    return table(spark, sf_dir, "events").where("event_type = 'click' AND value > 50").select("event_id", "value")
+
+
+@register("record_span", "SELECT min(ts) AS first, max(ts) AS last, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000.0, 6) AS days FROM events")
+def record_span(spark, sf_dir):
+    return axis.span(table(spark, sf_dir, "events"), "ts").withColumn("days", F.round("days", 6))
+
+
+@register("coarsen_parent", "SELECT r_name AS cell, count(*)::BIGINT AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def coarsen_parent(spark, sf_dir):
+    up = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("cell"))
+    return table(spark, sf_dir, "customer").join(up, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("quad_cells", """
+    SELECT cell, count(*)::BIGINT AS n FROM (SELECT list_aggregate(list_transform([2, 1, 0], lambda i: ((x // (1 << i)) % 2 + 2 * ((y // (1 << i)) % 2))::VARCHAR), 'string_agg', '') AS cell
+    FROM (SELECT least(floor(((user_id % 360) - 180 + 180) / 360.0 * 8), 7)::BIGINT AS x, least(floor(((event_id % 180) - 90 + 90) / 180.0 * 8), 7)::BIGINT AS y FROM events)) GROUP BY 1""")
+def quad_cells(spark, sf_dir):
+    cell = files.quad_cell((F.col("event_id") % 180 - 90).cast("double"), (F.col("user_id") % 360 - 180).cast("double"), 6)
+    return table(spark, sf_dir, "events").select(files.coarsen(cell, 3).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("rebin_unequal", o.query(o.DAILY, select="SELECT series_id, CASE WHEN k < 7 THEN 0 WHEN k < 10 THEN 1 WHEN k < 20 THEN 2 ELSE 3 END AS k, sum(y) AS y, sum(e) AS e FROM ser GROUP BY 1, 2"))
+def rebin_unequal(spark, sf_dir):
+    return axis.rebin(daily(spark, sf_dir), [0, 7, 10, 20, 30])
+
+
+@register("window_reverse_rotate", o.query(o.DAILY, select="SELECT series_id, ((29 - k - 5 + 30) % 30)::INTEGER AS k, y, e FROM ser WHERE k BETWEEN 3 AND 25"))
+def window_reverse_rotate(spark, sf_dir):
+    return axis.rotate(axis.reverse(axis.within(daily(spark, sf_dir), 3, 25), 30), 30, 5)
+
+
+@register("series_totals", o.query(o.DAILY, select='SELECT series_id, count(*)::INTEGER AS "T", sum(y) AS y, sum(e) AS e FROM ser GROUP BY 1'))
+def series_totals(spark, sf_dir):
+    return axis.totals(daily(spark, sf_dir))
+
+
+@register("weak_prior", o.query(o.DAILY, select=f"SELECT series_id, p1 AS alpha, {o.rounded('p2', 9)} AS beta FROM prior"))
+def weak_prior(spark, sf_dir):
+    return axis.weak_prior(daily(spark, sf_dir)).withColumn("beta", F.round("beta", 9) + F.lit(0.0))
+
+
+@register("generated_series")
+def generated_series(spark, sf_dir):
+    return generators.daily_profile(spark, 2016, series=4)
+
+
+# Aggregates and bins
+
+
+@register("log_sum_exp", "SELECT l_returnflag, round(max(x) + ln(sum(exp(x - mx))), 6) + 0.0 AS v FROM (SELECT l_returnflag, l_extendedprice / 1000 AS x, max(l_extendedprice / 1000) OVER (PARTITION BY l_returnflag) AS mx FROM lineitem) GROUP BY 1")
+def log_sum_exp(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_extendedprice") / 1000).alias("x"))
+    return exact.grouped_log_sum(x, ["l_returnflag"], "x", "v").withColumn("v", F.round("v", 6) + F.lit(0.0))
+
+
+@register("log_gamma_table", "SELECT n, round(lgamma(n + 0.5), 6) + 0.0 AS value, round(lgamma(n + 0.5), 6) + 0.0 AS direct FROM (SELECT unnest(range(2000))::BIGINT AS n)")
+def log_gamma_table(spark, sf_dir):
+    return exact.lgamma_table(spark, 2000, 0.5).select("n", r6("value", "value"), r6(exact.log_gamma(F.col("n") + 0.5), "direct"))
+
+
+@register("data_constant", o.query(o.DAILY, select=f"SELECT series_id, {o.rounded('sum(-lgamma(y + 1))')} AS c FROM ser GROUP BY 1"))
+def data_constant(spark, sf_dir):
+    return gathered(spark, sf_dir).select("series_id", r6(exact.data_constant("poisson"), "c"))
+
+
+@register("prefix_sums", o.query(o.DAILY, select="SELECT series_id, k, sum(y) OVER (PARTITION BY series_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS c FROM ser"))
+def prefix_sums(spark, sf_dir):
+    return gathered(spark, sf_dir).select("series_id", F.posexplode(F.slice("c1", 2, 30)).alias("k", "c"))
+
+
+_BINS = f"SELECT series_id, a, b, {o.rounded('l')} AS log_evidence, {o.rounded('m1')} AS m1, {o.rounded('m2')} AS m2 FROM bins"
+
+
+def _bin_rows(df: DataFrame) -> DataFrame:
+    return df.select("series_id", "a", "b", r6("log_evidence", "log_evidence"), r6("m1", "m1"), r6("m2", "m2"))
+
+
+@register("bins_poisson", o.query(o.DAILY, o.Chain(30, M).bins(), select=_BINS))
+def bins_poisson(spark, sf_dir):
+    return _bin_rows(exact.bin_rows(gathered(spark, sf_dir), "poisson"))
+
+
+_USER_PRIOR = "prior AS (SELECT 'users' AS series_id, 1.0::DOUBLE AS p1, 32.0::DOUBLE AS p2)"
+
+
+@register("bins_bernoulli", o.query(o.USERS, o.user_series("ser", "true"), _USER_PRIOR, o.Chain(24, M, "bernoulli").bins(), select=_BINS))
+def bins_bernoulli(spark, sf_dir):
+    return _bin_rows(exact.bin_rows(exact.gather(users(spark, sf_dir), p1=1.0, p2=32.0), "bernoulli"))
+
+
+@register("bins_excluded", o.query(o.DAILY, o.Chain(30, M).bins(), select="SELECT series_id, count(*)::BIGINT AS n FROM bins WHERE NOT (a > 10 AND b < 20) GROUP BY 1"))
+def bins_excluded(spark, sf_dir):
+    return axis.outside_excluded(exact.bin_rows(gathered(spark, sf_dir), "poisson"), 10, 20).groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+# The exact sums as column expressions
+
+
+def _union(prefix: str, n: int, col: str) -> str:
+    return " UNION ALL ".join(f"SELECT series_id, {m} AS {col}, k, {o.rounded('v')} AS v FROM {prefix}{m}" for m in range(n))
+
+
+@register("forward", o.query(o.DAILY, o.Chain(30, M).bins().forward(), select=_union("f", M + 1, "m")))
+def forward(spark, sf_dir):
+    rows = fitted(spark, sf_dir).select("series_id", F.posexplode("f").alias("m", "x")).select("series_id", "m", F.posexplode("x").alias("i", "v"))
+    return rows.select("series_id", "m", (F.col("i") + F.col("m")).alias("k"), r6("v", "v"))
+
+
+@register("backward", o.query(o.DAILY, o.Chain(30, M).bins().backward(), select=_union("g", M + 1, "j")))
+def backward(spark, sf_dir):
+    rows = fitted(spark, sf_dir).select("series_id", F.posexplode("g").alias("j", "x")).select("series_id", "j", F.posexplode("x").alias("k", "v"))
+    return rows.select("series_id", "j", "k", r6("v", "v"))
+
+
+_BY_M = f"SELECT series_id, m, {o.rounded('ev')} AS log_evidence, {o.rounded('p')} AS p FROM post"
+
+
+def _by_m(df: DataFrame) -> DataFrame:
+    return df.select("series_id", "m", r6("log_evidence", "log_evidence"), r6("p", "p"))
+
+
+@register("evidence_by_m", o.query(o.DAILY, o.Chain(30, M).bins().forward().evidences(), select=_BY_M))
+def evidence_by_m(spark, sf_dir):
+    return _by_m(exact.by_m(fitted(spark, sf_dir)))
+
+
+_SUMMARY = f"SELECT series_id, {o.rounded(f'any_value(total) - ln({M + 1})')} AS log_marginal, arg_max(m, (ev, -m)) AS m_map FROM post GROUP BY 1"
+
+
+@register("log_marginal_and_map", o.query(o.DAILY, o.Chain(30, M).bins().forward().evidences(), select=_SUMMARY))
+def log_marginal_and_map(spark, sf_dir):
+    return exact.summary(fitted(spark, sf_dir)).select("series_id", r6("log_marginal", "log_marginal"), "m_map")
+
+
+_RANGES = " UNION ALL ".join(f"SELECT {a} AS lo, {b} AS hi" for a in range(M + 1) for b in range(a, M + 1))
+
+
+@register("credible_range", o.query(o.DAILY, o.Chain(30, M).bins().forward().evidences(), f"""
+    best AS (SELECT series_id, arg_max(m, (ev, -m)) AS top FROM post GROUP BY 1),
+    grow AS (SELECT series_id, top AS lo, top AS hi, p, 0 AS step FROM best JOIN post USING (series_id) WHERE m = top
+        UNION ALL SELECT g.series_id, CASE WHEN coalesce(u.p, -1) >= coalesce(d.p, -1) THEN lo ELSE lo - 1 END, CASE WHEN coalesce(u.p, -1) >= coalesce(d.p, -1) THEN hi + 1 ELSE hi END,
+            g.p + greatest(coalesce(u.p, -1), coalesce(d.p, -1)), step + 1
+        FROM grow g LEFT JOIN post d ON d.series_id = g.series_id AND d.m = lo - 1 LEFT JOIN post u ON u.series_id = g.series_id AND u.m = hi + 1
+        WHERE g.p < 0.95 AND (d.p IS NOT NULL OR u.p IS NOT NULL))""", recursive=True, select="SELECT series_id, arg_max(lo, step) AS m_lo, arg_max(hi, step) AS m_hi FROM grow GROUP BY 1"))
+def credible_range(spark, sf_dir):
+    return exact.credible_range(fitted(spark, sf_dir), 0.95)
+
+
+@register("bin_posterior", o.query(o.DAILY, FULL, select=f"SELECT series_id, a, b, {o.rounded('w')} AS w FROM w"))
+def bin_posterior(spark, sf_dir):
+    return exact.bin_posterior(fitted(spark, sf_dir), "poisson").select("series_id", "a", "b", r6("w", "w"))
+
+
+_RATES = f"SELECT series_id, k, {o.rounded('rate')} AS rate, {o.rounded('rate_std')} AS rate_std, {o.rounded('p_boundary')} AS p_boundary FROM rates"
+
+
+def _rates(df: DataFrame) -> DataFrame:
+    return df.select("series_id", F.col("k").cast("int").alias("k"), r6("rate", "rate"), r6("rate_std", "rate_std"), r6("p_boundary", "p_boundary"))
+
+
+@register("rates_relational", o.query(o.DAILY, FULL, select=_RATES))
+def rates_relational(spark, sf_dir):
+    return _rates(exact.rates(exact.bin_posterior(fitted(spark, sf_dir), "poisson")))
+
+
+def _positions(m: int) -> str:
+    parts = " UNION ALL ".join(f"SELECT f.series_id, {j} AS j, f.k, exp(f.v + g.v - t.v) AS p FROM f{j - 1} f JOIN g{m - j} g ON g.series_id = f.series_id AND g.k = f.k JOIN f{m} t ON t.series_id = f.series_id AND t.k = 29" for j in range(1, m + 1))
+    return f"pos AS ({parts})"
+
+
+@register("boundary_positions", o.query(o.DAILY, o.Chain(30, M).bins().forward().backward(), _positions(2), select=f"SELECT series_id, j, k, {o.rounded('p')} AS p FROM pos"))
+def boundary_positions(spark, sf_dir):
+    return exact.boundary_positions(fitted(spark, sf_dir), 2).select("series_id", "j", "k", r6("p", "p"))
+
+
+@register("boundary_moments", o.query(o.DAILY, o.Chain(30, M).bins().forward().backward(), _positions(2), select=f"SELECT series_id, j, {o.rounded('sum(k * p)')} AS mean, {o.rounded('sqrt(greatest(sum(k * k * p) - sum(k * p) * sum(k * p), 0))')} AS sd FROM pos GROUP BY 1, 2"))
+def boundary_moments(spark, sf_dir):
+    return fit.boundary_positions(gathered(spark, sf_dir), "poisson", 2).select("series_id", "j", r6("mean", "mean"), r6("sd", "sd"))
+
+
+# Grouped kernels
+
+
+@register("fit_by_event_type", o.query(o.DAILY, FULL, select=_RATES))
+def fit_by_event_type(spark, sf_dir):
+    return _rates(fit.by_k(fit.fit(gathered(spark, sf_dir), "poisson", M)))
+
+
+@register("fit_evidence", o.query(o.DAILY, o.Chain(30, M).bins().forward().evidences(), select=_BY_M))
+def fit_evidence(spark, sf_dir):
+    return _by_m(fit.by_m(fit.fit(gathered(spark, sf_dir), "poisson", M)))
+
+
+@register("fit_bernoulli", o.query(o.USERS, o.user_series("ser", "true"), _USER_PRIOR, o.full(24, M, "bernoulli"), select=_RATES))
+def fit_bernoulli(spark, sf_dir):
+    return _rates(fit.by_k(fit.fit(exact.gather(users(spark, sf_dir), p1=1.0, p2=32.0), "bernoulli", M)))
+
+
+@register("fit_varying_exposure", o.query(o.FOLDED.replace("ser AS (SELECT series_id, k % 24 AS k, sum(y) AS y, sum(e) AS e", "ser AS (SELECT series_id, k % 24 AS k, sum(y) AS y, sum(e) + (k % 24) / 4.0 AS e"), FOLD, select=_RATES))
+def fit_varying_exposure(spark, sf_dir):
+    x = folded(spark, sf_dir).withColumn("e", F.col("e") + F.col("k") / 4.0)
+    return _rates(fit.by_k(fit.fit(exact.gather(x, weak=1.0), "poisson", M)))
+
+
+@register("credible_fit", o.query(o.DAILY, o.Chain(30, M).bins().forward().backward().evidences().bin_posterior().rates(), select=_RATES).replace("WHERE p >= 1e-12", "WHERE m = (SELECT arg_max(z.m, (z.ev, -z.m)) FROM post z WHERE z.series_id = post.series_id)"))
+def credible_fit(spark, sf_dir):
+    """The most probable number of boundaries alone."""
+    return _rates(fit.by_k(fit.fit(gathered(spark, sf_dir), "poisson", M, m_mass=0.0)))
+
+
+@register("fano_of_intervals", o.query(o.USERS, o.user_series("ser", "true"), _USER_PRIOR, o.full(24, M, "bernoulli"), select=f"SELECT series_id, k, {o.rounded('1 - rate')} AS fano FROM rates"))
+def fano_of_intervals(spark, sf_dir):
+    f = fit.by_k(fit.fit(exact.gather(users(spark, sf_dir), p1=1.0, p2=32.0), "bernoulli", M))
+    return f.select("series_id", "k", r6(1 - F.col("rate"), "fano"))
+
+
+@register("virtual_events", o.query(o.DAILY, FULL, select=f"SELECT series_id, k, {o.rounded('rate')} AS rate, {o.rounded('rate_std', 4)} AS rate_std FROM rates"))
+def virtual_events(spark, sf_dir):
+    return fit.virtual_rates(gathered(spark, sf_dir), "poisson", M).select("series_id", "k", r6("rate", "rate"), (F.round("rate_std", 4) + F.lit(0.0)).alias("rate_std"))
+
+
+_ROTATED = """
+    spun AS (SELECT s.series_id || '#' || r.s AS series_id, s.series_id AS own, r.s, ((s.k - r.s + 24) % 24)::INTEGER AS k, y, e FROM ser s CROSS JOIN (SELECT unnest(range(24)) AS s) r),
+    spun_prior AS (SELECT DISTINCT spun.series_id, p1, p2 FROM spun JOIN prior ON prior.series_id = own)"""
+_CYC = o.Chain(24, M - 1, ser="spun", prior="spun_prior", p="c_").bins().forward()
+_CYC_EV = f"""
+    lam AS ({" UNION ALL ".join(f"SELECT series_id, {m} AS m, v FROM c_f{m} WHERE k = 23" for m in range(1, M))}),
+    own_lam AS (SELECT DISTINCT own AS series_id, lam.series_id AS spin, m, v FROM lam JOIN spun USING (series_id)),
+    con AS (SELECT series_id, sum(CASE WHEN y > 0 THEN y * ln(e) ELSE 0 END - lgamma(y + 1)) AS c FROM ser GROUP BY 1),
+    cyc AS (SELECT own AS series_id, 0 AS m, any_value(v) AS u FROM c_f0 JOIN (SELECT DISTINCT series_id, own, s FROM spun) USING (series_id) WHERE k = 23 AND s = 0 GROUP BY 1
+        UNION ALL SELECT series_id, m + 1, v - ln(24) - (lgamma(24) - lgamma(m + 1) - lgamma(24 - m)) FROM ({o.lse("SELECT series_id, m, v AS x FROM own_lam", "series_id, m")}))"""
+
+
+@register("cyclic_evidence", o.query(o.FOLDED, _ROTATED, _CYC, _CYC_EV, select=f"SELECT cyc.series_id, m::INTEGER AS m, {o.rounded('u + c')} AS log_evidence FROM cyc JOIN con USING (series_id)"))
+def cyclic_evidence(spark, sf_dir):
+    f = fit.by_m(fit.fit_cyclic(exact.gather(folded(spark, sf_dir), weak=1.0), "poisson", M))
+    return f.where("log_evidence IS NOT NULL").select("series_id", "m", r6("log_evidence", "log_evidence"))
+
+
+@register("cyclic_rates")
+def cyclic_rates(spark, sf_dir):
+    return _rates(fit.by_k(fit.fit_cyclic(exact.gather(folded(spark, sf_dir), weak=1.0), "poisson", M)))
+
+
+LEVEL = 66.0
+
+
+def _latency(inhibitory: bool = False) -> o.Chain:
+    hi, lo = f"CASE WHEN up > 0 THEN ln(least(up, 1)) ELSE -1e300 END", "CASE WHEN up < 1 THEN ln(1 - up) ELSE -1e300 END"
+    if inhibitory:
+        hi, lo = lo, hi
+    c = o.Chain(30, M).bins().forward().backward().evidences()
+    c.ctes.append(f"tails AS MATERIALIZED (SELECT series_id, a, b, l, {o.gamma_tail(LEVEL)} AS up FROM bins)")
+    c.ctes.append(f"under AS MATERIALIZED (SELECT series_id, a, b, l + {lo} AS l, l + {hi} AS lh FROM tails)")
+    c.forward("d", "l", "under", M - 1)
+    right = "SELECT series_id, 0 AS j, 29 AS b, 0.0::DOUBLE AS v FROM post WHERE m = 0" + "".join(f" UNION ALL SELECT series_id, {m}, k, v FROM g{m - 1}" for m in range(1, M + 1))
+    left = "SELECT series_id, 0 AS n, 0 AS t, 0.0::DOUBLE AS v FROM post WHERE m = 0" + "".join(f" UNION ALL SELECT series_id, {m}, k + 1, v FROM d{m - 1} WHERE k < 29" for m in range(1, M + 1))
+    c.ctes += [f"rgt AS ({right})", f"lft AS ({left})"]
+    c.ctes.append(f"aft AS MATERIALIZED ({o.lse('SELECT u.series_id, j, a AS t, lh + v AS x FROM under u JOIN rgt ON rgt.series_id = u.series_id AND rgt.b = u.b', 'series_id, j, t')})")
+    c.ctes.append("lat AS (SELECT l.series_id, l.t AS k, sum(exp(ln(p.p) - p.last + l.v + q.v)) AS p FROM lft l JOIN aft q ON q.series_id = l.series_id AND q.t = l.t JOIN post p ON p.series_id = l.series_id AND p.m = l.n + q.j GROUP BY 1, 2)")
+    return c
+
+
+@register("latency", o.query(o.DAILY, _latency(), select=f"SELECT series_id, k::INTEGER AS k, {o.rounded('p')} AS p FROM lat"))
+def latency(spark, sf_dir):
+    return fit.latency(gathered(spark, sf_dir), "poisson", LEVEL, M).select("series_id", "k", r6("p", "p"))
+
+
+@register("latency_inhibitory", o.query(o.DAILY, _latency(True), select=f"SELECT series_id, k::INTEGER AS k, {o.rounded('p')} AS p FROM lat"))
+def latency_inhibitory(spark, sf_dir):
+    return fit.latency(gathered(spark, sf_dir), "poisson", LEVEL, M, inhibitory=True).select("series_id", "k", r6("p", "p"))
+
+
+@register("latency_summary", o.query(o.DAILY, _latency(), select=f"SELECT series_id, {o.rounded('sum(p)')} AS p_total, {o.rounded('sum(p * k) / sum(p)', 4)} AS mean FROM lat GROUP BY 1"))
+def latency_summary(spark, sf_dir):
+    return fit.latency_summary(fit.latency(gathered(spark, sf_dir), "poisson", LEVEL, M)).select("series_id", r6("p_total", "p_total"), (F.round("mean", 4) + F.lit(0.0)).alias("mean"))
+
+
+@register("latency_by_m")
+def latency_by_m(spark, sf_dir):
+    return fit.latency_by_m(gathered(spark, sf_dir), "poisson", LEVEL, M)
+
+
+@register("latency_excluded")
+def latency_excluded(spark, sf_dir):
+    return fit.latency(gathered(spark, sf_dir), "poisson", LEVEL, M, inhibitory=True, excluded=(0.0, 5.0), least_m=1)
+
+
+@register("above_level", o.query(o.DAILY, FULL, f"tail AS (SELECT series_id, a, b, w, {o.gamma_tail(LEVEL)} AS up FROM w)", select=f"SELECT s.series_id, s.k, {o.rounded('least(sum(w * up) / sum(w), 1)')} AS p FROM ser s JOIN tail q ON q.series_id = s.series_id AND q.a <= s.k AND q.b >= s.k GROUP BY 1, 2"))
+def above_level(spark, sf_dir):
+    return fit.above_level(gathered(spark, sf_dir), "poisson", LEVEL, M).select("series_id", "k", r6("p", "p"))
+
+
+@register("rate_density", o.query(o.DAILY, FULL, "den AS (SELECT series_id, a, b, w, exp(n1 * ln(n2) + (n1 - 1) * ln(66.0) - n2 * 66.0 - lgamma(n1)) AS d FROM w)", select=f"SELECT s.series_id, s.k, {o.rounded('sum(w * d) / sum(w)')} AS density FROM ser s JOIN den q ON q.series_id = s.series_id AND q.a <= s.k AND q.b >= s.k GROUP BY 1, 2"))
+def rate_density(spark, sf_dir):
+    return fit.rate_density(gathered(spark, sf_dir), "poisson", LEVEL, M).select("series_id", "k", r6("density", "density"))
+
+
+@register("bursts")
+def bursts(spark, sf_dir):
+    return fit.bursts(gathered(spark, sf_dir), "poisson", LEVEL, 10, 19, M)
+
+
+@register("separation_level")
+def separation_level(spark, sf_dir):
+    return fit.separation_level(gathered(spark, sf_dir), "poisson", 2)
+
+
+@register("level_scan", o.query(o.DAILY, _latency(), select=f"SELECT series_id, {LEVEL}::DOUBLE AS level, {o.rounded('sum(p)')} AS p FROM lat GROUP BY 1"))
+def level_scan(spark, sf_dir):
+    return fit.level_scan(gathered(spark, sf_dir), "poisson", [LEVEL], M).select("series_id", "level", r6("p", "p"))
+
+
+@register("best_prior")
+def best_prior(spark, sf_dir):
+    return fit.best_prior(gathered(spark, sf_dir), "poisson", 2)
+
+
+_GRID = [(a, b) for a in (0.5, 1.0, 2.0, 8.0) for b in (0.5, 1.0, 2.0, 8.0)]
+_GRID_SQL = f"""
+    grid AS (SELECT * FROM (VALUES {", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a, b in _GRID)}) t(ga, gb)),
+    gser AS (SELECT series_id || '#' || ga || '#' || gb AS series_id, k, y, e FROM ser CROSS JOIN grid),
+    gprior AS (SELECT series_id || '#' || ga || '#' || gb AS series_id, series_id AS own, p1 * ga AS p1, p2 * gb AS p2 FROM prior CROSS JOIN grid)"""
+
+
+@register("best_prior_grid", o.query(o.DAILY, _GRID_SQL, o.Chain(30, M, ser="gser", prior="gprior", p="q_").bins().forward().evidences(),
+    select=f"SELECT own AS series_id, {o.rounded('arg_max(p1, t)')} AS p1, {o.rounded('arg_max(p2, t)')} AS p2, {o.rounded(f'max(t) - ln({M + 1})')} AS log_marginal FROM (SELECT series_id, any_value(total) AS t FROM q_post GROUP BY 1) JOIN gprior USING (series_id) GROUP BY 1"))
+def best_prior_grid(spark, sf_dir):
+    return fit.best_prior_grid(gathered(spark, sf_dir), "poisson", _GRID, M, scaled=True).select("series_id", r6("p1", "p1"), r6("p2", "p2"), r6("log_marginal", "log_marginal"))
+
+
+@register("held_out_trials", o.query(o.USERS, o.user_series("tr", "r <= 75"), o.user_series("al", "true"), _USER_PRIOR, o.Chain(24, M, "bernoulli", ser="tr", p="t_").bins().forward().evidences(), o.Chain(24, M, "bernoulli", ser="al", p="a_").bins().forward().evidences(),
+    select=f"SELECT 'users' AS series_id, {o.rounded('(SELECT any_value(total) FROM a_post) - (SELECT any_value(total) FROM t_post)')} AS log_p"))
+def held_out_trials(spark, sf_dir):
+    t = user_trials(spark, sf_dir)
+    rows = [exact.gather(axis.spike_counts(x, 0, 23), p1=1.0, p2=32.0) for x in (axis.split_trials(t, 75)[0], t)]
+    return fit.held_out(*rows, "bernoulli", M).select("series_id", r6("log_p", "log_p"))
+
+
+# Online models
+
+
+_START = f"""
+    st AS ({o.lse("SELECT series_id, a, v - (lgamma(30) - lgamma(i + 1) - lgamma(30 - i)) AS x FROM lft WHERE i <= 3", "series_id, a")}),
+    now AS (SELECT series_id, a, x, n1, n2, exp(x - mx) / sum(exp(x - mx)) OVER (PARTITION BY series_id) AS p FROM (SELECT *, max(x) OVER (PARTITION BY series_id) AS mx FROM
+        (SELECT st.series_id, st.a, st.v + q.l AS x, n1, n2 FROM st JOIN bins q ON q.series_id = st.series_id AND q.a = st.a AND q.b = 29)))"""
+
+
+@register("online_bin_start", o.query(o.DAILY, FULL, _START, select=f"SELECT series_id, a, {o.rounded('p')} AS p FROM now"))
+def online_bin_start(spark, sf_dir):
+    return live.online_starts(gathered(spark, sf_dir), "poisson", M).select("series_id", "a", r6("p", "p"))
+
+
+@register("online_rate_now", o.query(o.DAILY, FULL, _START, f"mean AS (SELECT series_id, sum(p * n1 / n2) AS rate FROM now GROUP BY 1)",
+    select=f"SELECT series_id, {o.rounded('any_value(rate)')} AS rate, {o.rounded('sqrt(sum(p * n1 / (n2 * n2)) + sum(p * (n1 / n2 - rate) * (n1 / n2 - rate)))')} AS rate_std FROM now JOIN mean USING (series_id) GROUP BY 1"))
+def online_rate_now(spark, sf_dir):
+    return live.replay_online(gathered(spark, sf_dir), "poisson", M).where("k = 29").select("series_id", r6("rate", "rate"), r6("rate_std", "rate_std"))
+
+
+_NEXT = f"""
+    lft2 AS (SELECT series_id, i, a, v FROM lft UNION ALL {" UNION ALL ".join(f"SELECT series_id, {m}, 30, v FROM f{m - 1} WHERE k = 29" for m in range(1, M + 1))}),
+    st2 AS ({o.lse("SELECT series_id, a, v - (lgamma(31) - lgamma(i + 1) - lgamma(31 - i)) AS x FROM lft2", "series_id, a")}),
+    cmp AS (SELECT st2.series_id, st2.v + coalesce(q.l, 0) AS x, coalesce(n1, p1) AS u, coalesce(n2, p2) AS w2 FROM st2 JOIN prior USING (series_id) LEFT JOIN bins q ON q.series_id = st2.series_id AND q.a = st2.a AND q.b = 29),
+    wts AS (SELECT *, exp(x - mx) / sum(exp(x - mx)) OVER (PARTITION BY series_id) AS p FROM (SELECT *, max(x) OVER (PARTITION BY series_id) AS mx FROM cmp))"""
+
+
+@register("online_next_pmf", o.query(o.DAILY, FULL, _NEXT, select=f"SELECT series_id, y::INTEGER AS x, {o.rounded('sum(p * exp(lgamma(y + u) - lgamma(u) - lgamma(y + 1) + y * ln(1 / (w2 + 1)) + u * ln(w2 / (w2 + 1))))')} AS p FROM wts CROSS JOIN (SELECT unnest([40, 60, 66, 80]) AS y) GROUP BY 1, 2"))
+def online_next_pmf(spark, sf_dir):
+    return live.online_next(gathered(spark, sf_dir), "poisson", [40, 60, 66, 80], M).select("series_id", "x", r6("p", "p"))
+
+
+@register("online_replay")
+def online_replay(spark, sf_dir):
+    return live.replay_online(gathered(spark, sf_dir), "poisson", M)
+
+
+# Change-point streams
+
+_H = 1 / 10
+_STREAM = f"""
+    full_bins AS (SELECT q.series_id, q.a, q.b, l - (z.c1 - x.c1 + x.lf) AS l, n1, n2 FROM bins q
+        JOIN lfs x ON x.series_id = q.series_id AND x.k = q.a JOIN lfs z ON z.series_id = q.series_id AND z.k = q.b),
+    ends AS (SELECT series_id, b, list(l ORDER BY a) AS ls FROM full_bins GROUP BY 1, 2),
+    z AS (SELECT series_id, 0 AS t, [ls[1]] AS zs, [ls[1]] AS terms FROM ends WHERE b = 0
+        UNION ALL SELECT series_id, t, list_append(zs, list_max(terms) + ln(list_sum(list_transform(terms, lambda v: exp(v - list_max(terms)))))), terms
+        FROM (SELECT z.series_id, z.t + 1 AS t, zs, list_concat([ls[1] + (z.t + 1) * ln({1 - _H})], list_transform(range(1, z.t + 2), lambda a: zs[a] + ln({_H}) + (z.t + 1 - a) * ln({1 - _H}) + ls[a + 1])) AS terms
+            FROM z JOIN ends ON ends.series_id = z.series_id AND ends.b = z.t + 1))"""
+_LFS = "lfs AS (SELECT series_id, k, lgamma(y + 1) AS lf, sum(lgamma(y + 1)) OVER (PARTITION BY series_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS c1 FROM ser)"
+_EXACT_STREAM = {"expected_run_length": 10.0, "prune": 0.0, "merge_bins": None}
+
+
+@register("stream_log_marginal", o.query(o.DAILY, o.Chain(30, M).bins(), _LFS, _STREAM, recursive=True, select=f"SELECT series_id, t::INTEGER AS k, {o.rounded('zs[t + 1]')} AS log_marginal FROM z"))
+def stream_log_marginal(spark, sf_dir):
+    return live.replay_stream(gathered(spark, sf_dir), "poisson", **_EXACT_STREAM).select("series_id", "k", r6("log_marginal", "log_marginal"))
+
+
+_RUNS = "runs AS (SELECT series_id, t, unnest(range(t + 1)) AS a, unnest(list_transform(terms, lambda v: exp(v - zs[t + 1]))) AS p FROM z)"
+
+
+@register("stream_run_lengths", o.query(o.DAILY, o.Chain(30, M).bins(), _LFS, _STREAM, _RUNS, recursive=True, select=f"SELECT series_id, (30 - a)::INTEGER AS run_length, {o.rounded('p')} AS p FROM runs WHERE t = 29"))
+def stream_run_lengths(spark, sf_dir):
+    return live.run_lengths(gathered(spark, sf_dir), "poisson", **_EXACT_STREAM).select("series_id", "run_length", r6("p", "p"))
+
+
+@register("stream_rate_now", o.query(o.DAILY, o.Chain(30, M).bins(), _LFS, _STREAM, _RUNS, "at AS (SELECT r.series_id, r.t, p, n1 / n2 AS m1, n1 / (n2 * n2) AS v, r.t - r.a + 1 AS len FROM runs r JOIN bins q ON q.series_id = r.series_id AND q.a = r.a AND q.b = r.t)".replace("at AS", "state AS"),
+    "mean AS (SELECT series_id, t, sum(p * m1) AS rate FROM state GROUP BY 1, 2)", recursive=True,
+    select=f"SELECT s.series_id, s.t::INTEGER AS k, {o.rounded('any_value(rate)')} AS rate, {o.rounded('sqrt(sum(p * v) + sum(p * (m1 - rate) * (m1 - rate)))')} AS rate_std, {o.rounded('sum(CASE WHEN len <= 3 THEN p ELSE 0 END)')} AS p_change FROM state s JOIN mean USING (series_id, t) GROUP BY 1, 2"))
+def stream_rate_now(spark, sf_dir):
+    return live.replay_stream(gathered(spark, sf_dir), "poisson", **_EXACT_STREAM).select("series_id", "k", r6("rate", "rate"), r6("rate_std", "rate_std"), r6("p_change", "p_change"))
+
+
+@register("stream_default")
+def stream_default(spark, sf_dir):
+    return live.replay_stream(exact.gather(hourly(spark, sf_dir), weak=1.0), "poisson", expected_run_length=200.0, lag=12)
+
+
+@register("stream_learnt_hazard")
+def stream_learnt_hazard(spark, sf_dir):
+    return live.replay_stream(exact.gather(hourly(spark, sf_dir, 199), weak=1.0), "poisson", expected_run_length=100.0, hazard_strength=1.0)
+
+
+@register("stream_negbin")
+def stream_negbin(spark, sf_dir):
+    return live.replay_stream(exact.gather(hourly(spark, sf_dir, 199), weak=1.0), "negbin", expected_run_length=100.0, dispersion=4.0)
+
+
+@register("stream_bernoulli")
+def stream_bernoulli(spark, sf_dir):
+    return live.replay_stream(exact.gather(users(spark, sf_dir), p1=1.0, p2=1.0), "bernoulli", expected_run_length=12.0)
+
+
+@register("stream_dispersions")
+def stream_dispersions(spark, sf_dir):
+    return live.dispersions(exact.gather(hourly(spark, sf_dir, 99), weak=1.0), expected_run_length=100.0)
+
+
+@register("pit_uniformity")
+def pit_uniformity(spark, sf_dir):
+    return baselines.ks_distance(live.replay_stream(exact.gather(hourly(spark, sf_dir), weak=1.0), "poisson", expected_run_length=200.0))
+
+
+@register("surprise_summary")
+def surprise_summary(spark, sf_dir):
+    return baselines.surprises(live.replay_stream(exact.gather(hourly(spark, sf_dir), weak=1.0), "poisson", expected_run_length=200.0), 0.99)
+
+
+# Grids and hierarchies
+
+
+def month_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by region and month of 1995, as a grid."""
+    up = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_regionkey").alias("r"))
+    made = table(spark, sf_dir, "orders").where("year(o_orderdate) = 1995").select("o_custkey", (F.month("o_orderdate") - 1).alias("c"))
+    counts = made.join(up, F.col("o_custkey") == F.col("c_custkey")).groupBy("r", "c").agg(F.count(F.lit(1)).cast("double").alias("y"))
+    cells = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("r")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    return cells.join(counts, ["r", "c"], "left").select(F.lit("1995").alias("grid_id"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.coalesce("y", F.lit(0.0)).alias("y"), F.lit(1.0).alias("e"))
+
+
+@register("month_grid", "SELECT '1995' AS grid_id, n_regionkey AS r, (month(o_orderdate) - 1)::INTEGER AS c, count(*)::DOUBLE AS y, 1.0::DOUBLE AS e FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE year(o_orderdate) = 1995 GROUP BY 1, 2, 3")
+def month_grid_query(spark, sf_dir):
+    return month_grid(spark, sf_dir)
+
+
+@register("two_level_evidence")
+def two_level_evidence(spark, sf_dir):
+    return grid.two_level(month_grid(spark, sf_dir), 1.0, 0.02, 4, 4)[0]
+
+
+@register("two_level_rates")
+def two_level_rates(spark, sf_dir):
+    return grid.two_level(month_grid(spark, sf_dir), 1.0, 0.02, 4, 4)[1]
+
+
+@register("guillotine")
+def guillotine(spark, sf_dir):
+    return grid.guillotine(month_grid(spark, sf_dir), 1.0, 0.02, 0.5)
+
+
+@register("binary_tree")
+def binary_tree(spark, sf_dir):
+    return grid.binary_tree(gathered(spark, sf_dir), 0.5)
+
+
+_TREE = """
+    leaf AS (SELECT 'c' || c_custkey AS node, 'n' || c_nationkey AS parent, count(o_orderkey)::DOUBLE AS y, 1.0::DOUBLE AS e FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2),
+    mid AS (SELECT 'n' || n_nationkey AS node, 'r' || n_regionkey AS parent, coalesce(sum(y), 0) AS y, coalesce(sum(e), 0) AS e FROM nation LEFT JOIN leaf ON parent = 'n' || n_nationkey GROUP BY 1, 2),
+    top AS (SELECT 'r' || r_regionkey AS node, 'world' AS parent, coalesce(sum(y), 0) AS y, coalesce(sum(e), 0) AS e FROM region LEFT JOIN mid ON parent = 'r' || r_regionkey GROUP BY 1, 2),
+    root AS (SELECT 'world' AS node, NULL AS parent, sum(y) AS y, sum(e) AS e FROM top)"""
+_TA, _TB, _RHO = 2.0, 0.2, 0.5
+
+
+def _tree_l(a: float = _TA, b: float = _TB) -> str:
+    return f"({a} * ln({b}) - lgamma({a}) + lgamma(y + {a}) - (y + {a}) * ln(e + {b}))"
+
+
+def _tree_z(best: bool = False) -> str:
+    ways = f"greatest(ln({_RHO}) + l, ln({1 - _RHO}) + zc)" if best else f"greatest(ln({_RHO}) + l, ln({1 - _RHO}) + zc) + ln(1 + exp(-abs(ln({_RHO}) + l - ln({1 - _RHO}) - zc)))"
+    z = f"CASE WHEN zc IS NULL OR y = 0 THEN l ELSE {ways} END"
+    out = [f"leaf_z AS (SELECT node, parent, y, e, {_tree_l()} AS l, {_tree_l()} AS z, NULL::DOUBLE AS zc FROM leaf)"]
+    for name, below in (("mid", "leaf"), ("top", "mid"), ("root", "top")):
+        out.append(f"{name}_z AS (SELECT node, parent, y, e, l, {z} AS z, CASE WHEN y > 0 THEN zc END AS zc FROM (SELECT t.*, {_tree_l()} AS l, zc FROM {name} t LEFT JOIN (SELECT parent AS up, sum(z) AS zc FROM {below}_z GROUP BY 1) ON up = node))")
+    return ",\n    ".join(out)
+
+
+def customers_tree(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """World, regions, nations, customers; the count of a customer is that of their orders, the exposure 1."""
+    orders = table(spark, sf_dir, "orders") if orders is None else orders
+    n = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).cast("double").alias("y"))
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    leaf = table(spark, sf_dir, "customer").join(n, "c_custkey", "left").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("node"), F.concat(F.lit("n"), F.col("c_nationkey")).alias("parent"), F.coalesce("y", F.lit(0.0)).alias("y"), F.lit(1.0).alias("exposure"))
+    mid = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("node"), F.concat(F.lit("r"), F.col("n_regionkey")).alias("parent"), none("y", "double"), none("exposure", "double"))
+    top = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey")).alias("node"), F.lit("world").alias("parent"), none("y", "double"), none("exposure", "double"))
+    root = spark.range(1).select(F.lit("world").alias("node"), none("parent", "string"), none("y", "double"), none("exposure", "double"))
+    return leaf.unionByName(mid).unionByName(top).unionByName(root)
+
+
+_EACH = (("root", 0), ("top", 1), ("mid", 2), ("leaf", 3))
+
+
+@register("tree_evidence", o.query(_TREE, _tree_z(), select=" UNION ALL ".join(f"SELECT node, {k} AS level, y, e AS exposure, {o.rounded('l')} AS log_bin, {o.rounded('z')} AS log_z FROM {n}_z" for n, k in _EACH)))
+def tree_evidence(spark, sf_dir):
+    return tree.tree_evidence(customers_tree(spark, sf_dir), _TA, _TB, _RHO).select("node", "level", "y", "exposure", r6("log_bin", "log_bin"), r6("log_z", "log_z"))
+
+
+def _tree_down() -> str:
+    own = f"CASE WHEN zc IS NULL THEN 1.0 ELSE exp(ln({_RHO}) + l - z) END"
+    out = [f"root_p AS (SELECT node, parent, 1.0 * {own} AS p, 1.0 - {own} AS r, y, e FROM root_z)"]
+    for name, above in (("top", "root"), ("mid", "top"), ("leaf", "mid")):
+        out.append(f"{name}_p AS (SELECT x.node, x.parent, u.r * {own} AS p, u.r * (1 - {own}) AS r, x.y, x.e FROM {name}_z x JOIN {above}_p u ON u.node = x.parent)")
+    return ",\n    ".join(out)
+
+
+@register("tree_posterior", o.query(_TREE, _tree_z(), _tree_down(), select=" UNION ALL ".join(f"SELECT node, {k} AS level, {o.rounded('p')} AS p_bin, {o.rounded(f'(y + {_TA}) / (e + {_TB})')} AS rate FROM {n}_p" for n, k in _EACH)))
+def tree_posterior(spark, sf_dir):
+    return tree.tree_posterior(customers_tree(spark, sf_dir), _TA, _TB, _RHO).select("node", "level", r6("p_bin", "p_bin"), r6("rate", "rate"))
+
+
+@register("tree_leaf_rates", o.query(_TREE, _tree_z(), _tree_down(), f"""
+    rt AS ({" UNION ALL ".join(f"SELECT node, parent, p * (y + {_TA}) / (e + {_TB}) AS x FROM {n}_p" for n, _ in _EACH)})""",
+    select=f"SELECT l.node, {o.rounded('l.x + m.x + t.x + r.x')} AS rate FROM rt l JOIN rt m ON m.node = l.parent JOIN rt t ON t.node = m.parent JOIN rt r ON r.node = t.parent WHERE l.node LIKE 'c%'"))
+def tree_leaf_rates(spark, sf_dir):
+    p = tree.tree_posterior(customers_tree(spark, sf_dir), _TA, _TB, _RHO)
+    return tree.leaf_rates(p, 4).where("node LIKE 'c%'").select("node", r6("rate", "rate"))
+
+
+def _tree_best() -> str:
+    cut = f"coalesce(ln({1 - _RHO}) + zc > ln({_RHO}) + l, false)"
+    out = [f"root_b AS (SELECT node, y, e, {cut} AS cut FROM root_z)"]
+    for name, above in (("top", "root"), ("mid", "top"), ("leaf", "mid")):
+        out.append(f"{name}_b AS (SELECT x.node, x.y, x.e, {cut} AS cut FROM {name}_z x JOIN {above}_b u ON u.node = x.parent AND u.cut)")
+    return ",\n    ".join(out)
+
+
+@register("tree_best_partition", o.query(_TREE, _tree_z(True), _tree_best(), select=" UNION ALL ".join(f"SELECT node, {k} AS level, y, e AS exposure FROM {n}_b WHERE NOT cut" for n, k in _EACH)))
+def tree_best_partition(spark, sf_dir):
+    return tree.best_partition(customers_tree(spark, sf_dir), _TA, _TB, _RHO)
+
+
+_SETTINGS = [(a, b, r) for a in (1.0, 2.0, 8.0) for b in (0.1, 0.2, 0.8) for r in (0.2, 0.5, 0.8)]
+
+
+@register("tree_prior_search")
+def tree_prior_search(spark, sf_dir):
+    return tree.prior_search(customers_tree(spark, sf_dir), _SETTINGS)
+
+
+@register("tree_held_out")
+def tree_held_out(spark, sf_dir):
+    first = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0")
+    return tree.held_out(customers_tree(spark, sf_dir, first), customers_tree(spark, sf_dir), _TA, _TB, _RHO)
+
+
+@register("merge_neighbours")
+def merge_neighbours(spark, sf_dir):
+    """Neighbouring months of a region's orders, joined greedily."""
+    g = month_grid(spark, sf_dir)
+    bins = g.select(F.col("r").cast("string").alias("region"), F.lpad(F.col("c").cast("string"), 2, "0").alias("node"), "y", F.col("e").alias("exposure"))
+    edges = g.where("c < 11").select(F.col("r").cast("string").alias("region"), F.lpad(F.col("c").cast("string"), 2, "0").alias("a"), F.lpad((F.col("c") + 1).cast("string"), 2, "0").alias("b"))
+    return tree.merge_neighbours(bins, edges, 1.0, 0.02)
+
+
+def _dyadic(levels: int) -> str:
+    ev = "(2.0 * ln(0.5) - lgamma(2.0) + lgamma(y + 2.0) - (y + 2.0) * ln(e + 0.5))"
+    out = [f"d0 AS (SELECT series_id, k, y, e, {ev} AS z FROM flat)"]
+    for d in range(1, levels + 1):
+        out.append(f"d{d} AS (SELECT series_id, k, y, e, greatest({ev}, zc) + ln(1 + exp(-abs({ev} - zc))) + ln(0.5) AS z FROM (SELECT series_id, k // 2 AS k, sum(y) AS y, sum(e) AS e, sum(z) AS zc FROM d{d - 1} GROUP BY 1, 2))")
+    return ",\n    ".join(out)
+
+
+@register("dyadic_tree", o.query(o.HOURLY, "flat AS (SELECT types.series_id, r.k, coalesce(y, 0.0)::DOUBLE AS y, 1.0::DOUBLE AS e FROM types CROSS JOIN (SELECT unnest(range(512)) AS k) r LEFT JOIN counted c ON c.series_id = types.series_id AND c.k = r.k)", _dyadic(9), select=f"SELECT series_id, {o.rounded('z')} AS log_evidence FROM d9"))
+def dyadic_tree(spark, sf_dir):
+    return tree.dyadic(hourly(spark, sf_dir, 511), 512, 2.0, 0.5, 0.5).select("series_id", r6("log_evidence", "log_evidence"))
+
+
+# Baselines
+
+
+@register("histogram", o.query(o.DAILY, select=f"SELECT series_id, ((k + 2) // 5)::INTEGER AS bin, count(*)::BIGINT AS n, sum(y) AS total, {o.rounded('avg(y)')} AS rate FROM ser GROUP BY 1, 2"))
+def histogram(spark, sf_dir):
+    return baselines.histogram(daily(spark, sf_dir), 5, 2).withColumn("rate", F.round("rate", 6) + F.lit(0.0))
+
+
+_WIDTHS = [2, 3, 5, 6, 10]
+
+
+@register("width_choice", o.query(o.DAILY, f"""
+    settings AS (SELECT w, unnest(range(w)) AS off FROM (SELECT unnest({_WIDTHS}) AS w)),
+    full_bins AS (SELECT series_id, w, off, (k - off) // w AS bin, sum(y) AS y FROM ser, settings WHERE k >= off AND off + ((k - off) // w + 1) * w - 1 <= 29 GROUP BY 1, 2, 3, 4),
+    costs AS (SELECT series_id, w, off, (2 * avg(y) - var_pop(y)) / (w * w) AS c FROM full_bins GROUP BY 1, 2, 3)""",
+    select=f"SELECT series_id, w::INTEGER AS width, {o.rounded('avg(c)')} AS cost FROM costs GROUP BY 1, 2"))
+def width_choice(spark, sf_dir):
+    return baselines.width_costs(daily(spark, sf_dir), _WIDTHS).select("series_id", "width", r6("cost", "cost"))
+
+
+@register("best_width")
+def best_width(spark, sf_dir):
+    return baselines.best_width(daily(spark, sf_dir), _WIDTHS)
+
+
+@register("kernel_rates")
+def kernel_rates(spark, sf_dir):
+    return baselines.kernel_rates(gathered(spark, sf_dir), 2.0)
+
+
+@register("fit_coverage", o.query(o.DAILY, FULL, "truth AS (SELECT series_id, avg(y) AS t FROM ser GROUP BY 1)", select=f"SELECT series_id, {o.rounded('sqrt(avg((rate - t) * (rate - t)))')} AS rms, {o.rounded('avg(CASE WHEN abs(rate - t) <= 2 * rate_std THEN 1.0 ELSE 0.0 END)')} AS covered FROM rates JOIN truth USING (series_id) GROUP BY 1"))
+def fit_coverage(spark, sf_dir):
+    d = daily(spark, sf_dir)
+    truth = d.join(d.groupBy("series_id").agg(F.avg("y").alias("true_rate")), "series_id").select("series_id", "k", "true_rate")
+    rates = fit.by_k(fit.fit(exact.gather(d, weak=1.0), "poisson", M))
+    return baselines.rms_error(rates, truth).join(baselines.coverage(rates, truth, 2.0), "series_id").select("series_id", r6("rms", "rms"), r6("covered", "covered"))
