@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ratestep.runtime import Scratch
@@ -25,21 +25,21 @@ def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> Data
     """(id, component) for every id in ``edges(a, b)``; the component is the smallest id that can be reached.
 
     Both contractions take minima with partial aggregation, so a hub with very many edges costs one row a
-    task; each round is written to the shared folder. An id without edges is not returned; no edges give an
+    task; each round is written to the shared folder, and a sum of hashes taken while it is written tells when nothing changes. An id without edges is not returned; no edges give an
     empty table. Loops and edges with a null end are left out.
     """
-    now = scratch.cut(
-        edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
-    )
-    seen = None
-    for _ in range(max_rounds):
-        after = scratch.cut(_small_star(_large_star(now).distinct()).distinct(), "star")
-        mark = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        scratch.drop(now)
+    now, seen = edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), None
+    for k in range(max_rounds):
+        watch = Observation()
+        mark = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")]
+        after = scratch.cut(_small_star(_large_star(now)).distinct().observe(watch, *mark), "star")
+        got = watch.get
+        if k:
+            scratch.drop(now)
         now = after
-        if mark == seen:
+        if got == seen or not got["n"]:
             break
-        seen = mark
+        seen = got
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
     return now.select(F.col("b").alias("id"), F.col("a").alias("component")).unionByName(

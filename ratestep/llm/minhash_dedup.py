@@ -4,12 +4,14 @@ Steps: every text becomes the set of its distinct 64-bit shingle hashes (vectori
 bounded size). Documents with equal sets are one class, found with a partial aggregate on a 128-bit sum of
 the set; only the smallest document of a class goes on. One pass over its set gives ``bins`` minima; an empty bin takes
 the value of the occupied bin that a fixed random order of the bins, its own, names first. ``rows`` bins make one
-band, each band one bucket key. In a bucket every document is paired with one hub only, so a
-bucket of n documents gives n - 1 pairs. Pairs pass a size test (exact) and a sketch test (wrong with a
-probability of less than 1e-9), then the full sets are compared. Buckets that still span several components get
-further stars around other hubs, until a round finds no untested pair or ``rounds`` is reached.
-
-A pair at similarity 0.75 shares no bucket with probability (1 - 0.75**5)**48 = 2e-6, less above it.
+band, each band one bucket key. In a bucket every document is paired with its hub, the smallest id, so a
+bucket of n documents gives n - 1 pairs. Pairs pass a size test (exact) and a sketch test (five standard
+deviations of slack), then the full sets are compared. What a star leaves apart is settled by a second pass over the
+buckets that still span several components, in pairs of blocks of bounded size: members whose sketch is like that of
+a member of another component bring their texts, the full sets of a block are intersected at once, and what leaves a
+task are the links that join components there, never all pairs.
+
+A pair at similarity 0.75 shares no bucket with probability (1 - 0.75**4)**32 = 5e-6, less above it.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,9 @@ from ratestep.runtime import Scratch, bounded_batches
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
+BLOCK = 512
+#: The filter of the documents that share a bucket has this many bits at most.
+FILTER_BITS = 1 << 25
 _STEP = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -60,10 +66,11 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = 5) -> list[np.n
 
 
 class OneHash:
-    """One-permutation signatures of ``bands * rows`` bins."""
+    """One-permutation signatures; the first ``bands * rows`` of a fixed random order of the bins make the bands."""
 
-    def __init__(self, bands: int, rows: int):
-        self.bands, self.rows, self.bins = bands, rows, bands * rows
+    def __init__(self, bands: int, rows: int, bins: int):
+        self.bands, self.rows, self.bins = bands, rows, bins
+        self.used = np.random.default_rng(bins).permutation(bins)[: bands * rows]
         k = np.arange(self.bins, dtype=U64)
         with np.errstate(over="ignore"):
             self.order = (mix64(k[:, None] * U64(0x9E3779B97F4A7C15) + mix64(k[None, :] + U64(77))) >> U64(40)).astype(np.uint32)
@@ -86,14 +93,14 @@ class OneHash:
 
     def keys(self, sig: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return mix64((sig.reshape(self.bands, self.rows) * self.weight).sum(1, dtype=U64) + self.salt).view(np.int64)
+            return mix64((sig[self.used].reshape(self.bands, self.rows) * self.weight).sum(1, dtype=U64) + self.salt).view(np.int64)
 
 
-def sign(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
+def sign(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int, bins: int) -> DataFrame:
     """One row a document: id, n, the 128-bit sum of its set, band keys and an 8-bit sketch of each bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = OneHash(bands, rows)
+        h = OneHash(bands, rows, bins)
         for batch in batches:
             data, off, _ = columns(batch, text_col)
             n, f1, f2, keys, sketch = [], [], [], [], []
@@ -117,34 +124,146 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, ro
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, "id long, n long, f1 long, f2 long, keys array<long>, sketch binary")
 
 
+def _least(threshold: float, bins: int, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """The share of equal sketch bins below which a pair is not over the threshold."""
+    eff = np.maximum(np.minimum(np.minimum(na, nb), bins), 1)
+    return threshold - 5 * np.sqrt(threshold * (1 - threshold) / eff)
+
+
 def _alike(threshold: float, bins: int):
-    """Rows whose sketches could belong to a pair over the threshold (seven standard deviations of slack)."""
+    """Rows whose sketches could belong to a pair over the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.frombuffer(b"".join(batch.column("sa").to_pylist()), dtype=np.uint8).reshape(-1, bins)
-            y = np.frombuffer(b"".join(batch.column("sb").to_pylist()), dtype=np.uint8).reshape(-1, bins)
-            eff = np.minimum(np.minimum(batch.column("na").to_numpy(), batch.column("nb").to_numpy()), bins)
-            least = threshold - 7 * np.sqrt(threshold * (1 - threshold) / np.maximum(eff, 1))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, bins) for c in ("sa", "sb"))
+            least = _least(threshold, bins, batch.column("na").to_numpy(), batch.column("nb").to_numpy())
             yield batch.filter(pa.array((x == y).mean(1) >= least)).select(["a", "b"])
 
     return run
 
 
+def _grouped(columns_: tuple[str, ...], solve, out_names: list[str], out_types: list[pa.DataType]):
+    """A worker over groups (key, i, j) that arrive sorted; ``solve(head, rows)`` gives a group's output rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, out = None, [], []
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(out_types)], out_names)
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("key", "i", "j", *columns_)]
+            for key, i, j, *rest in zip(*cols, strict=True):
+                if (key, i, j) != now:
+                    if len(held) > 1:
+                        out += solve(now, held)
+                    if len(out) > 20_000:
+                        yield pack()
+                        out = []
+                    now, held = (key, i, j), []
+                held.append(rest)
+        if len(held) > 1:
+            out += solve(now, held)
+        if out:
+            yield pack()
+
+    return run
+
+
+def _unsettled(threshold: float, bins: int):
+    """Members of a group whose sketch is like that of a member of another component."""
+
+    def solve(head: tuple, rows: list) -> list[tuple]:
+        n, part = (np.array([r[k] for r in rows]) for k in (1, 2))
+        side = np.array([r[3] for r in rows], dtype=bool)
+        x = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8).reshape(-1, bins)
+        hit = np.zeros(len(rows), dtype=bool)
+        for k in np.flatnonzero(~side):
+            r = np.flatnonzero((part != part[k]) & (side if side.any() else np.arange(len(rows)) > k))
+            r = r[np.minimum(n[r], n[k]) >= threshold * np.maximum(n[r], n[k]) - 1e-9]
+            if len(r):
+                r = r[(x[r] == x[k]).mean(1) >= _least(threshold, bins, n[r], n[k])]
+                hit[r] = True
+                hit[k] |= len(r) > 0
+        return [(*head, rows[k][0], rows[k][2], rows[k][3]) for k in np.flatnonzero(hit)]
+
+    return _grouped(
+        ("id", "n", "part", "side", "sketch"), solve, ["key", "i", "j", "id", "part", "side"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+    )
+
+
+def common_counts(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """(n, n) sizes of all intersections: products of slices of the incidence matrix, without shingles that only one set has."""
+    n = len(sets)
+    flat, who = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, who = flat[order], who[order]
+    new = np.r_[True, flat[1:] != flat[:-1]]
+    col = np.cumsum(new) - 1
+    shared = np.bincount(col) > 1
+    keep = shared[col]
+    col, who = (np.cumsum(shared) - 1)[col[keep]], who[keep]
+    out = np.zeros((n, n))
+    cut = np.searchsorted(col, np.arange(0, (col[-1] if len(col) else -1) + width + 1, width))
+    for k in range(len(cut) - 1):
+        x = np.zeros((n, width), dtype=np.float32)
+        x[who[cut[k] : cut[k + 1]], col[cut[k] : cut[k + 1]] - k * width] = 1
+        out += x @ x.T
+    return out
+
+
+def _joining(width: int, percent: int):
+    """Links between components in a group, one for each pair of components that it joins at most."""
+
+    def solve(head: tuple, rows: list) -> list[tuple]:
+        open_ = zstandard.ZstdDecompressor().decompress
+        raw = [open_(r[3]) for r in rows]
+        off = np.r_[0, np.cumsum([len(x) for x in raw])].astype(np.int64)
+        sets = shingle_sets(np.frombuffer(b"".join(raw), dtype=np.uint8), off, width)
+        ids, part = [r[0] for r in rows], [r[1] for r in rows]
+        side = np.array([r[2] for r in rows], dtype=bool)
+        size = np.array([len(s) for s in sets])
+        both = common_counts(sets)
+        linked = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (both > 0)
+        if side.any():
+            linked &= side[None, :] & ~side[:, None]
+        own = np.array(part)
+        p, q = np.nonzero(np.triu(linked | linked.T, 1) & (own[:, None] != own[None, :]))
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                root[c] = root.get(root[c], root[c])
+                c = root[c]
+            return c
+
+        out = []
+        for a, b in zip(p.tolist(), q.tolist(), strict=True):
+            x, y = find(part[a]), find(part[b])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((max(ids[a], ids[b]), min(ids[a], ids[b])))
+        return out
+
+    return _grouped(("id", "part", "side", "z"), solve, ["a", "b"], [pa.int64(), pa.int64()])
+
+
 def _verified(width: int, percent: int):
     """Compares the full sets of both texts; the right one repeats in consecutive rows and is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor().decompress
+
+        def set_of(z: pa.Scalar) -> np.ndarray:
+            raw = np.frombuffer(open_(z.as_py()), dtype=np.uint8)
+            return shingle_sets(raw, np.array([0, len(raw)]), width)[0]
+
         last_id, last = None, np.zeros(0, dtype=U64)
         for batch in batches:
-            data, off, _ = columns(batch, "ta")
-            hubs, texts, keep = batch.column("b").to_pylist(), batch.column("tb"), []
-            for k, s in enumerate(shingle_sets(data, off, width)):
-                if hubs[k] != last_id:
-                    raw = np.frombuffer(texts[k].as_py().encode(), dtype=np.uint8)
-                    last_id, last = hubs[k], shingle_sets(raw, np.array([0, len(raw)]), width)[0]
+            keep = []
+            for k, hub in enumerate(batch.column("b").to_pylist()):
+                if hub != last_id:
+                    last_id, last = hub, set_of(batch.column("zb")[k])
+                s = set_of(batch.column("za")[k])
                 both = len(np.intersect1d(s, last, assume_unique=True))
                 keep.append(100 * both >= percent * (len(s) + len(last) - both) and both > 0)
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
@@ -152,6 +271,36 @@ def _verified(width: int, percent: int):
     return run
 
 
+def _packed_texts(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFrame:
+    """(id, z): compressed texts of the documents that a Bloom filter of ``ids`` lets through: all of ``ids``, and few others.
+
+    The filter has FILTER_BITS bits at most, whatever the input; when it fills up, more texts pass and are dropped by the join.
+    """
+    spark = docs.sparkSession
+    there = ids.count()
+    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(12, (16 * max(there, 1)).bit_length()))
+    spots = ids.select(F.explode(F.array(*(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(bits)) for k in (1, 2)))).alias("p"))
+    words = spots.groupBy((F.col("p") / 8).cast("long").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("p") % 8).cast("int"))).alias("b")).toArrow()
+    table = np.zeros(bits // 8, dtype=np.uint8)
+    table[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    shared = spark.sparkContext.broadcast(table.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = np.frombuffer(shared.value, dtype=np.uint8)
+        press = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            ok = np.ones(batch.num_rows, dtype=bool)
+            for k in (1, 2):
+                p = batch.column(f"p{k}").to_numpy(zero_copy_only=False)
+                ok &= t[p // 8] >> (p % 8).astype(np.uint8) & 1 == 1
+            if ok.any():
+                kept = batch.filter(pa.array(ok))
+                yield pa.RecordBatch.from_arrays([kept.column("id"), pa.array([press(x.encode()) for x in kept.column("text").to_pylist()], pa.binary())], ["id", "z"])
+
+    mine = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return mine.withColumns({f"p{k}": F.pmod(F.xxhash64("id", F.lit(k)), F.lit(bits)) for k in (1, 2)}).mapInArrow(run, "id long, z binary")
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -159,92 +308,63 @@ def near_duplicates(
     text_col: str = "text",
     width: int = 5,
     percent: int = 75,
-    bands: int = 48,
-    rows: int = 5,
-    rounds: int = 4,
+    bands: int = 32,
+    rows: int = 4,
+    bins: int = 256,
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept), a row for every row of ``docs``.
 
     Links documents with 100 * intersection >= ``percent`` * union of their word shingles. Null and empty
     texts, and texts of white space only, have empty sets and link with nothing: component_id is their own id. Rows that
-    repeat an id count as one document; each gets a row. A null id gets a null component_id and is kept. Ties
-    go to the smallest id. Other columns of ``docs``, of whatever names, are not read. An empty table gives an
-    empty result.
+    repeat an id each get a row with that id's component; if their texts differ, the component is that of the row's own text. A null id
+    gets a null component_id and is kept. Other columns of ``docs``, of whatever names, are not read. An empty table
+    gives an empty result.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "minhash")
-    signed = scratch.cut(sign(docs, id_col, text_col, width, bands, rows), "signed")
-    known = signed.where(F.col("n") > 0).where(F.col("id").isNotNull())
-    classes = scratch.cut(known.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")), "classes")
-    reps = scratch.cut(
-        known.join(classes.select("f1", "f2", F.col("rep").alias("id")), ["id", "f1", "f2"], "left_semi").dropDuplicates(["id", "f1", "f2"]), "reps"
-    )
-    rows_of = scratch.cut(_shared(reps.select("id", "n", F.explode("keys").alias("key"))), "buckets")
+    docs = docs.withColumn(id_col, F.col(id_col).cast("long"))
+    signed = scratch.cut(sign(docs, id_col, text_col, width, bands, rows, bins), "signed")
+    known = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
+    reps = known.groupBy("f1", "f2", "n").agg(F.min_by(F.struct("id", "keys", "sketch"), "id").alias("r"))
+    reps = scratch.cut(reps.select("f1", "f2", "n", "r.*"), "reps")
+    dealt = reps.select("id", "n", F.explode("keys").alias("key"))
+    hubs = dealt.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("hi")).where("hub.id < hi")
+    shared = scratch.cut(dealt.join(hubs.select("key", F.col("hub.id").alias("b"), F.col("hub.n").alias("nb")), "key"), "buckets")
     sketches = reps.select("id", "n", "sketch")
-    links = _links(docs, id_col, text_col, scratch, rows_of, sketches, width, percent, bands * rows, rounds)
+    own = scratch.cut(_packed_texts(docs, id_col, text_col, shared.select("id").distinct()), "texts")
+
+    star = (
+        shared.where(F.col("id") != F.col("b")).where(100 * F.least("n", "nb") >= percent * F.greatest("n", "nb"))
+        .select(F.col("id").alias("a"), "b", F.col("n").alias("na"), "nb").distinct()
+    )
+    sketched = star.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+    likely = sketched.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_alike(percent / 100, bins), "a long, b long")
+    links = _confirmed(likely, own, scratch, width, percent)
+    parts = components(scratch, links)
+
+    placed = shared.select("key", "id", "n").join(parts.withColumnRenamed("component", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
+    spans = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+    apart = placed.join(spans.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "key").join(sketches.select("id", "sketch"), "id")
+    blocks = (
+        apart.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "n", "part", (F.col("own") > F.col("other")).alias("side"), "sketch")
+    )
+    dealt_out = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    open_ = dealt_out(blocks).mapInArrow(_unsettled(percent / 100, bins), "key long, i int, j int, id long, part long, side boolean")
+    more = dealt_out(scratch.cut(open_, "open").join(own, "id")).mapInArrow(_joining(width, percent), "a long, b long")
+    links = links.unionByName(scratch.cut(more, "more"))
     parts = components(scratch, links)
-    found = classes.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
-    out = signed.join(found, ["f1", "f2", "n"], "left")
+
+    classes = reps.select("f1", "f2", "id").join(parts, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("component"))
+    out = signed.select("id", "n", "f1", "f2").join(classes, ["f1", "f2"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id")
     ).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Rows of buckets that more than one document shares."""
-    many = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    return rows.join(many, "key", "left_semi")
-
-
-def _links(docs, id_col, text_col, scratch, rows_of, sketches, width, percent, bins, rounds) -> DataFrame:
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    links, tested, left = None, None, rows_of
-    for k in range(rounds):
-        # Round 0 takes the smallest id of a bucket as its hub, so that one pair a document covers all its
-        # buckets; later rounds take hubs in an order that each bucket draws for itself.
-        order = F.col("id") if k == 0 else F.col("id").bitwiseXOR(F.xxhash64("key", F.lit(k)))
-        if k:
-            parts = components(scratch, links)
-            left = scratch.cut(
-                _apart(left.drop("part").join(parts.withColumnRenamed("component", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))), "left"
-            )
-            if left.isEmpty():
-                break
-        hubs = left.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n", *(["part"] if k else []))).alias("hub"))
-        pairs = left.join(hubs, "key").where(F.col("id") != F.col("hub.id"))
-        if k:
-            pairs = pairs.where(F.col("part") != F.col("hub.part"))
-        pairs = (
-            pairs.where(100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
-            .select(F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b"))
-            .distinct()
-        )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        likely = (
-            pairs.join(sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-            .join(sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-            .select("a", "b", "na", "nb", "sa", "sb")
-            .mapInArrow(_alike(percent / 100, bins), "a long, b long")
-        )
-        likely = scratch.cut(likely, "likely")
-        needed = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
-        own = scratch.cut(texts.join(needed, "id", "left_semi"), "texts")
-        full = (
-            likely.join(own.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-            .join(own.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-            .select("a", "b", "ta", "tb")
-        )
-        new = scratch.cut(full.mapInArrow(_verified(width, percent), "a long, b long"), "links")
-        scratch.drop(own)
-        links = new if links is None else links.unionByName(new)
-        tested = likely if tested is None else tested.unionByName(likely)
-    return links
-
-
-def _apart(rows: DataFrame) -> DataFrame:
-    """Rows of buckets that still span several components."""
-    many = rows.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-    return rows.join(many, "key", "left_semi")
+def _confirmed(pairs: DataFrame, own: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
+    full = pairs.join(own.select(F.col("id").alias("a"), F.col("z").alias("za")), "a").join(own.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b")
+    return scratch.cut(full.select("a", "b", "za", "zb").mapInArrow(_verified(width, percent), "a long, b long"), "links")
