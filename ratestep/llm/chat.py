@@ -57,6 +57,7 @@ def paths(nodes: DataFrame, scratch: Scratch) -> DataFrame:
 
     ``nodes`` has tree, node and parent with one row a node; a parent that is null or not there makes a root. Cycles are refused.
     """
+    nodes = scratch.cut(nodes.select("tree", "node", "parent"), "links")
     there = nodes.select("tree", F.col("node").alias("parent"))
     jump = scratch.cut(nodes.where(F.col("parent").isNotNull()).select("tree", "node", "parent").join(there, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("far")), "jump")
     leaves = nodes.select("tree", "node").join(jump.select("tree", F.col("far").alias("node")).distinct(), ["tree", "node"], "left_anti")
@@ -69,7 +70,8 @@ def paths(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     out = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
     for k in range(len(jumps) - 1, -1, -1):
         more = out.join(jumps[k], ["tree", "node"]).select("tree", "leaf", F.col("far").alias("node"), (F.col("up") + (1 << k)).alias("up"))
-        out = out.unionByName(more)
+        # Written: the rows are read twice in the next round, and a plan that repeats its input doubles with each.
+        out = scratch.cut(out.unionByName(more), "paths")
     return out
 
 
