@@ -37,7 +37,7 @@ def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> Data
         if k:
             scratch.drop(now)
         now = after
-        if got == seen or not got["n"]:
+        if got == seen or not got.get("n"):
             break
         seen = got
     else:

@@ -166,7 +166,7 @@ def identify(
     shared = spark.sparkContext.broadcast(model)
     added = ["held_out", "lang_pred", "score", "ambiguous"]
     kept = [c for c in (keep or [id_col]) if c not in added]
-    text = text_col if text_col in kept else "__t"
+    text = text_col if text_col in kept else "_".join(["text", *kept])  # a name that none of them has
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % held_out == 0, F.lit(False))
     wide = docs.select(*kept, held.alias("held_out"), *([] if text in kept else [F.col(text_col).alias(text)]))
 

@@ -70,26 +70,14 @@ def mix(
     """
     scratch = Scratch(docs.sparkSession, "mix")
     by = scratch.cut(rates(docs, source_col=source_col, text_col=text_col, weights=weights, temperature=temperature, epochs=epochs), "rates")
-    by = by.select(F.col("key").alias("mix_key"), F.col("rate").alias("mix_rate"), F.col("parts").alias("mix_parts"), F.col("cdf").alias("mix_cdf"))
     keep = [c for c in (columns or docs.columns) if c not in ("mix_copy", "mix_copies", "mix_rate", "mix_order")]
-    drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("mix_parts")),
-        F.lit(0),
-        lambda acc, j: acc + F.aggregate("mix_cdf", F.lit(0), lambda n, c: n + F.when(c <= _drawn(id_col, seed, j), 1).otherwise(0)),
-    )
-    one = F.size(F.filter("mix_cdf", lambda c: c <= F.col("mix_u")))
-    joined = (
-        docs.select(*keep)
-        .withColumn("mix_key", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-        .join(by, "mix_key")
-        .withColumn("mix_u", _drawn(id_col, seed, F.lit(1)))
-        .withColumn("mix_copies", F.when(F.col("mix_parts") == 1, one).otherwise(drawn))
-    )
-    out = joined.select(*keep, "mix_rate", "mix_copies", F.explode(F.when(F.col("mix_copies") > 0, F.sequence(F.lit(1), F.col("mix_copies")))).alias("mix_copy"))
-    out = out.withColumn("mix_order", F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("mix_copy").cast("string"))))
-    return out.repartition("mix_order").sortWithinPartitions("mix_order")
-
-
-def _drawn(id_col: str, seed: str, part: Column) -> Column:
-    return uniform(seed, F.col(id_col), part)
-
+    # What is kept travels in one struct, so that its names cannot clash with those used here.
+    rows = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("key"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"))
+    u = lambda j: uniform(seed, F.col("id"), j)
+    below = lambda v: F.aggregate("cdf", F.lit(0), lambda n, c: n + F.when(c <= v, 1).otherwise(0))
+    drawn = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda acc, j: acc + below(u(j)))
+    counted = rows.join(by, "key").withColumn("u", u(F.lit(1))).withColumn("mix_copies", F.when(F.col("parts") == 1, F.size(F.filter("cdf", lambda c: c <= F.col("u")))).otherwise(drawn))
+    copies = F.explode(F.when(F.col("mix_copies") > 0, F.sequence(F.lit(1), F.col("mix_copies"))))
+    out = counted.select("row", "id", F.col("rate").alias("mix_rate"), "mix_copies", copies.alias("mix_copy"))
+    order = F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), "id", F.col("mix_copy").cast("string")))
+    return out.select("row.*", "mix_rate", "mix_copies", "mix_copy", order.alias("mix_order")).repartition("mix_order").sortWithinPartitions("mix_order")

@@ -85,29 +85,22 @@ def llr(tokens: Column, table: list[float]) -> Column:
 def find_secrets(docs: DataFrame, table: list[float], *, id_col: str = "doc_id", text_col: str = "text", least_llr: float = 7.0, keep: list[str] | None = None) -> DataFrame:
     """``keep`` (the id by default) of each row with ``found``: its spans (start, kind, end) in code points, by start, then kind.
 
+    A column called found is replaced.
+
     Kinds 0 to 2 are the base patterns, 3 the tokens whose ratio is ``least_llr`` or more and that
     overlap no base span. A null text is empty and has no spans; rows that repeat are scanned alike.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keep = keep or [id_col]
-    base = docs.select(*keep, text.alias("__t")).withColumns({
-        "__base": F.concat(_spans(F.col("__t"), ASSIGN, 0, 2, 12), _spans(F.col("__t"), ACCESS, 1), _spans(F.col("__t"), HEX, 2)),
-        "__tok": _spans(F.col("__t"), TOKEN, 3),
+    # What is kept travels in one struct, so that its names cannot clash with those used here.
+    kept = [c for c in (keep or [id_col]) if c != "found"]
+    base = docs.select(F.struct(*kept).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumns({
+        "base": F.concat(_spans(F.col("t"), ASSIGN, 0, 2, 12), _spans(F.col("t"), ACCESS, 1), _spans(F.col("t"), HEX, 2)),
+        "tok": _spans(F.col("t"), TOKEN, 3),
     })
-    scored = base.withColumn(
-        "__scored",
-        F.when(
-            F.size("__tok") > 0, F.arrays_zip(F.col("__tok").alias("s"), llr(F.regexp_extract_all("__t", F.lit(TOKEN), F.lit(0)), table).alias("r"))
-        ),
-    )
-    added = F.transform(
-        F.filter(
-            "__scored",
-            lambda x: (x["r"] >= least_llr) & ~F.exists("__base", lambda b: (b["start"] < x["s"]["end"]) & (x["s"]["start"] < b["end"])),
-        ),
-        lambda x: x["s"],
-    )
-    return scored.select(*keep, F.array_sort(F.concat("__base", F.coalesce(added, F.array().cast(SPAN)))).alias("found"))
+    ratios = F.arrays_zip(F.col("tok").alias("s"), llr(F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0)), table).alias("r"))
+    scored = base.withColumn("scored", F.when(F.size("tok") > 0, ratios))
+    overlaps = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    added = F.transform(F.filter("scored", lambda x: (x["r"] >= least_llr) & ~overlaps(x["s"])), lambda x: x["s"])
+    return scored.select("row.*", F.array_sort(F.concat("base", F.coalesce(added, F.array().cast(SPAN)))).alias("found"))
 
 
 def _named(spans: Column) -> Column:
