@@ -78,6 +78,6 @@ def mix(
     drawn = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda acc, j: acc + below(u(j)))
     counted = rows.join(by, "key").withColumn("u", u(F.lit(1))).withColumn("mix_copies", F.when(F.col("parts") == 1, F.size(F.filter("cdf", lambda c: c <= F.col("u")))).otherwise(drawn))
     copies = F.explode(F.when(F.col("mix_copies") > 0, F.sequence(F.lit(1), F.col("mix_copies"))))
-    out = counted.select("row", "id", F.col("rate").alias("mix_rate"), "mix_copies", copies.alias("mix_copy"))
     order = F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), "id", F.col("mix_copy").cast("string")))
-    return out.select("row.*", "mix_rate", "mix_copies", "mix_copy", order.alias("mix_order")).repartition("mix_order").sortWithinPartitions("mix_order")
+    out = counted.select("row", "id", F.col("rate").alias("mix_rate"), "mix_copies", copies.alias("mix_copy")).withColumn("mix_order", order)
+    return out.select("row.*", "mix_rate", "mix_copies", "mix_copy", "mix_order").repartition("mix_order").sortWithinPartitions("mix_order")

@@ -100,7 +100,7 @@ def find_secrets(docs: DataFrame, table: list[float], *, id_col: str = "doc_id",
     scored = base.withColumn("scored", F.when(F.size("tok") > 0, ratios))
     overlaps = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     added = F.transform(F.filter("scored", lambda x: (x["r"] >= least_llr) & ~overlaps(x["s"])), lambda x: x["s"])
-    return scored.select("row.*", F.array_sort(F.concat("base", F.coalesce(added, F.array().cast(SPAN)))).alias("found"))
+    return scored.withColumn("found", F.array_sort(F.concat("base", F.coalesce(added, F.array().cast(SPAN))))).select("row.*", "found")
 
 
 def _named(spans: Column) -> Column:

@@ -102,7 +102,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * logit + self.shift, -50, 50)))
 
 
-def fit(texts: list[bytes], labels: np.ndarray, *, dim: int = 8, steps: int = 90, rate: float = 0.3, max_windows: int = 12, least_seen: int = 4, floor: float = 0.03, seed: int = 1) -> Model:
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each of runs of the given sizes."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+
+
+def fit(texts: list[bytes], labels: np.ndarray, *, dim: int = 4, steps: int = 90, rate: float = 0.3, max_windows: int = 16, least_seen: int = 3, floor: float = 0.03, seed: int = 1) -> Model:
     """Joint training of bucket vectors and softmax weights by Adam over all windows of the sample."""
     rng = np.random.default_rng(seed)
     off = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
@@ -142,9 +148,12 @@ def fit(texts: list[bytes], labels: np.ndarray, *, dim: int = 8, steps: int = 90
     fsize = np.array([len(f) for f in feats])
     bucket, form = np.concatenate(feats), np.repeat(np.arange(len(feats)), fsize)
     used, slot = np.unique(bucket, return_inverse=True)
-    # A bucket that few windows have says nothing of its class: its vector stays zero.
-    seen = np.bincount(slot, weights=np.bincount(flat, minlength=len(feats))[form], minlength=len(used))
-    common = (seen >= least_seen).astype(np.float32)[:, None]
+    # A bucket that few documents have says nothing of its class: its vector stays zero.
+    known = np.unique(flat * len(labels) + doc[win])
+    held = np.bincount(known // len(labels), minlength=len(feats))
+    first = np.searchsorted(known // len(labels), np.arange(len(feats)))
+    once = np.unique(np.repeat(slot, held[form]) * len(labels) + (known % len(labels))[np.repeat(first[form], held[form]) + _within(held[form])])
+    common = (np.bincount(once // len(labels), minlength=len(used)) >= least_seen).astype(np.float32)[:, None]
     y = labels[doc].astype(np.float64)
     e = rng.normal(0, 0.05, (len(used), dim)).astype(np.float32) * common
     w = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)

@@ -131,7 +131,7 @@ def _one(buf: bytes, at: int) -> tuple[dict | None, int, str]:
     h = re.compile(rb"\r?\n\r?\n").search(buf, v.end() - 2)
     if not h:
         return None, at, "header block not ended"
-    headers = parse_headers(buf[v.end() : h.start()])
+    headers = None if _VERSION.search(buf, v.end(), h.end()) else parse_headers(buf[v.end() : h.start()])
     if headers is None:
         return None, at, "malformed header"
     length = headers.get("content-length", "")
