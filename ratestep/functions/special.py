@@ -159,6 +159,22 @@ def digamma(x) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - i * (1 / 12 - i * (1 / 120 - i * (1 / 252 - i * (1 / 240 - i / 132))))
 
 
+def log_rising(u: np.ndarray, y: float) -> np.ndarray:
+    """log Gamma(u + y) - log Gamma(u); small whole ``y`` as products, which also loses nothing at large ``u``."""
+    if y != int(y) or y > 48:
+        return lgamma(u + y) - lgamma(u)
+    out, left = np.zeros_like(u), int(y)
+    at = u.copy()
+    while left:
+        prod = at
+        for k in range(1, min(left, 8)):
+            prod = prod * (at + k)
+        out += np.log(prod)
+        at = at + min(left, 8)
+        left -= min(left, 8)
+    return out
+
+
 def betabinom_logpmf(x, n, u, v) -> np.ndarray:
     x, n = np.asarray(x, dtype=float), np.asarray(n, dtype=float)
     return log_binom(n, x) + betaln(x + u, n - x + v) - betaln(u, v)
@@ -166,6 +182,10 @@ def betabinom_logpmf(x, n, u, v) -> np.ndarray:
 
 def gamma_poisson_logpmf(y, e, u, v) -> np.ndarray:
     """Negative binomial of a count over exposure ``e`` with rate ~ Gamma(u, v)."""
+    if np.ndim(y) == 0 and isinstance(u, np.ndarray):
+        y = float(y)
+        out = log_rising(u, y) - math.lgamma(y + 1) - u * np.log1p(e / v)
+        return out + y * np.log(e / (v + e)) if y else out
     y = np.asarray(y, dtype=float)
     return lgamma(y + u) - lgamma(u) - lgamma(y + 1) + xlogy(y, e / (v + e)) - u * np.log1p(e / v)
 
