@@ -129,6 +129,18 @@ def leaf_rates(posterior: DataFrame, depth: int) -> DataFrame:
     return walk.select(F.col("leaf").alias("node"), F.col("x").alias("rate"))
 
 
+def lookup(nodes: DataFrame, bins: DataFrame, places: DataFrame, depth: int) -> DataFrame:
+    """(place, node): the bin of a partition that holds each place's node: the nearest among the node and its ancestors."""
+    up = nodes.select("node", "parent")
+    walk, found = places.select("place", "node"), None
+    for k in range(depth + 1):
+        hit = walk.join(bins.select("node"), "node").select("place", "node", F.lit(k).alias("up"))
+        found = hit if found is None else found.unionByName(hit)
+        if k < depth:
+            walk = walk.join(up, "node").where("parent IS NOT NULL").select("place", F.col("parent").alias("node"))
+    return found.groupBy("place").agg(F.min_by("node", "up").alias("node"))
+
+
 def held_out(train: DataFrame, whole: DataFrame, alpha: float, beta: float, rho: float) -> DataFrame:
     """(log_p_tree, log_p_best): log predictive of what ``whole`` adds: averaged over cuts, and in the best partition of ``train``."""
     scratch = Scratch(train.sparkSession, "tree")

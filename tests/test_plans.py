@@ -183,6 +183,9 @@ def test_tree_equals_enumeration(spark):
         assert r.p_bin == pytest.approx(sum(x for x, (_, bins) in zip(w, rows, strict=True) if r.node in bins), abs=1e-12)
     best = {r.node for r in tree.best_partition(df, 2.0, 0.5, 0.4).collect()}
     assert best == set(rows[int(lp.argmax())][1])
+    places = spark.createDataFrame([("p", "a1"), ("q", "b")], "place string, node string")
+    got = {r.place: r.node for r in tree.lookup(df, spark.createDataFrame([("a",), ("b",), ("c",)], "node string"), places, 3).collect()}
+    assert got == {"p": "a", "q": "b"}
     rates = {r.node: r.rate for r in tree.leaf_rates(post, 3).collect()}
     anc = {"a1": ["a1", "a", "r"], "b": ["b", "r"]}
     for leaf, up in anc.items():
@@ -214,3 +217,19 @@ def test_sql_surface(spark, series):
     out = spark.sql("SELECT * FROM bin_fit(TABLE(series), 3)").toPandas()
     for n, part in series.toPandas().groupby("series_id"):
         assert out[out.series_id == n].sort_values("k").rate.to_numpy() == pytest.approx(g.fit(model(part), 3).rate)
+
+
+def test_command_line(spark, tmp_path):
+    from ratestep.__main__ import REPORTS, main, options, report
+
+    rng = np.random.default_rng(0)
+    hits = rng.random((12, 20)) < np.repeat([0.05, 0.5], 10)
+    (tmp_path / "t.txt").write_text("".join("cell " + " ".join(str(k - 5) for k in np.flatnonzero(h)) + "\n" for h in hits))
+    base = [str(tmp_path / "t.txt"), "--start", "-5", "--end", "14", "--max-boundaries", "3"]
+    for name in REPORTS:
+        assert report(spark, options().parse_args([*base, "--report", name, "--train", "6"])).count() > 0
+    f = g.fit(g.Bernoulli(hits.sum(0), 12 - hits.sum(0)), 3)
+    out = report(spark, options().parse_args([*base, "--fano"])).orderBy("k").toPandas()
+    assert out.k.tolist() == list(range(-5, 15)) and out.rate.to_numpy() == pytest.approx(f.rate, rel=1e-10) and (out.fano + out.rate).to_numpy() == pytest.approx(np.ones(20))
+    main([*base, "--report", "evidence", "--out", str(tmp_path / "out")])
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 4
