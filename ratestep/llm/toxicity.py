@@ -77,11 +77,12 @@ class Model:
     table: np.ndarray
     bias: float
     slope: float
+    length: float
     shift: float
 
-    def logits(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """The largest window logit of each row; rows without words get that of an empty window."""
-        out = np.full(len(off) - 1, self.bias)
+    def logits(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The largest window logit of each row, and the log of its number of windows; rows without words count as an empty window."""
+        out, windows = np.full(len(off) - 1, self.bias), np.zeros(len(off) - 1)
         for i, j in chunks(off):
             ids, words, row, hashes = features(data, off[i : j + 1])
             if not len(row):
@@ -96,10 +97,12 @@ class Model:
                 w = min(WINDOW, n)
                 at = lo + np.r_[np.arange(0, n - w, WINDOW // 2), n - w]
                 out[i + r] = self.bias + (sums[at + w] - sums[at]).max() / WINDOW
-        return out
+                windows[i + r] = np.log(len(at))
+        return out, windows
 
-    def probability(self, logit: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * logit + self.shift, -50, 50)))
+    def probability(self, logit: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """The largest of many logits is large by chance: the calibration takes their number into account."""
+        return 1 / (1 + np.exp(-np.clip(self.slope * logit + self.length * windows + self.shift, -50, 50)))
 
 
 def _within(sizes: np.ndarray) -> np.ndarray:
@@ -141,7 +144,7 @@ def fit(texts: list[bytes], labels: np.ndarray, *, dim: int = 4, steps: int = 90
                     window_words.append(w)
                     window_doc.append(i + r)
     if not window_words:
-        return Model(np.zeros(1 << BITS, dtype=np.float32), -5.0, 1.0, 0.0)
+        return Model(np.zeros(1 << BITS, dtype=np.float32), -5.0, 1.0, 0.0, 0.0)
     doc = np.array(window_doc)
     sizes = np.array([len(w) for w in window_words])
     flat, win = np.concatenate(window_words), np.repeat(np.arange(len(sizes)), sizes)
@@ -193,22 +196,25 @@ def fit(texts: list[bytes], labels: np.ndarray, *, dim: int = 4, steps: int = 90
             x -= rate * np.sqrt(1 - 0.98**t) / (1 - 0.9**t) * both[k] / (scale + floor * scale.max() + 1e-12)
     table = np.zeros(1 << BITS, dtype=np.float32)
     table[used] = e @ (w[:, 1] - w[:, 0])
-    model = Model(table, float(c[1] - c[0]), 1.0, 0.0)
-    return calibrated(model, model.logits(data, off), labels)
+    model = Model(table, float(c[1] - c[0]), 1.0, 0.0, 0.0)
+    return calibrated(model, *model.logits(data, off), labels)
 
 
-def calibrated(model: Model, logit: np.ndarray, y: np.ndarray, steps: int = 50) -> Model:
-    """Slope and shift of a logistic curve from document logits to labels, by damped Newton steps."""
+def calibrated(model: Model, logit: np.ndarray, windows: np.ndarray, y: np.ndarray, steps: int = 60) -> Model:
+    """A logistic curve from document logits and lengths to labels, by damped Newton steps; more windows never make a text more toxic."""
     t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
     scale = max(1e-6, float(np.std(logit)))
-    x = np.stack([logit / scale, np.ones(len(logit))], axis=1)
-    a = np.zeros(2)
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (t - p) - 1e-3 * a)
-        a = a + step * min(1.0, 3 / max(1e-9, float(np.abs(step).max())))
-    model.slope, model.shift = float(max(a[0], 1e-6) / scale), float(a[1])
+    full = np.stack([logit / scale, windows, np.ones(len(logit))], axis=1)
+    for use in ([0, 1, 2], [0, 2]):
+        x, a = full[:, use], np.zeros(len(use))
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
+            h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(use))
+            step = np.linalg.solve(h, x.T @ (t - p) - 1e-3 * a)
+            a = a + step * min(1.0, 3 / max(1e-9, float(np.abs(step).max())))
+        if len(use) == 2 or a[1] <= 0:
+            break
+    model.slope, model.length, model.shift = float(max(a[0], 1e-6) / scale), float(a[1]) if len(use) == 3 else 0.0, float(a[-1])
     return model
 
 
@@ -256,7 +262,7 @@ def score(
         m = shared.value
         for batch in batches:
             data, off, _ = columns(batch, "__t")
-            p = m.probability(m.logits(data, off)) if m is not None else np.zeros(batch.num_rows)
+            p = m.probability(*m.logits(data, off)) if m is not None else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(p, pa.float64()), pa.array((p >= least).astype(np.int32))], [id_col, "held_out", "score", "predicted"]
             )
