@@ -372,7 +372,22 @@ def cyclic_evidence(spark, sf_dir):
     return f.where("log_evidence IS NOT NULL").select("series_id", "m", r6("log_evidence", "log_evidence"))
 
 
-@register("cyclic_rates")
+def _cyclic_rates() -> list[str | o.Chain]:
+    a = o.Chain(24, M - 1, ser="spun", prior="spun_prior", p="c_").bins().forward().backward()
+    b = o.Chain(24, M - 1, ser="spun", prior="spun_prior", p="c_").bin_posterior(weights=False)
+    return [o.FOLDED, _ROTATED, a, _CYC_EV, f"""
+    cyc_post AS (SELECT series_id, m, exp(u - mx) / sum(exp(u - mx)) OVER (PARTITION BY series_id) AS p FROM (SELECT *, max(u) OVER (PARTITION BY series_id) AS mx FROM cyc)),
+    lam_all AS ({o.lse("SELECT series_id, m, v AS x FROM own_lam", "series_id, m")}),
+    c_c AS (SELECT spin AS series_id, w.m, ln(p) - t.v AS c FROM (SELECT DISTINCT series_id, spin, m FROM own_lam) w JOIN cyc_post q ON q.series_id = w.series_id AND q.m = w.m + 1 JOIN lam_all t ON t.series_id = w.series_id AND t.m = w.m),
+    c_post AS (SELECT DISTINCT series_id, 0 AS m FROM spun)""", b, """
+    turned AS (SELECT DISTINCT series_id, own, s FROM spun),
+    parts AS (SELECT t.own AS series_id, (z.k + t.s) % 24 AS k, w, w * m1 AS w1, w * m2 AS w2, CASE WHEN b = z.k THEN w ELSE 0 END AS e
+        FROM c_w q JOIN turned t USING (series_id) JOIN (SELECT unnest(range(24)) AS k) z ON z.k BETWEEN q.a AND q.b
+        UNION ALL SELECT s.series_id, s.k, q.p, q.p * n1 / n2, q.p * n1 * (n1 + 1) / (n2 * n2), 0 FROM ser s JOIN cyc_post q ON q.series_id = s.series_id AND q.m = 0
+        JOIN (SELECT series_id, sum(y) + any_value(p1) AS n1, sum(e) + any_value(p2) AS n2 FROM ser JOIN prior USING (series_id) GROUP BY 1) t ON t.series_id = s.series_id)"""]
+
+
+@register("cyclic_rates", o.query(*_cyclic_rates(), select=f"SELECT series_id, k::INTEGER AS k, {o.rounded('sum(w1) / sum(w)')} AS rate, {o.rounded('sqrt(greatest(sum(w2) / sum(w) - (sum(w1) / sum(w)) * (sum(w1) / sum(w)), 0))')} AS rate_std, {o.rounded('sum(e)')} AS p_boundary FROM parts GROUP BY 1, 2"))
 def cyclic_rates(spark, sf_dir):
     return _rates(fit.by_k(fit.fit_cyclic(exact.gather(folded(spark, sf_dir), weak=1.0), "poisson", M)))
 
@@ -380,10 +395,12 @@ def cyclic_rates(spark, sf_dir):
 LEVEL = 66.0
 
 
-def _latency(inhibitory: bool = False) -> o.Chain:
+def _latency(inhibitory: bool = False, excluded: tuple[int, int] | None = None) -> o.Chain:
     hi, lo = f"CASE WHEN up > 0 THEN ln(least(up, 1)) ELSE -1e300 END", "CASE WHEN up < 1 THEN ln(1 - up) ELSE -1e300 END"
     if inhibitory:
         hi, lo = lo, hi
+    if excluded:
+        lo = f"CASE WHEN a > {excluded[0]} AND b < {excluded[1]} THEN 0 ELSE {lo} END"
     c = o.Chain(30, M).bins().forward().backward().evidences()
     c.ctes.append(f"tails AS MATERIALIZED (SELECT series_id, a, b, l, {o.gamma_tail(LEVEL)} AS up FROM bins)")
     c.ctes.append(f"under AS MATERIALIZED (SELECT series_id, a, b, l + {lo} AS l, l + {hi} AS lh FROM tails)")
@@ -411,14 +428,19 @@ def latency_summary(spark, sf_dir):
     return fit.latency_summary(fit.latency(gathered(spark, sf_dir), "poisson", LEVEL, M)).select("series_id", r6("p_total", "p_total"), (F.round("mean", 4) + F.lit(0.0)).alias("mean"))
 
 
-@register("latency_by_m")
+@register("latency_by_m", o.query(o.DAILY, _latency(), f"""
+    each AS (SELECT l.series_id, p.m, l.t AS k, sum(exp(l.v + q.v - p.last)) AS p FROM lft l JOIN aft q ON q.series_id = l.series_id AND q.t = l.t JOIN post p ON p.series_id = l.series_id AND p.m = l.n + q.j GROUP BY 1, 2, 3)""",
+    select=f"SELECT p.series_id, p.m::INTEGER AS m, s.k, {o.rounded('coalesce(each.p, 0)')} AS p FROM post p JOIN ser s ON s.series_id = p.series_id LEFT JOIN each ON each.series_id = p.series_id AND each.m = p.m AND each.k = s.k"))
 def latency_by_m(spark, sf_dir):
-    return fit.latency_by_m(gathered(spark, sf_dir), "poisson", LEVEL, M)
+    return fit.latency_by_m(gathered(spark, sf_dir), "poisson", LEVEL, M).select("series_id", "m", "k", r6("p", "p"))
 
 
-@register("latency_excluded")
+@register("latency_excluded", o.query(o.DAILY, _latency(True, (0, 5)), """
+    lat1 AS (SELECT l.series_id, l.t AS k, sum(p.p / w.p * exp(l.v + q.v - p.last)) AS p FROM lft l JOIN aft q ON q.series_id = l.series_id AND q.t = l.t
+        JOIN post p ON p.series_id = l.series_id AND p.m = l.n + q.j JOIN (SELECT series_id, sum(p) AS p FROM post WHERE m >= 1 GROUP BY 1) w ON w.series_id = l.series_id WHERE p.m >= 1 GROUP BY 1, 2)""",
+    select=f"SELECT series_id, k::INTEGER AS k, {o.rounded('p')} AS p FROM lat1"))
 def latency_excluded(spark, sf_dir):
-    return fit.latency(gathered(spark, sf_dir), "poisson", LEVEL, M, inhibitory=True, excluded=(0.0, 5.0), least_m=1)
+    return fit.latency(gathered(spark, sf_dir), "poisson", LEVEL, M, inhibitory=True, excluded=(0.0, 5.0), least_m=1).select("series_id", "k", r6("p", "p"))
 
 
 @register("above_level", o.query(o.DAILY, FULL, f"tail AS (SELECT series_id, a, b, w, {o.gamma_tail(LEVEL)} AS up FROM w)", select=f"SELECT s.series_id, s.k, {o.rounded('least(sum(w * up) / sum(w), 1)')} AS p FROM ser s JOIN tail q ON q.series_id = s.series_id AND q.a <= s.k AND q.b >= s.k GROUP BY 1, 2"))
@@ -431,9 +453,22 @@ def rate_density(spark, sf_dir):
     return fit.rate_density(gathered(spark, sf_dir), "poisson", LEVEL, M).select("series_id", "k", r6("density", "density"))
 
 
-@register("bursts")
+def _bursts() -> o.Chain:
+    c = o.Chain(30, M).bins().forward().evidences()
+    c.ctes.append(f"tails AS MATERIALIZED (SELECT series_id, a, b, l, {o.gamma_tail(LEVEL)} AS up FROM bins)")
+    lo, hi = "CASE WHEN up < 1 THEN ln(1 - up) ELSE -1e300 END", "CASE WHEN up > 0 THEN ln(least(up, 1)) ELSE -1e300 END"
+    c.ctes.append(f"in_burst AS MATERIALIZED (SELECT series_id, a, b, l + CASE WHEN a >= 10 AND b <= 19 THEN {hi} WHEN b < 10 OR a > 19 THEN {lo} ELSE -1e300 END AS l FROM tails)")
+    c.ctes.append(f"in_quiet AS MATERIALIZED (SELECT series_id, a, b, l + {lo} AS l FROM tails)")
+    c.forward("u", "l", "in_burst").forward("q", "l", "in_quiet")
+    for name in "uq":
+        parts = " UNION ALL ".join(f"SELECT series_id, {m} AS m, v FROM {name}{m} WHERE k = 29" for m in range(M + 1))
+        c.ctes.append(f"p_{name} AS (SELECT z.series_id, sum(p.p * exp(greatest(z.v, -1e290) - p.last)) AS p FROM ({parts}) z JOIN post p ON p.series_id = z.series_id AND p.m = z.m GROUP BY 1)")
+    return c
+
+
+@register("bursts", o.query(o.DAILY, _bursts(), select=f"SELECT p_u.series_id, {o.rounded('p_u.p')} AS p_burst, {o.rounded('p_q.p')} AS p_quiet FROM p_u JOIN p_q ON p_q.series_id = p_u.series_id"))
 def bursts(spark, sf_dir):
-    return fit.bursts(gathered(spark, sf_dir), "poisson", LEVEL, 10, 19, M)
+    return fit.bursts(gathered(spark, sf_dir), "poisson", LEVEL, 10, 19, M).select("series_id", r6("p_burst", "p_burst"), r6("p_quiet", "p_quiet"))
 
 
 @register("separation_level")
@@ -596,9 +631,27 @@ def month_grid_query(spark, sf_dir):
     return month_grid(spark, sf_dir)
 
 
-@register("two_level_evidence")
+_MONTHS = "grid AS (SELECT n_regionkey AS r, (month(o_orderdate) - 1)::INTEGER AS c, count(*)::DOUBLE AS y FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE year(o_orderdate) = 1995 GROUP BY 1, 2)"
+
+
+def _two_level() -> list[str | o.Chain]:
+    bands = """cells AS (SELECT r_regionkey AS r, m.c, coalesce(y, 0) AS y FROM region CROSS JOIN (SELECT unnest(range(12)) AS c) m LEFT JOIN grid ON grid.r = r_regionkey AND grid.c = m.c),
+    ser AS (SELECT x.r || '-' || z.r AS series_id, x.r AS r0, z.r AS r1, g.c::INTEGER AS k, sum(g.y) AS y, count(*)::DOUBLE AS e FROM (SELECT DISTINCT r FROM cells) x JOIN (SELECT DISTINCT r FROM cells) z ON z.r >= x.r
+        JOIN cells g ON g.r BETWEEN x.r AND z.r GROUP BY 1, 2, 3, 4),
+    prior AS (SELECT DISTINCT series_id, 1.0::DOUBLE AS p1, 0.02::DOUBLE AS p2 FROM ser)"""
+    columns = o.Chain(12, 4).bins().forward()
+    parts = " UNION ALL ".join(f"SELECT series_id, v - (lgamma(12) - lgamma({m + 1}) - lgamma({12 - m})) AS x FROM f{m} WHERE k = 11" for m in range(5))
+    columns.ctes.append(f"marg AS ({o.lse(parts, 'series_id')})")
+    columns.ctes.append("r_bins AS MATERIALIZED (SELECT DISTINCT '1995' AS series_id, r0 AS a, r1 AS b, v - ln(5) AS l FROM marg JOIN ser USING (series_id))")
+    rows = o.Chain(5, 4, p="r_").forward()
+    last = " UNION ALL ".join(f"SELECT series_id, v - (lgamma(5) - lgamma({m + 1}) - lgamma({5 - m})) AS x FROM r_f{m} WHERE k = 4" for m in range(5))
+    rows.ctes.append(f"total AS ({o.lse(last, 'series_id')})")
+    return [_MONTHS, bands, columns, rows]
+
+
+@register("two_level_evidence", o.query(*_two_level(), select=f"SELECT series_id AS grid_id, {o.rounded('v - ln(5)')} AS log_marginal FROM total"))
 def two_level_evidence(spark, sf_dir):
-    return grid.two_level(month_grid(spark, sf_dir), 1.0, 0.02, 4, 4)[0]
+    return grid.two_level(month_grid(spark, sf_dir), 1.0, 0.02, 4, 4)[0].select("grid_id", r6("log_marginal", "log_marginal"))
 
 
 @register("two_level_rates")
@@ -694,9 +747,25 @@ def tree_best_partition(spark, sf_dir):
 _SETTINGS = [(a, b, r) for a in (1.0, 2.0, 8.0) for b in (0.1, 0.2, 0.8) for r in (0.2, 0.5, 0.8)]
 
 
-@register("tree_prior_search")
+def _tree_settings() -> str:
+    ev = "(ga * ln(gb) - lgamma(ga) + lgamma(y + ga) - (y + ga) * ln(e + gb))"
+    z = "CASE WHEN zc IS NULL OR y = 0 THEN l ELSE greatest(ln(gr) + l, ln(1 - gr) + zc) + ln(1 + exp(-abs(ln(gr) + l - ln(1 - gr) - zc))) END"
+    out = [f"g AS (SELECT * FROM (VALUES {', '.join(f'({a}::DOUBLE, {b}::DOUBLE, {r}::DOUBLE)' for a, b, r in _SETTINGS)}) t(ga, gb, gr))"]
+    out.append(f"leaf_g AS (SELECT ga, gb, gr, parent, sum{ev} AS zc FROM leaf CROSS JOIN g GROUP BY ALL)")
+    for name, below in (("mid", "leaf"), ("top", "mid")):
+        out.append(f"{name}_g AS (SELECT ga, gb, gr, parent, sum({z}) AS zc FROM (SELECT t.*, g.*, {ev} AS l, zc FROM {name} t CROSS JOIN g LEFT JOIN {below}_g b USING (ga, gb, gr) WHERE b.parent = node OR b.parent IS NULL) GROUP BY ALL)")
+    out.append(f"root_g AS (SELECT ga, gb, gr, {z} AS z FROM (SELECT t.*, g.*, {ev} AS l, zc FROM root t CROSS JOIN g JOIN top_g b USING (ga, gb, gr)))")
+    return ",\n    ".join(out)
+
+
+@register("tree_prior_search", o.query(_TREE, _tree_settings(), select=f"SELECT ga AS alpha, gb AS beta, gr AS rho, {o.rounded('z')} AS log_z FROM root_g"))
 def tree_prior_search(spark, sf_dir):
-    return tree.prior_search(customers_tree(spark, sf_dir), _SETTINGS)
+    return tree.prior_search(customers_tree(spark, sf_dir), _SETTINGS).select("alpha", "beta", "rho", r6("log_z", "log_z"))
+
+
+@register("tree_best_prior")
+def tree_best_prior(spark, sf_dir):
+    return tree.best_prior(customers_tree(spark, sf_dir), _SETTINGS)
 
 
 @register("tree_held_out")
@@ -752,9 +821,9 @@ def best_width(spark, sf_dir):
     return baselines.best_width(daily(spark, sf_dir), _WIDTHS)
 
 
-@register("kernel_rates")
+@register("kernel_rates", o.query(o.DAILY, select=f"SELECT x.series_id, x.k, {o.rounded('sum(exp(-0.5 * ((x.k - z.k) / 2.0) ** 2) * z.y) / sum(exp(-0.5 * ((x.k - z.k) / 2.0) ** 2))')} AS rate FROM ser x JOIN ser z ON z.series_id = x.series_id GROUP BY 1, 2"))
 def kernel_rates(spark, sf_dir):
-    return baselines.kernel_rates(gathered(spark, sf_dir), 2.0)
+    return baselines.kernel_rates(gathered(spark, sf_dir), 2.0).select("series_id", "k", r6("rate", "rate"))
 
 
 @register("fit_coverage", o.query(o.DAILY, FULL, "truth AS (SELECT series_id, avg(y) AS t FROM ser GROUP BY 1)", select=f"SELECT series_id, {o.rounded('sqrt(avg((rate - t) * (rate - t)))')} AS rms, {o.rounded('avg(CASE WHEN abs(rate - t) <= 2 * rate_std THEN 1.0 ELSE 0.0 END)')} AS covered FROM rates JOIN truth USING (series_id) GROUP BY 1"))

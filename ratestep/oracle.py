@@ -93,9 +93,11 @@ class Chain:
             SELECT *, sum(exp(ev - mx)) OVER (PARTITION BY series_id) AS s FROM (SELECT *, max(ev) OVER (PARTITION BY series_id) AS mx FROM {p}ev)))""")
         return self
 
-    def bin_posterior(self, least: float = 1e-12) -> Chain:
+    def bin_posterior(self, least: float = 1e-12, weights: bool = True) -> Chain:
+        """``weights`` False: a table c (series_id, m, c) and one row for m = 0 in post are there already."""
         p = self.p
-        self.ctes.append(f"{p}c AS (SELECT series_id, m, ln(p / sum(p) OVER (PARTITION BY series_id)) - last AS c FROM {p}post WHERE p >= {least})")
+        if weights:
+            self.ctes.append(f"{p}c AS (SELECT series_id, m, ln(p / sum(p) OVER (PARTITION BY series_id)) - last AS c FROM {p}post WHERE p >= {least})")
         left = f"SELECT series_id, 0 AS i, 0 AS a, 0.0::DOUBLE AS v FROM {p}post WHERE m = 0"
         right = f"SELECT series_id, 0 AS j, {self.T - 1} AS b, 0.0::DOUBLE AS v FROM {p}post WHERE m = 0"
         for m in range(1, self.M + 1):
