@@ -547,14 +547,22 @@ def online_replay(spark, sf_dir):
 # Change-point streams
 
 _H = 1 / 10
-_STREAM = f"""
+_FULL_BINS = """
     full_bins AS (SELECT q.series_id, q.a, q.b, l - (z.c1 - x.c1 + x.lf) AS l, n1, n2 FROM bins q
-        JOIN lfs x ON x.series_id = q.series_id AND x.k = q.a JOIN lfs z ON z.series_id = q.series_id AND z.k = q.b),
+        JOIN lfs x ON x.series_id = q.series_id AND x.k = q.a JOIN lfs z ON z.series_id = q.series_id AND z.k = q.b)"""
+
+
+def _recursion(h: float) -> str:
+    """Evidence of every prefix under runs that end with probability ``h``, from the full evidences of all segments."""
+    return f"""
     ends AS (SELECT series_id, b, list(l ORDER BY a) AS ls FROM full_bins GROUP BY 1, 2),
     z AS (SELECT series_id, 0 AS t, [ls[1]] AS zs, [ls[1]] AS terms FROM ends WHERE b = 0
         UNION ALL SELECT series_id, t, list_append(zs, list_max(terms) + ln(list_sum(list_transform(terms, lambda v: exp(v - list_max(terms)))))), terms
-        FROM (SELECT z.series_id, z.t + 1 AS t, zs, list_concat([ls[1] + (z.t + 1) * ln({1 - _H})], list_transform(range(1, z.t + 2), lambda a: zs[a] + ln({_H}) + (z.t + 1 - a) * ln({1 - _H}) + ls[a + 1])) AS terms
+        FROM (SELECT z.series_id, z.t + 1 AS t, zs, list_concat([ls[1] + (z.t + 1) * ln({1 - h})], list_transform(range(1, z.t + 2), lambda a: zs[a] + ln({h}) + (z.t + 1 - a) * ln({1 - h}) + ls[a + 1])) AS terms
             FROM z JOIN ends ON ends.series_id = z.series_id AND ends.b = z.t + 1))"""
+
+
+_STREAM = _FULL_BINS + "," + _recursion(_H)
 _LFS = "lfs AS (SELECT series_id, k, lgamma(y + 1) AS lf, sum(lgamma(y + 1)) OVER (PARTITION BY series_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS c1 FROM ser)"
 _EXACT_STREAM = {"expected_run_length": 10.0, "prune": 0.0, "merge_bins": None}
 
@@ -589,14 +597,32 @@ def stream_learnt_hazard(spark, sf_dir):
     return live.replay_stream(exact.gather(hourly(spark, sf_dir, 199), weak=1.0), "poisson", expected_run_length=100.0, hazard_strength=1.0)
 
 
-@register("stream_negbin")
+def _negbin(r: float) -> str:
+    beta = "lgamma({0}) + lgamma({1}) - lgamma({0} + {1})".format
+    return f"""
+    nbp AS (SELECT series_id, p2 * {r} + p1 + 2 AS na, p1 + p1 * (1 + p1) / (p2 * {r}) AS nb FROM prior),
+    nbc AS (SELECT ser.series_id, k, y, na, nb, sum(y) OVER w AS cy, sum(lgamma(y + {r}) - lgamma({r}) - lgamma(y + 1)) OVER w AS cc, lgamma(y + {r}) - lgamma({r}) - lgamma(y + 1) AS own
+        FROM ser JOIN nbp ON nbp.series_id = ser.series_id WINDOW w AS (PARTITION BY ser.series_id ORDER BY k ROWS UNBOUNDED PRECEDING)),
+    full_bins AS (SELECT x.series_id, x.k AS a, z.k AS b, z.cc - x.cc + x.own + {beta(f"(x.na + {r} * (z.k - x.k + 1))", "(x.nb + z.cy - x.cy + x.y)")} - ({beta("x.na", "x.nb")}) AS l
+        FROM nbc x JOIN nbc z ON z.series_id = x.series_id AND z.k >= x.k)"""
+
+
+_PREFIXES = f"SELECT series_id, t::INTEGER AS k, {o.rounded('zs[t + 1]')} AS log_marginal FROM z"
+
+
+@register("stream_negbin", o.query(o.DAILY, _negbin(4.0), _recursion(1 / 100), recursive=True, select=_PREFIXES))
 def stream_negbin(spark, sf_dir):
-    return live.replay_stream(exact.gather(hourly(spark, sf_dir, 199), weak=1.0), "negbin", expected_run_length=100.0, dispersion=4.0)
+    return live.replay_stream(gathered(spark, sf_dir), "negbin", expected_run_length=100.0, dispersion=4.0, prune=0.0).select("series_id", "k", r6("log_marginal", "log_marginal"))
+
+
+_HITS = "full_bins AS (SELECT q.series_id, q.a, q.b, l + z.c1 - x.c1 + x.lf AS l FROM bins q JOIN lfs x ON x.k = q.a JOIN lfs z ON z.k = q.b)"
 
 
-@register("stream_bernoulli")
+@register("stream_bernoulli", o.query(o.USERS, o.user_series("ser", "true"), _USER_PRIOR.replace("32.0", "1.0"), o.Chain(24, M, "bernoulli").bins(),
+    "lfs AS (SELECT k, lgamma(y + e + 1) - lgamma(y + 1) - lgamma(e + 1) AS lf, sum(lgamma(y + e + 1) - lgamma(y + 1) - lgamma(e + 1)) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) AS c1 FROM ser)",
+    _HITS, _recursion(1 / 12), recursive=True, select=_PREFIXES))
 def stream_bernoulli(spark, sf_dir):
-    return live.replay_stream(exact.gather(users(spark, sf_dir), p1=1.0, p2=1.0), "bernoulli", expected_run_length=12.0)
+    return live.replay_stream(exact.gather(users(spark, sf_dir), p1=1.0, p2=1.0), "bernoulli", expected_run_length=12.0, prune=0.0).select("series_id", "k", r6("log_marginal", "log_marginal"))
 
 
 @register("stream_dispersions")
