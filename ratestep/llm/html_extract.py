@@ -61,9 +61,9 @@ def vectors(pages: list[list[Block]]) -> list[np.ndarray]:
     slot = (mixed >> U64(59)).astype(np.int64)
     sign = np.where((h >> U64(58) & U64(1)).astype(bool), 1.0, -1.0)
     n = np.bincount(row, minlength=len(every)).astype(np.float64)
-    words = np.bincount(row * WORDS + slot, weights=sign, minlength=len(every) * WORDS).reshape(-1, WORDS) / np.sqrt(np.maximum(n, 1))[:, None]
+    words = np.bincount(row * WORDS + slot, weights=sign, minlength=len(every) * WORDS).reshape(-1, WORDS)
     x = np.zeros((len(every), SIZE), dtype=np.float32)
-    x[:, PATH : PATH + WORDS] = words * 0.3
+    x[:, PATH : PATH + WORDS] = words / np.maximum(np.linalg.norm(words, axis=1, keepdims=True), 1)
     k = 0
     for p in pages:
         for i, blk in enumerate(p):
@@ -163,7 +163,7 @@ class Labeller:
             i = j
         return out
 
-    def fit(self, seqs: list[np.ndarray], labels: list[np.ndarray], epochs: int = 14, batch: int = 32, rate: float = 0.01, seed: int = 3) -> Labeller:
+    def fit(self, seqs: list[np.ndarray], labels: list[np.ndarray], epochs: int = 16, batch: int = 32, rate: float = 0.01, seed: int = 3) -> Labeller:
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.par.items()}
         v = {k: np.zeros_like(p) for k, p in self.par.items()}
@@ -264,9 +264,11 @@ def training_pages(n: int, seed: int = 11) -> Iterator[tuple[str, list[str]]]:
                 out.append(own("pre", prose()) if chance(0.5) else f"<figure>{own('figcaption', sentence())}</figure>")
             out.append(inner(pick(["ad", "side", "form", "notice"])))
         body = "".join(out)
-        wrap = pick(["article"] * 5 + ["main", "main+article", "div:content", "div:post", "div:entry-content", "div:article-body", "div:main", "section:story", "id:content", "id:main"])
+        wrap = pick(["article"] * 5 + ["main", "main+article", "div:content", "div:post", "div:entry-content", "div:article-body", "div:main", "section:story", "id:content", "id:main", "body"])
         if wrap == "main+article":
             return f"<main><article>{body}</article></main>", texts
+        if wrap == "body":
+            return body, texts
         tag, _, name = wrap.partition(":")
         if tag == "id":
             return f'<div id="{name}">{body}</div>', texts
@@ -294,7 +296,7 @@ def labelled(page: str, texts: list[str]) -> tuple[list[Block], np.ndarray]:
 
 
 @functools.lru_cache(maxsize=1)
-def trained(pages: int = 700) -> Labeller:
+def trained(pages: int = 1200) -> Labeller:
     made = [labelled(*x) for x in training_pages(pages)]
     made = [x for x in made if x[0]]
     return Labeller().fit(vectors([x[0] for x in made]), [x[1] for x in made])

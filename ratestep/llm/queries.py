@@ -146,6 +146,15 @@ ORACLE: dict[str, str] = {
         SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
             coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
         FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op9_embedding_dedup": """
+        WITH RECURSIVE d AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+        v AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM d WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+        reach AS (SELECT a AS vec_id, a AS r FROM (SELECT DISTINCT a FROM link) UNION SELECT reach.vec_id, link.b FROM reach JOIN link ON link.a = reach.r),
+        comp AS (SELECT vec_id, min(r) AS c FROM reach GROUP BY 1),
+        n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY 1)
+        SELECT d.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c, d.vec_id) AS component_id, coalesce(c, d.vec_id) = d.vec_id AS kept
+        FROM d LEFT JOIN n USING (vec_id) LEFT JOIN comp USING (vec_id)""",
     "op10_minhash_dedup": f"""
         WITH RECURSIVE d AS (SELECT doc_id, {_WORDS10} AS w FROM documents),
         sh AS (
