@@ -17,6 +17,7 @@ from ratestep.operators import baselines, fit, grid, live, tree
 from ratestep.plans import exact
 from ratestep.runtime import Scratch
 from ratestep.sources import axis, files, generators
+from ratestep.streaming import live as watched
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -640,6 +641,36 @@ def surprise_summary(spark, sf_dir):
     return baselines.surprises(live.replay_stream(exact.gather(hourly(spark, sf_dir), weak=1.0), "poisson", expected_run_length=200.0), 0.99)
 
 
+# Structured Streaming
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    # As a pattern, the path may be a file as well as a folder.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").where(F.col("event_type").isNotNull())
+
+
+def _drained(df: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Runs a stream until its source is used up, and returns what it wrote."""
+    out, marks = scratch.path(name), scratch.path(f"{name}-marks")
+    df.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
+@register("streamed_counts", """
+    SELECT event_type AS series_id, ((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 3600000000)::INTEGER AS k, count(*)::DOUBLE AS y FROM events WHERE event_type IS NOT NULL
+    GROUP BY 1, 2 HAVING TIMESTAMP '2024-01-01' + to_hours(k + 1) <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def streamed_counts(spark, sf_dir):
+    counts = watched.closed_counts(_event_stream(spark, sf_dir), F.col("event_type"), "ts")
+    return _drained(counts, Scratch(spark, "stream"), "counts").select("series_id", axis.hours_between("start", START).alias("k"), "y")
+
+
+@register("streamed_change_points")
+def streamed_change_points(spark, sf_dir):
+    rows = watched.timed(_event_stream(spark, sf_dir), F.col("event_type"), "ts")
+    return _drained(watched.watch(rows, "poisson", (1.0, 0.3), expected_run_length=200.0), Scratch(spark, "stream"), "watched")
+
+
 # Grids and hierarchies
 
 
