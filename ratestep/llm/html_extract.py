@@ -169,8 +169,10 @@ class Labeller:
         v = {k: np.zeros_like(p) for k, p in self.par.items()}
         t = 0
         for epoch in range(epochs):
+            # Pages of like lengths share a batch; the batches come in random order.
             order = rng.permutation(len(seqs))
-            for i in range(0, len(order), batch):
+            order = order[np.argsort([len(seqs[k]) + rng.integers(0, 4) for k in order], kind="stable")]
+            for i in rng.permutation(range(0, len(order), batch)):
                 part = order[i : i + batch]
                 z, (x, y, flip, kf, kb, both) = self.logits([seqs[k] for k in part])
                 want, mask = np.zeros_like(z), np.zeros_like(z)
@@ -247,9 +249,15 @@ def training_pages(n: int, seed: int = 11) -> Iterator[tuple[str, list[str]]]:
 
         out = [own("h1", words(2, 8))] if chance(0.85) else []
         inner = lambda kind: boiler(kind) if chance(0.06) else ""
-        for _ in range(int(rng.integers(1, 9))):
+        # A few articles are long, and some of those repeat themselves.
+        n, plain = (int(rng.integers(60, 300)), 1.0 if chance(0.5) else 0.7) if chance(0.05) else (int(rng.integers(1, 9)), 0.7)
+        again = prose() if plain == 1.0 and chance(0.5) else None
+        for _ in range(n):
             r = rng.random()
-            if r < 0.7:
+            if again:
+                out.append(own("p", again))
+                continue
+            if r < plain:
                 out.append(own("p", prose(), pick(["", "", "", "b", "em", "span"])))
             elif r < 0.78:
                 out.append(own(pick(["h2", "h3"]), words(1, 6)))
@@ -282,7 +290,8 @@ def training_pages(n: int, seed: int = 11) -> Iterator[tuple[str, list[str]]]:
             body, texts = "", []
         foot = boiler("footer") if chance(0.85) else ""
         middle = "".join([*before, body, *after])
-        yield f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title></head><body>{middle if chance(0.7) else f'<div class=wrap>{middle}</div>'}{foot}</body></html>", texts
+        middle = (middle if chance(0.7) else f"<div class=wrap>{middle}</div>") + foot
+        yield middle if chance(0.15) else f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title></head><body>{middle}</body></html>", texts
 
 
 def labelled(page: str, texts: list[str]) -> tuple[list[Block], np.ndarray]:
