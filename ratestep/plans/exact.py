@@ -73,7 +73,10 @@ def gather(series: DataFrame, prior: DataFrame | None = None, *, weak: float | N
     The prior comes from a table (series_id and two columns), from constants p1 and p2, or is worth ``weak`` events at the series' mean rate.
     """
     x1, x2 = ("s", "g") if {"s", "g"} <= set(series.columns) else ("y", "e")
-    rows = series.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("k", F.col(x1).cast("double").alias("x1"), F.col(x2).cast("double").alias("x2")))).alias("r"))
+    # The number of partitions is set here: a fit costs far more than its bytes suggest, and adaptive execution, which goes by
+    # bytes, would put small series on a few cores. Gathering needs this exchange anyway.
+    parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = series.repartition(parts, "series_id").groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("k", F.col(x1).cast("double").alias("x1"), F.col(x2).cast("double").alias("x2")))).alias("r"))
     running = lambda name: F.aggregate(
         F.col("r"), F.array(F.lit(0.0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x[name])
     )
