@@ -147,7 +147,9 @@ def fit(texts: list[bytes], labels: np.ndarray, *, dim: int = 4, steps: int = 90
         return Model(np.zeros(1 << BITS, dtype=np.float32), -5.0, 1.0, 0.0, 0.0)
     doc = np.array(window_doc)
     sizes = np.array([len(w) for w in window_words])
-    flat, win = np.concatenate(window_words), np.repeat(np.arange(len(sizes)), sizes)
+    # Only words of the windows that were drawn take part.
+    there, flat = np.unique(np.concatenate(window_words), return_inverse=True)
+    feats, win = [feats[k] for k in there], np.repeat(np.arange(len(sizes)), sizes)
     fsize = np.array([len(f) for f in feats])
     bucket, form = np.concatenate(feats), np.repeat(np.arange(len(feats)), fsize)
     used, slot = np.unique(bucket, return_inverse=True)
@@ -165,9 +167,14 @@ def fit(texts: list[bytes], labels: np.ndarray, *, dim: int = 4, steps: int = 90
     target = np.stack([1 - y, y], axis=1)
     active = np.ones(len(y))
 
-    def spread(values: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
-        return np.stack([np.bincount(index, weights=values[:, d], minlength=n) for d in range(dim)], axis=1).astype(np.float32)
+    def spreader(target_of: np.ndarray, source_of: np.ndarray):
+        """Sums of rows of a source over their targets; every target has one at least."""
+        order = np.argsort(target_of, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(target_of[order]) > 0])
+        source = source_of[order]
+        return lambda values: np.add.reduceat(values[source], first, axis=0)
 
+    to_forms, to_buckets = spreader(flat, win), spreader(slot, form)
     f_inv = (1 / fsize).astype(np.float32)[:, None]
     f_cut, w_cut = np.r_[0, np.cumsum(fsize)[:-1]], np.r_[0, np.cumsum(sizes)[:-1]]
     for t in range(1, steps + 1):
@@ -185,9 +192,9 @@ def fit(texts: list[bytes], labels: np.ndarray, *, dim: int = 4, steps: int = 90
         share = (0.5 * on / max(1, on.sum()) + 0.5 * off_ / max(1, off_.sum()))[:, None]
         g = ((p - target) * share).astype(np.float32)
         gw, gc = vec.T @ g + 1e-5 * w, g.sum(0)
-        gvec = (g @ w.T) / np.float32(WINDOW)
-        gword = spread(gvec[win], flat, len(fsize)) * f_inv
-        ge = spread(gword[form], slot, len(used)) * common
+        gvec = ((g @ w.T) / np.float32(WINDOW)).astype(np.float32)
+        gword = to_forms(gvec) * f_inv
+        ge = to_buckets(gword) * common
         for k, (x, gx) in enumerate(((e, ge), (w, gw), (c, gc))):
             both[k] = 0.9 * both[k] + 0.1 * gx
             both[k + 3] = 0.98 * both[k + 3] + 0.02 * gx * gx
