@@ -44,9 +44,9 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     text[place] = raw
     b, e, row = word_spans(text, starts, _ISSEP)
     hashes = span_hashes(text, b, e)
-    ids, words = [(hashes >> U64(64 - BITS)).astype(np.int64)], [np.arange(len(b))]
+    ids, words = [(hashes >> U64(64 - BITS)).astype(np.int32)], [np.arange(len(b), dtype=np.int32)]
     inside = text != 32
-    word_at = np.cumsum(np.bincount(b, minlength=len(text))[: len(text)]) - 1
+    word_at = (np.cumsum(np.bincount(b, minlength=len(text))[: len(text)]) - 1).astype(np.int32)
     wide = text.astype(U64)
     gram = wide
     for n in range(2, 6):
@@ -58,7 +58,7 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             ok &= inside[k : k + len(gram)]
         at = np.flatnonzero(ok)
         with np.errstate(over="ignore"):
-            ids.append(((gram[at] * _MULT[n]) >> U64(64 - BITS)).astype(np.int64))
+            ids.append(((gram[at] * _MULT[n]) >> U64(64 - BITS)).astype(np.int32))
         words.append(word_at[at + 1])
     return np.concatenate(ids), np.concatenate(words), row, hashes
 
@@ -151,14 +151,18 @@ def fit(texts: list[bytes], labels: np.ndarray, *, dim: int = 4, steps: int = 90
     there, flat = np.unique(np.concatenate(window_words), return_inverse=True)
     feats, win = [feats[k] for k in there], np.repeat(np.arange(len(sizes)), sizes)
     fsize = np.array([len(f) for f in feats])
-    bucket, form = np.concatenate(feats), np.repeat(np.arange(len(feats)), fsize)
+    bucket, form = np.concatenate(feats), np.repeat(np.arange(len(feats), dtype=np.int32), fsize)
     used, slot = np.unique(bucket, return_inverse=True)
+    slot = slot.astype(np.int32)
     # A bucket that few documents have says nothing of its class: its vector stays zero.
-    known = np.unique(flat * len(labels) + doc[win])
-    held = np.bincount(known // len(labels), minlength=len(feats))
-    first = np.searchsorted(known // len(labels), np.arange(len(feats)))
-    once = np.unique(np.repeat(slot, held[form]) * len(labels) + (known % len(labels))[np.repeat(first[form], held[form]) + _within(held[form])])
-    common = (np.bincount(once // len(labels), minlength=len(used)) >= least_seen).astype(np.float32)[:, None]
+    f_cut, w_cut = np.r_[0, np.cumsum(fsize)[:-1]], np.r_[0, np.cumsum(sizes)[:-1]]
+    known = np.unique(doc[win] * len(feats) + flat)
+    of_doc = np.searchsorted(known, np.arange(len(labels) + 1) * len(feats))
+    seen = np.zeros(len(used), dtype=np.int32)
+    for d in np.flatnonzero(np.diff(of_doc)):
+        f = known[of_doc[d] : of_doc[d + 1]] - d * len(feats)
+        seen[np.unique(slot[np.repeat(f_cut[f], fsize[f]) + _within(fsize[f])])] += 1
+    common = (seen >= least_seen).astype(np.float32)[:, None]
     y = labels[doc].astype(np.float64)
     e = rng.normal(0, 0.05, (len(used), dim)).astype(np.float32) * common
     w = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
@@ -171,12 +175,11 @@ def fit(texts: list[bytes], labels: np.ndarray, *, dim: int = 4, steps: int = 90
         """Sums of rows of a source over their targets; every target has one at least."""
         order = np.argsort(target_of, kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(target_of[order]) > 0])
-        source = source_of[order]
+        source = source_of[order].astype(np.int32)
         return lambda values: np.add.reduceat(values[source], first, axis=0)
 
     to_forms, to_buckets = spreader(flat, win), spreader(slot, form)
     f_inv = (1 / fsize).astype(np.float32)[:, None]
-    f_cut, w_cut = np.r_[0, np.cumsum(fsize)[:-1]], np.r_[0, np.cumsum(sizes)[:-1]]
     for t in range(1, steps + 1):
         word = np.add.reduceat(e[slot], f_cut, axis=0) * f_inv
         vec = np.add.reduceat(word[flat], w_cut, axis=0) / np.float32(WINDOW)
