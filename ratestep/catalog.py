@@ -820,9 +820,9 @@ def tree_prior_search(spark, sf_dir):
     return tree.prior_search(customers_tree(spark, sf_dir), _SETTINGS).select("alpha", "beta", "rho", r6("log_z", "log_z"))
 
 
-@register("tree_best_prior")
+@register("tree_best_prior", o.query(_TREE, _tree_settings(), select=f"SELECT arg_max(ga, z) AS alpha, arg_max(gb, z) AS beta, arg_max(gr, z) AS rho, {o.rounded('max(z)')} AS log_z FROM root_g"))
 def tree_best_prior(spark, sf_dir):
-    return tree.best_prior(customers_tree(spark, sf_dir), _SETTINGS)
+    return tree.best_prior(customers_tree(spark, sf_dir), _SETTINGS).select("alpha", "beta", "rho", r6("log_z", "log_z"))
 
 
 @register("tree_held_out")
@@ -864,18 +864,21 @@ def histogram(spark, sf_dir):
 _WIDTHS = [2, 3, 5, 6, 10]
 
 
-@register("width_choice", o.query(o.DAILY, f"""
+_COSTS = f"""
     settings AS (SELECT w, unnest(range(w)) AS off FROM (SELECT unnest({_WIDTHS}) AS w)),
     full_bins AS (SELECT series_id, w, off, (k - off) // w AS bin, sum(y) AS y FROM ser, settings WHERE k >= off AND off + ((k - off) // w + 1) * w - 1 <= 29 GROUP BY 1, 2, 3, 4),
-    costs AS (SELECT series_id, w, off, (2 * avg(y) - var_pop(y)) / (w * w) AS c FROM full_bins GROUP BY 1, 2, 3)""",
-    select=f"SELECT series_id, w::INTEGER AS width, {o.rounded('avg(c)')} AS cost FROM costs GROUP BY 1, 2"))
+    costs AS (SELECT series_id, w, off, (2 * avg(y) - var_pop(y)) / (w * w) AS c FROM full_bins GROUP BY 1, 2, 3),
+    by_width AS (SELECT series_id, w::INTEGER AS width, avg(c) AS cost FROM costs GROUP BY 1, 2)"""
+
+
+@register("width_choice", o.query(o.DAILY, _COSTS, select=f"SELECT series_id, width, {o.rounded('cost')} AS cost FROM by_width"))
 def width_choice(spark, sf_dir):
     return baselines.width_costs(daily(spark, sf_dir), _WIDTHS).select("series_id", "width", r6("cost", "cost"))
 
 
-@register("best_width")
+@register("best_width", o.query(o.DAILY, _COSTS, select=f"SELECT series_id, arg_min(width, (cost, width)) AS width, {o.rounded('min(cost)')} AS cost FROM by_width GROUP BY 1"))
 def best_width(spark, sf_dir):
-    return baselines.best_width(daily(spark, sf_dir), _WIDTHS)
+    return baselines.best_width(daily(spark, sf_dir), _WIDTHS).select("series_id", "width", r6("cost", "cost"))
 
 
 @register("kernel_rates", o.query(o.DAILY, select=f"SELECT x.series_id, x.k, {o.rounded('sum(exp(-0.5 * ((x.k - z.k) / 2.0) ** 2) * z.y) / sum(exp(-0.5 * ((x.k - z.k) / 2.0) ** 2))')} AS rate FROM ser x JOIN ser z ON z.series_id = x.series_id GROUP BY 1, 2"))
