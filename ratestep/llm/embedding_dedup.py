@@ -1,9 +1,9 @@
-"""Near-duplicate vectors: iterative quantisation, multi-index Hamming tables, reranking with the original vectors.
+"""Near-duplicate vectors: signs of random planes, multi-index Hamming tables, reranking with the original vectors.
 
-Rotations of the centred principal components are learned so that signs lose least; every bit is cut at its median, so codes are
-balanced. The bits make ``tables`` substrings; a substring is the bucket key of one table. Vectors that share a bucket
+A bit is the side of a random plane through the origin, so two vectors agree on it with a chance that depends on their angle alone,
+however the table is spread. The bits make ``tables`` substrings; a substring is the bucket key of one table. Vectors that share a bucket
 are compared by cosine in double precision. Their number of bits follows the number of vectors, and the number of tables follows from the
-chance that two vectors at the threshold agree on all bits of a substring, so a bucket stays small as the input grows.
+chance that two vectors at the threshold agree on all bits of a substring. Skewed tables make larger buckets, not fewer links.
 Buckets with more than ``BLOCK`` vectors are dealt out as pairs of blocks, so a hot bucket is split over many tasks. A pair
 counts in the first table where it meets; what leaves a task are counts and a spanning star, never all pairs.
 """
@@ -46,7 +46,10 @@ class Quantiser:
 
 
 def learn(x: np.ndarray, bits: int, tables: int, rounds: int = 25, seed: int = 5) -> Quantiser:
-    """Iterative quantisation from as many random rotations as the substrings need; ``x`` has unit rows."""
+    """Iterative quantisation from as many random rotations as the substrings need; ``x`` has unit rows.
+
+    Codes are balanced, but centring widens the angle of a linked pair, so ``wanted`` does not count enough tables for them; links use ``through_origin``.
+    """
     mean = x.mean(0)
     v = x - mean
     _, _, axes = np.linalg.svd(v, full_matrices=False) if len(v) > 1 else (0, 0, np.eye(v.shape[1]))
@@ -66,6 +69,12 @@ def learn(x: np.ndarray, bits: int, tables: int, rounds: int = 25, seed: int = 5
     return Quantiser(mean, planes, np.median(v @ planes, axis=0), bits)
 
 
+def through_origin(dim: int, bits: int, tables: int, seed: int = 5) -> Quantiser:
+    """Independent random planes through the origin: the chance of agreement that ``wanted`` counts with holds for any pair."""
+    planes = np.random.default_rng(seed).normal(size=(dim, bits * tables))
+    return Quantiser(np.zeros(dim), planes, np.zeros(bits * tables), bits)
+
+
 def _unit(raw: list[bytes]) -> np.ndarray:
     x = np.stack([np.frombuffer(r) for r in raw])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -148,16 +157,15 @@ def _pairs(threshold: float):
 
 
 def near_duplicates(
-    vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, miss: float = 0.002, sample_rows: int = 8192
+    vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, miss: float = 0.002
 ) -> DataFrame:
     """(id, n_links, component_id, kept) of each row.
 
     Links rows with a cosine of ``threshold`` or more. Null and zero vectors, those with null or non-finite
     components, and rows with a null id link with nothing; vectors of different lengths do not link. Copies are one class:
     they link with each other and share all links, and are compared once. Rows that repeat an id are rows of their own that share
-    its component. An empty table gives an empty result. Rotations are learned from a sample of about ``sample_rows`` vectors of each
-    length, by a hash of the vector; every vector is indexed. ``miss`` is the chance to miss a pair just at
-    the threshold if bits were independent.
+    its component. An empty table gives an empty result. Every vector is indexed. ``miss`` is the chance to miss a pair just at
+    the threshold, over the draw of the planes.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
@@ -168,7 +176,7 @@ def near_duplicates(
     classes = scratch.cut(known.groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec")), "classes")
     links, edges = None, None
     for r in classes.groupBy((F.octet_length("vec") / 8).cast("int").alias("dim")).count().orderBy("dim").collect():
-        found = _linked(classes, r["dim"], r["count"], scratch, threshold, miss, sample_rows)
+        found = _linked(classes, r["dim"], r["count"], scratch, threshold, miss)
         counted = found.groupBy("a").agg(F.sum("n").alias("n"))
         star = found.where(F.col("a") != F.col("b")).select("a", "b")
         links = counted if links is None else links.unionByName(counted)
@@ -190,13 +198,11 @@ def near_duplicates(
     ).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
-def _linked(classes: DataFrame, dim: int, rows: int, scratch: Scratch, threshold: float, miss: float, sample_rows: int) -> DataFrame:
+def _linked(classes: DataFrame, dim: int, rows: int, scratch: Scratch, threshold: float, miss: float) -> DataFrame:
     spark = classes.sparkSession
     mine = classes.where(F.octet_length("vec") == 8 * dim)
-    share = min(1.0, sample_rows / rows)
-    sample = [r[0] for r in mine.where(F.pmod(F.xxhash64("cls"), F.lit(1 << 30)) < int(share * (1 << 30)) + (share == 1.0)).select("vec").collect()]
     bits, tables = wanted(rows, threshold, miss)
-    model = spark.sparkContext.broadcast(learn(_unit(sorted(sample) or [mine.first()["vec"]]), min(bits, dim * 8), tables))
+    model = spark.sparkContext.broadcast(through_origin(dim, min(bits, dim * 8), tables))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

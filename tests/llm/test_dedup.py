@@ -194,3 +194,22 @@ def test_index_size_follows_the_input():
     q = embedding_dedup.learn(x / np.linalg.norm(x, axis=1, keepdims=True), 8, 6)
     on = ((x / np.linalg.norm(x, axis=1, keepdims=True) - q.mean) @ q.planes > q.cut).mean(0)
     assert on == pytest.approx(np.full(48, 0.5), abs=0.01)
+
+
+def test_vectors_of_a_skewed_table(spark):
+    """A third of the rows in one cone, where pairs that do not link have cosines of about 0.9."""
+    rng = np.random.default_rng(11)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    axis = unit(rng.normal(size=64))
+
+    def across(x):
+        u = rng.normal(size=x.shape)
+        return unit(u - (u * x).sum(1, keepdims=True) * x)
+
+    cone = np.sqrt(0.9) * axis + np.sqrt(0.1) * across(np.tile(axis, (500, 1)))
+    t = rng.uniform(0.95, 0.96, size=(500, 1))
+    x = np.concatenate([cone, t * cone + np.sqrt(1 - t * t) * across(cone), unit(rng.normal(size=(2000, 64)))])
+    want = int(np.sum(x @ x.T >= 0.95)) - len(x)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = embedding_dedup.near_duplicates(df).agg(F.sum("n_links")).first()[0]
+    assert 0.985 * want <= got <= want
