@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratestep.llm.textbytes import columns
-from ratestep.runtime import bounded_batches, ensure_importable
+from ratestep.runtime import Scratch, bounded_batches, ensure_importable
 
 #: A word in a text that is not lowered yet.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -70,13 +70,18 @@ def scan(a: ahocorasick.Automaton, text: bytes) -> tuple[int, list[tuple[int, in
         last = int(np.searchsorted(gaps, end))
         runs.append((last - n, last))
         who.update(items)
-    merged: list[list[int]] = []
+    return len(words), merged(runs), sorted(who)
+
+
+def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of runs, in order; runs that touch are one."""
+    out: list[list[int]] = []
     for lo, hi in sorted(runs):
-        if merged and lo <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], hi)
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
         else:
-            merged.append([lo, hi])
-    return len(words), [(lo, hi) for lo, hi in merged], sorted(who)
+            out.append([lo, hi])
+    return [(lo, hi) for lo, hi in out]
 
 
 def offsets(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -85,15 +90,17 @@ def offsets(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(spans[lo][0], spans[hi - 1][1]) for lo, hi in runs]
 
 
-def item_blocks(items: DataFrame, item_col: str, text_col: str, max_chars: int) -> list[list[tuple[str, str | None]]]:
-    """Test items on the driver, in blocks of about ``max_chars``; the size is read before any text is."""
+def item_blocks(items: DataFrame, item_col: str, text_col: str, max_chars: int) -> list[DataFrame]:
+    """Test items (i, t) in blocks of about ``max_chars``, to be collected one at a time; only the size is read here."""
     known = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t"))
     chars = known.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-int(chars) // max_chars))
-    return [[(r.i, r.t) for r in known.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()] for k in range(n)]
+    return [known.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k) for k in range(n)]
 
 
-def _scanner(shared, key: str, size: int, kept: list[str], text_col: str):
+def _scanner(shared, key: str, size: int, kept: list[str], text_col: str, last: bool):
+    """One pass over the rows; all but the first bring the runs and items of the passes before, all but the last hand the text on."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _BUILT:
             _BUILT.clear()
@@ -102,27 +109,26 @@ def _scanner(shared, key: str, size: int, kept: list[str], text_col: str):
         for batch in batches:
             data, off, _ = columns(batch, text_col)
             raw = data.tobytes()
+            before = zip(*(batch.column(c).to_pylist() for c in ("runs", "items")), strict=True) if "runs" in batch.schema.names else [((), ())] * batch.num_rows
             n, runs, spans, who = [], [], [], []
-            for k in range(batch.num_rows):
+            for k, (old, named) in enumerate(before):
                 count, hit, items = scan(a, raw[off[k] : off[k + 1]])
+                if old:
+                    hit = merged([*hit, *((x["first"], x["end"]) for x in old)])
                 n.append(count)
                 runs.append([{"first": x, "end": y} for x, y in hit])
-                spans.append([{"start": x, "end": y} for x, y in offsets(raw[off[k] : off[k + 1]].decode(), hit)] if hit else [])
-                who.append([ids[i] for i in items])
+                spans.append([{"start": x, "end": y} for x, y in offsets(raw[off[k] : off[k + 1]].decode(), hit)] if hit and last else [])
+                who.append(sorted({*named, *(ids[i] for i in items)}))
             pair = lambda x, y: pa.list_(pa.struct([(x, pa.int64()), (y, pa.int64())]))
+            more = pa.array(spans, pair("start", "end")) if last else batch.column(text_col)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(runs, pair("first", "end")), pa.array(spans, pair("start", "end")), pa.array(who, pa.list_(pa.string()))],
-                [*kept, "n_words", "runs", "spans", "items"],
+                [*(batch.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(runs, pair("first", "end")), more, pa.array(who, pa.list_(pa.string()))],
+                [*kept, "n_words", "runs", "spans" if last else text_col, "items"],
             )
 
     return run
 
 
-def _merge_blocks(a, b):
-    """Union of two sorted lists of runs: every word position once."""
-    return F.array_distinct(F.concat(a, b))
-
-
 def contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -141,8 +147,8 @@ def contamination(
     A document is contaminated if ``min_share`` * n_hit >= n_words and n_hit > 0. Null and empty texts have no words. Items
     without words and items with a null id find nothing; items that repeat count once; an empty ``items`` table leaves
     every document clean. Items are held by every executor, in one automaton as long as their texts have no
-    more than ``max_chars`` bytes. Larger sets are scanned in several passes of that size whose hits are joined by id;
-    that way needs distinct ids. Names in ``keep`` that clash with the added ones are replaced; other columns are not read.
+    more than ``max_chars`` bytes. Larger sets are scanned in several passes of about that size: every row carries its text and its hits
+    from pass to pass in a written table, so ids may repeat or be null, and only one block is held at a time. All passes but the last run at once. Names in ``keep`` that clash with the added ones are replaced; other columns are not read.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -151,23 +157,23 @@ def contamination(
     kept = [c for c in (keep or [id_col]) if c not in added]
     kinds = dict(docs.dtypes)
     shape = ", ".join(f"`{c}` {kinds[c]}" for c in kept)
-    shape += ", n_words long, runs array<struct<first:long,end:long>>, spans array<struct<start:long,end:long>>, items array<string>"
+    runs, found_items = "n_words long, runs array<struct<first:long,end:long>>", "items array<string>"
+    # The text has a name of its own on the way, whatever the names in ``keep``.
+    text = f"text_{uuid.uuid4().hex}"
+    found = docs.select(*dict.fromkeys(kept), F.col(text_col).alias(text))
     blocks = item_blocks(items, item_col, item_text_col, max_chars)
-    found = None
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(block)
-        part = docs.select(*dict.fromkeys([*kept, id_col, text_col])).mapInArrow(_scanner(shared, uuid.uuid4().hex, size, kept, text_col), shape)
-        if found is None:
-            found = part
-        else:
-            more = part.where(F.size("items") > 0).select(id_col, *(F.col(c).alias(f"{c}_2") for c in ("runs", "spans", "items")))
-            found = found.join(more, id_col, "left").select(
-                *kept, "n_words", *(F.when(F.col(f"{c}_2").isNull(), F.col(c)).otherwise(_merge_blocks(F.col(c), F.col(f"{c}_2"))).alias(c) for c in ("runs", "spans", "items"))
-            )
-    if len(blocks) == 1:
-        n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["first"])
-    else:
-        n_hit = F.size(F.array_distinct(F.flatten(F.transform("runs", lambda x: F.sequence(x["first"], x["end"] - 1))))).cast("long")
+    scratch = Scratch(spark, "contamination") if len(blocks) > 1 else None
+    for k, block in enumerate(blocks):
+        last = k == len(blocks) - 1
+        shared = spark.sparkContext.broadcast([(r.i, r.t) for r in block.collect()])
+        more = "spans array<struct<start:long,end:long>>" if last else f"`{text}` {kinds[text_col]}"
+        out = found.mapInArrow(_scanner(shared, uuid.uuid4().hex, size, kept, text, last), f"{shape}, {runs}, {more}, {found_items}")
+        if not last:
+            out = scratch.cut(out, "pass")
+            shared.destroy()
+            scratch.drop(found)
+        found = out
+    n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["first"])
     names = F.array_sort("items")
     return found.select(
         *kept,

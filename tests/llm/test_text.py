@@ -254,6 +254,17 @@ def test_contamination_odd_rows(spark):
     assert decontaminate.contamination(df, bench.where("false")).where("contaminated or n_hit > 0").count() == 0
 
 
+def test_contamination_in_passes_equals_one_pass(spark):
+    """Null and repeated ids, whose hits are in different blocks of the items."""
+    bench = spark.createDataFrame([(i, f"a{i} b{i} c{i}") for i in range(12)], "item_id long, text string")
+    rows = [(i, f"x a{k} b{k} c{k} a{k + 1} b{k + 1} c{k + 1} é") for i, k in ((None, 0), (None, 3), (None, 6), (1, 2), (1, 5), (1, 8), (2, 9), (3, 10))] + [(1, "clean words"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = (sorted(map(str, decontaminate.contamination(df, bench, keep=["doc_id", "text"], max_chars=limit).collect())) for limit in (32_000_000, 20))
+    assert len(decontaminate.item_blocks(bench, "item_id", "text", 20)) > 3
+    assert many == one and len(one) == len(rows)
+    assert decontaminate.contamination(df, bench, max_chars=20).where("contaminated").count() == 8
+
+
 # Secrets
 
 ASSIGN = re.compile(r"((?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
