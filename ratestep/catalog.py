@@ -595,7 +595,7 @@ def stream_default(spark, sf_dir):
 
 @register("stream_learnt_hazard")
 def stream_learnt_hazard(spark, sf_dir):
-    return live.replay_stream(exact.gather(hourly(spark, sf_dir, 199), weak=1.0), "poisson", expected_run_length=100.0, hazard_strength=1.0)
+    return live.replay_stream(exact.gather(hourly(spark, sf_dir), weak=1.0), "poisson", expected_run_length=100.0, hazard_strength=1.0)
 
 
 def _negbin(r: float) -> str:
@@ -628,7 +628,7 @@ def stream_bernoulli(spark, sf_dir):
 
 @register("stream_dispersions")
 def stream_dispersions(spark, sf_dir):
-    return live.dispersions(exact.gather(hourly(spark, sf_dir, 99), weak=1.0), expected_run_length=100.0)
+    return live.dispersions(exact.gather(hourly(spark, sf_dir), weak=1.0), expected_run_length=100.0)
 
 
 @register("pit_uniformity")
@@ -683,6 +683,16 @@ def month_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.join(counts, ["r", "c"], "left").select(F.lit("1995").alias("grid_id"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.coalesce("y", F.lit(0.0)).alias("y"), F.lit(1.0).alias("e"))
 
 
+def month_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by region and month, a grid for each year from the first to the last; the last grid ends with the last month that has orders."""
+    up = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_regionkey").alias("r"))
+    made = table(spark, sf_dir, "orders").select("o_custkey", F.trunc("o_orderdate", "month").alias("at"))
+    counts = made.join(up, F.col("o_custkey") == F.col("c_custkey")).groupBy("r", "at").agg(F.count(F.lit(1)).cast("double").alias("y"))
+    axis_ = made.agg(F.trunc(F.min("at"), "year").alias("first"), F.max("at").alias("last")).where("last IS NOT NULL").select(F.explode(F.sequence("first", "last", F.expr("INTERVAL 1 MONTH"))).alias("at"))
+    cells = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("r")).crossJoin(axis_)
+    return cells.join(counts, ["r", "at"], "left").select(F.year("at").cast("string").alias("grid_id"), F.col("r").cast("int").alias("r"), (F.month("at") - 1).cast("int").alias("c"), F.coalesce("y", F.lit(0.0)).alias("y"), F.lit(1.0).alias("e"))
+
+
 @register("month_grid", "SELECT '1995' AS grid_id, n_regionkey AS r, (month(o_orderdate) - 1)::INTEGER AS c, count(*)::DOUBLE AS y, 1.0::DOUBLE AS e FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE year(o_orderdate) = 1995 GROUP BY 1, 2, 3")
 def month_grid_query(spark, sf_dir):
     return month_grid(spark, sf_dir)
@@ -713,12 +723,12 @@ def two_level_evidence(spark, sf_dir):
 
 @register("two_level_rates")
 def two_level_rates(spark, sf_dir):
-    return grid.two_level(month_grid(spark, sf_dir), 1.0, 0.02, 4, 4)[1]
+    return grid.two_level(month_grids(spark, sf_dir), 1.0, 0.02, 4, 4)[1]
 
 
 @register("guillotine")
 def guillotine(spark, sf_dir):
-    return grid.guillotine(month_grid(spark, sf_dir), 1.0, 0.02, 0.5)
+    return grid.guillotine(month_grids(spark, sf_dir), 1.0, 0.02, 0.5)
 
 
 @register("binary_tree")
@@ -833,10 +843,12 @@ def tree_held_out(spark, sf_dir):
 
 @register("merge_neighbours")
 def merge_neighbours(spark, sf_dir):
-    """Neighbouring months of a region's orders, joined greedily."""
-    g = month_grid(spark, sf_dir)
-    bins = g.select(F.col("r").cast("string").alias("region"), F.lpad(F.col("c").cast("string"), 2, "0").alias("node"), "y", F.col("e").alias("exposure"))
-    edges = g.where("c < 11").select(F.col("r").cast("string").alias("region"), F.lpad(F.col("c").cast("string"), 2, "0").alias("a"), F.lpad((F.col("c") + 1).cast("string"), 2, "0").alias("b"))
+    """Neighbouring months of a region's orders over all years, joined greedily; months are numbered from the year 0."""
+    name = lambda n: F.lpad(n.cast("string"), 6, "0")
+    g = month_grids(spark, sf_dir).withColumn("n", F.col("grid_id").cast("int") * 12 + F.col("c"))
+    bins = g.select(F.col("r").cast("string").alias("region"), name(F.col("n")).alias("node"), "y", F.col("e").alias("exposure"))
+    # The pair after the last month has no bin, so the operator leaves it out.
+    edges = g.select(F.col("r").cast("string").alias("region"), name(F.col("n")).alias("a"), name(F.col("n") + 1).alias("b"))
     return tree.merge_neighbours(bins, edges, 1.0, 0.02)
 
 
