@@ -233,8 +233,8 @@ def train(
 ) -> Model | None:
     """A model from labelled rows outside the held-out fold; None without any.
 
-    The sample is bounded: about ``per_class`` whole texts of each class, by a hash of the id, of ``max_bytes`` at most each. Labels
-    that repeat count once, the largest; null labels are left out.
+    The sample is bounded: about ``per_class`` texts of each class, by a hash of the id, of ``max_bytes`` at most each, of which ``fit``
+    trains on at most ``max_windows`` random windows. Labels that repeat count once, the largest; null labels are left out.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
