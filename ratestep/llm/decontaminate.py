@@ -1,8 +1,8 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the normalised windows of test items.
+"""Benchmark decontamination: one Aho-Corasick automaton over pieces of the normalised test items.
 
 Texts are normalised to " w1 w2 ... " (A-Z lowered, words joined by single spaces), so that a pattern with its outer
-spaces only matches whole words. The automaton scans each text once; matches are turned into word positions and,
-for documents with hits, into code point offsets of the original text.
+spaces only matches whole words. The automaton scans each text once; the windows around a match are looked up among those of the
+items, turned into word positions and, for documents with hits, into code point offsets of the original text.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
@@ -25,51 +26,82 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _NORMAL = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
-_BUILT: dict[str, tuple[ahocorasick.Automaton, list[str]]] = {}
+_BUILT: dict[str, Automaton] = {}
 
 
 def normalised(raw: bytes) -> bytes:
     return b" " + b" ".join(raw.translate(_NORMAL).split()) + b" "
 
 
-def windows(text: str | None, size: int) -> set[bytes]:
+def windows(text: str | None, size: int) -> list[bytes]:
+    """The windows of an item, in order, words joined by single spaces."""
     words = (text or "").encode().translate(_NORMAL).split()
     if not words:
-        return set()
-    if len(words) < size:
-        return {b" " + b" ".join(words) + b" "}
-    return {b" " + b" ".join(words[i : i + size]) + b" " for i in range(len(words) - size + 1)}
+        return []
+    return [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
 
 
-def automaton(items: list[tuple[str, str | None]], size: int) -> tuple[ahocorasick.Automaton, list[str]]:
-    """The automaton, its values (item positions, words in the window), and the item ids in string order."""
-    ids = sorted({i for i, _ in items})
-    at = {x: k for k, x in enumerate(ids)}
-    found: dict[bytes, set[int]] = {}
+@dataclass
+class Automaton:
+    """Pieces of items in one Aho-Corasick automaton, and the windows that tell which items a piece stands for.
+
+    An item is cut into every ``piece``-th run of ``piece`` words. With ``size`` = 2 * ``piece`` - 1 every window holds such a run whole,
+    so that a match of one, looked at in the few windows around it, finds all windows, and the automaton has a node for about every
+    byte of the items instead of one for every byte of every window. Items of fewer than ``size`` words are patterns whole.
+    """
+
+    tree: ahocorasick.Automaton
+    names: list[str]
+    windows: dict[bytes, tuple[int, ...]]
+    size: int
+    piece: int
+
+
+def automaton(items: list[tuple[str, str | None]], size: int) -> Automaton:
+    names = sorted({i for i, _ in items})
+    at = {x: k for k, x in enumerate(names)}
+    piece = (size + 1) // 2
+    found: dict[bytes, tuple[int, ...]] = {}
+    tree = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     for item, text in items:
-        for w in windows(text, size):
-            found.setdefault(w, set()).add(at[item])
-    a = ahocorasick.Automaton()
-    for w, who in found.items():
-        a.add_word(w.decode("latin-1"), (tuple(sorted(who)), w.count(b" ") - 1))
-    if len(a):
-        a.make_automaton()
-    return a, ids
+        every = windows(text, size)
+        for w in every:
+            who = found.get(w, ())
+            if at[item] not in who:
+                found[w] = (*who, at[item])
+        words = (text or "").encode().translate(_NORMAL).split()
+        if len(words) < size:
+            cut = every
+        else:
+            cut = [b" ".join(words[i : i + piece]) for i in range(0, len(words) - piece + 1, piece)]
+        for w in cut:
+            tree.add_word(f" {w.decode('latin-1')} ", w.count(b" ") + 1)
+    if len(tree):
+        tree.make_automaton()
+    return Automaton(tree, names, found, size, piece)
 
 
-def scan(a: ahocorasick.Automaton, text: bytes) -> tuple[int, list[tuple[int, int]], list[int]]:
+def scan(a: Automaton, text: bytes) -> tuple[int, list[tuple[int, int]], list[int]]:
     """Words of the text, merged runs of hit words (first, end), and the positions of the items found."""
     words = text.translate(_NORMAL).split()
-    if not words or not len(a):
+    if not words or not len(a.tree):
         return len(words), [], []
     flat = b" " + b" ".join(words) + b" "
-    runs, who, gaps = [], set(), None
-    for end, (items, n) in a.iter(flat.decode("latin-1")):
+    runs, who, gaps, seen = [], set(), None, set()
+    for end, n in a.tree.iter(flat.decode("latin-1")):
         if gaps is None:
             gaps = np.flatnonzero(np.frombuffer(flat, dtype=np.uint8) == 32)
         last = int(np.searchsorted(gaps, end))
-        runs.append((last - n, last))
-        who.update(items)
+        # The match as a short item, and every window around it.
+        around = [(last - n, n)] if n < a.size else []
+        around += [(x, a.size) for x in range(max(0, last - a.size), min(last - n, len(words) - a.size) + 1)]
+        for span in around:
+            if span in seen:
+                continue
+            seen.add(span)
+            if hit := a.windows.get(b" ".join(words[span[0] : span[0] + span[1]])):
+                runs.append((span[0], span[0] + span[1]))
+                who.update(hit)
     return len(words), merged(runs), sorted(who)
 
 
@@ -105,7 +137,7 @@ def _scanner(shared, key: str, size: int, kept: list[str], text_col: str, last:
         if key not in _BUILT:
             _BUILT.clear()
             _BUILT[key] = automaton(shared.value, size)
-        a, ids = _BUILT[key]
+        a = _BUILT[key]
         for batch in batches:
             data, off, _ = columns(batch, text_col)
             raw = data.tobytes()
@@ -118,7 +150,7 @@ def _scanner(shared, key: str, size: int, kept: list[str], text_col: str, last:
                 n.append(count)
                 runs.append([{"first": x, "end": y} for x, y in hit])
                 spans.append([{"start": x, "end": y} for x, y in offsets(raw[off[k] : off[k + 1]].decode(), hit)] if hit and last else [])
-                who.append(sorted({*named, *(ids[i] for i in items)}))
+                who.append(sorted({*named, *(a.names[i] for i in items)}))
             pair = lambda x, y: pa.list_(pa.struct([(x, pa.int64()), (y, pa.int64())]))
             more = pa.array(spans, pair("start", "end")) if last else batch.column(text_col)
             yield pa.RecordBatch.from_arrays(
@@ -138,7 +170,7 @@ def contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     size: int = 13,
-    max_chars: int = 32_000_000,
+    max_chars: int = 4_000_000,
     min_share: int = 20,
     keep: list[str] | None = None,
 ) -> DataFrame:
@@ -146,8 +178,8 @@ def contamination(
 
     A document is contaminated if ``min_share`` * n_hit >= n_words and n_hit > 0. Null and empty texts have no words. Items
     without words and items with a null id find nothing; items that repeat count once; an empty ``items`` table leaves
-    every document clean. Items are held by every executor, in one automaton as long as their texts have no
-    more than ``max_chars`` bytes. Larger sets are scanned in several passes of about that size: every row carries its text and its hits
+    every document clean. Items are held by every worker, in one automaton as long as their texts have no
+    more than ``max_chars`` bytes (about 100 bytes of memory for each of them). Larger sets are scanned in several passes of about that size: every row carries its text and its hits
     from pass to pass in a written table, so ids may repeat or be null, and only one block is held at a time. All passes but the last run at once. Names in ``keep`` that clash with the added ones are replaced; other columns are not read.
     """
     spark = docs.sparkSession
