@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ratestep.llm.textbytes import U64, chunks, columns, span_hashes, word_spans
+from ratestep.llm.textbytes import U64, chunks, columns, slices, span_hashes, word_spans
 from ratestep.runtime import Scratch, bounded_batches, ensure_importable
 
 BITS = 17
@@ -27,6 +28,7 @@ _KEEP[65:91] = np.arange(97, 123)
 _KEEP[97:123] = np.arange(97, 123)
 _KEEP[128:] = np.arange(128, 256)
 _ISSEP = np.arange(256) == 32
+_ENDS = _KEEP == 32
 _MULT = {3: U64(0x9E3779B97F4A7C15), 4: U64(0xC2B2AE3D27D4EB4F), 5: U64(0x165667B19E3779F9)}
 
 
@@ -84,10 +86,16 @@ class Model:
         """The largest window logit of each row, and the log of its number of windows; rows without words count as an empty window."""
         out, windows = np.full(len(off) - 1, self.bias), np.zeros(len(off) - 1)
         for i, j in chunks(off):
-            ids, words, row, hashes = features(data, off[i : j + 1])
+            # A long text of its own is read in parts, so that only its words are held at once.
+            parts = [(off[i : j + 1], None)] if j > i + 1 else [(np.array(x), 0) for x in slices(data, off[i], off[j], _ENDS)]
+            read = []
+            for cut, only in parts:
+                ids, words, row, hashes = features(data, cut)
+                score = np.bincount(words, weights=self.table[ids], minlength=len(row)) / np.maximum(np.bincount(words, minlength=len(row)), 1)
+                read.append((score, row if only is None else np.zeros(len(row), dtype=np.int64), hashes))
+            score, row, hashes = (np.concatenate(x) for x in zip(*read, strict=True)) if read else [np.zeros(0)] * 3
             if not len(row):
                 continue
-            score = np.bincount(words, weights=self.table[ids], minlength=len(row)) / np.bincount(words, minlength=len(row))
             first = np.searchsorted(row, np.arange(j - i))
             # Windows of WINDOW words that overlap by half; a text's last one ends with the text.
             sums = np.r_[0.0, np.cumsum(score * fresh(hashes, row))]
@@ -111,8 +119,8 @@ def _within(sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
 
 
-def fit(texts: list[bytes], labels: np.ndarray, *, dim: int = 4, steps: int = 90, rate: float = 0.3, max_windows: int = 16, least_seen: int = 3, floor: float = 0.03, seed: int = 1) -> Model:
-    """Joint training of bucket vectors and softmax weights by Adam over all windows of the sample."""
+def fit(texts: list[bytes], labels: np.ndarray, *, dim: int = 4, steps: int = 90, rate: float = 0.3, least_seen: int = 3, floor: float = 0.03, seed: int = 1) -> Model:
+    """Joint training of bucket vectors and softmax weights by Adam over all windows of all texts given."""
     rng = np.random.default_rng(seed)
     off = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -135,10 +143,7 @@ def fit(texts: list[bytes], labels: np.ndarray, *, dim: int = 4, steps: int = 90
         first = np.searchsorted(row, np.arange(j - i + 1))
         for r in range(j - i):
             lo, hi = first[r], first[r + 1]
-            starts = np.arange(lo, hi, WINDOW)
-            if len(starts) > max_windows:
-                starts = np.sort(rng.choice(starts, max_windows, replace=False))
-            for at in starts:
+            for at in range(lo, hi, WINDOW):
                 end = min(at + WINDOW, hi)
                 if (w := word_ids[at:end][new[at:end]]).size:
                     window_words.append(w)
@@ -147,9 +152,7 @@ def fit(texts: list[bytes], labels: np.ndarray, *, dim: int = 4, steps: int = 90
         return Model(np.zeros(1 << BITS, dtype=np.float32), -5.0, 1.0, 0.0, 0.0)
     doc = np.array(window_doc)
     sizes = np.array([len(w) for w in window_words])
-    # Only words of the windows that were drawn take part.
-    there, flat = np.unique(np.concatenate(window_words), return_inverse=True)
-    feats, win = [feats[k] for k in there], np.repeat(np.arange(len(sizes)), sizes)
+    flat, win = np.concatenate(window_words), np.repeat(np.arange(len(sizes)), sizes)
     fsize = np.array([len(f) for f in feats])
     bucket, form = np.concatenate(feats), np.repeat(np.arange(len(feats), dtype=np.int32), fsize)
     used, slot = np.unique(bucket, return_inverse=True)
@@ -176,13 +179,13 @@ def fit(texts: list[bytes], labels: np.ndarray, *, dim: int = 4, steps: int = 90
         order = np.argsort(target_of, kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(target_of[order]) > 0])
         source = source_of[order].astype(np.int32)
-        return lambda values: np.add.reduceat(values[source], first, axis=0)
+        return lambda values: np.add.reduceat(np.take(values, source, axis=0), first, axis=0)
 
     to_forms, to_buckets = spreader(flat, win), spreader(slot, form)
     f_inv = (1 / fsize).astype(np.float32)[:, None]
     for t in range(1, steps + 1):
-        word = np.add.reduceat(e[slot], f_cut, axis=0) * f_inv
-        vec = np.add.reduceat(word[flat], w_cut, axis=0) / np.float32(WINDOW)
+        word = np.add.reduceat(np.take(e, slot, axis=0), f_cut, axis=0) * f_inv
+        vec = np.add.reduceat(np.take(word, flat, axis=0), w_cut, axis=0) / np.float32(WINDOW)
         z = vec @ w + c
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
@@ -229,12 +232,13 @@ def calibrated(model: Model, logit: np.ndarray, windows: np.ndarray, y: np.ndarr
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: int = 1, folds: int = 3, per_class: int = 1500, max_bytes: int = 1 << 16
-) -> Model | None:
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: int = 1, folds: int = 3, per_class: int = 1500, max_bytes: int = 1 << 16,
+    max_total: int = 10_000_000,
+) -> Model | None:
     """A model from labelled rows outside the held-out fold; None without any.
 
-    The sample is bounded: about ``per_class`` texts of each class, by a hash of the id, of ``max_bytes`` at most each, of which ``fit``
-    trains on at most ``max_windows`` random windows. Labels that repeat count once, the largest; null labels are left out.
+    The sample is bounded: about ``per_class`` texts of each class, by a hash of the id, of ``max_bytes`` at most each and, of both classes together,
+    about ``max_total`` bytes: fewer texts where they are long, each of them whole. Labels that repeat count once, the largest; null labels are left out.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
@@ -248,8 +252,11 @@ def train(
     # Of the order of per_class * 2 rows: written, so that Spark knows its size.
     chosen = scratch.cut(known.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < share), "sample")
     texts = docs.where((F.octet_length(text_col) > 0) & (F.octet_length(text_col) <= max_bytes)).select(id_col, F.col(text_col).alias("__t"))
-    rows = texts.join(chosen, id_col).select(id_col, "__t", "__y").toArrow().sort_by(id_col)
-    scratch.drop(chosen)
+    drawn = scratch.cut(texts.join(chosen, id_col).select(id_col, "__t", "__y"), "texts")
+    # At most about 2 * per_class rows, so that one task may add up their sizes.
+    so_far = F.sum(F.octet_length("__t")).over(Window.partitionBy("__y").orderBy(F.xxhash64(F.col(id_col)), id_col))
+    rows = drawn.withColumn("__s", so_far).where(F.col("__s") <= max_total // len(there)).select(id_col, "__t", "__y").toArrow().sort_by(id_col)
+    scratch.drop(chosen, drawn)
     if not rows.num_rows:
         return None
     return fit([x.encode() for x in rows.column("__t").to_pylist()], np.array(rows.column("__y").to_pylist(), dtype=np.int64))
