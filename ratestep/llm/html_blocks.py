@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 #: Elements that start and end a block of text.
@@ -29,14 +30,50 @@ _NAMED = re.compile(r"""\b(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s
 _WORD = re.compile(r"[A-Za-z]+")
 
 
+class Node:
+    """An open block element; its ancestors are shared with all that lie in them, so a path costs one node."""
+
+    __slots__ = ("depth", "names", "parent", "tag", "vector")
+
+    def __init__(self, tag: str, names: tuple[str, ...], parent: Node | None):
+        self.tag, self.names, self.parent, self.vector = tag, names, parent, None
+        self.depth = 1 if parent is None else parent.depth + 1
+
+
+#: Nodes seen lately, so that pages of one layout share them; it is emptied when it has grown large.
+_SEEN: dict[tuple, Node] = {}
+
+
+def _node(tag: str, names: tuple[str, ...], parent: Node | None) -> Node:
+    key = (parent, tag, names)
+    if (node := _SEEN.get(key)) is None:
+        if len(_SEEN) >= 20_000:
+            _SEEN.clear()
+        node = _SEEN[key] = Node(tag, names, parent)
+    return node
+
+
 @dataclass
 class Block:
-    """Text with single spaces; ``path`` has a (tag, names) pair for every open block element, outermost first."""
+    """Text with single spaces, and the innermost open block element."""
 
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    node: Node | None
     text: str
     linked: float
 
+    @property
+    def depth(self) -> int:
+        return self.node.depth if self.node else 0
+
+    @property
+    def path(self) -> tuple[tuple[str, tuple[str, ...]], ...]:
+        """A (tag, names) pair for every open block element, outermost first."""
+        out, at = [], self.node
+        while at is not None:
+            out.append((at.tag, at.names))
+            at = at.parent
+        return tuple(reversed(out))
+
 
 def _names(rest: str) -> tuple[str, ...]:
     out: list[str] = []
@@ -50,7 +87,8 @@ def _names(rest: str) -> tuple[str, ...]:
 def blocks(page: str) -> list[Block]:
     """The blocks with text, in page order. Comments, scripts, styles and the like have no blocks; a tag that is never closed ends with the page."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Node] = []
+    open_: Counter[str] = Counter()
     parts: list[str] = []
     linked, depth_a = 0, 0
 
@@ -59,16 +97,19 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(tuple(stack), text, min(1.0, linked / max(1, sum(map(len, parts))))))
+                out.append(Block(stack[-1] if stack else None, text, min(1.0, linked / max(1, sum(map(len, parts))))))
             parts.clear()
         linked = 0
 
     def close(names: tuple[str, ...], fence: frozenset[str]) -> None:
+        if not any(open_[x] for x in names):
+            return
         for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
+            if stack[k].tag in names:
+                open_.subtract(x.tag for x in stack[k:])
                 del stack[k:]
                 return
-            if stack[k][0] in fence:
+            if stack[k].tag in fence:
                 return
 
     at, n = 0, len(page)
@@ -111,6 +152,7 @@ def blocks(page: str) -> list[Block]:
                 if name in CLOSES:
                     close(CLOSES[name], frozenset(("ul", "ol", "dl", "table", "select", "menu")))
                 if name not in VOID:
-                    stack.append((name, _names(rest)))
+                    stack.append(_node(name, _names(rest), stack[-1] if stack else None))
+                    open_[name] += 1
     flush()
     return out

@@ -16,38 +16,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratestep.llm.html_blocks import Block, blocks
+from ratestep.llm.html_blocks import Block, Node, blocks
 from ratestep.llm.textbytes import LOWER, U64, span_hashes, word_spans
 from ratestep.runtime import bounded_batches, ensure_importable
 
 PATH, WORDS, PLAIN = 96, 32, 8
 SIZE = PATH + WORDS + PLAIN
 _SEP = np.ones(256, dtype=bool)
+_DIGIT = np.zeros(256, dtype=bool)
+_DIGIT[48:58] = True
 _SEP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
-@functools.lru_cache(maxsize=20_000)
-def path_vector(path: tuple) -> np.ndarray:
-    """Signed hashes of the path's elements; the nearest elements count most."""
-    v = np.zeros(PATH, dtype=np.float32)
-
-    def put(key: str, x: float) -> None:
-        h = zlib.crc32(key.encode())
-        v[h % PATH] += x if h >> 16 & 1 else -x
-
-    last = ""
-    for up, (tag, names) in enumerate(reversed(path)):
-        x = 1.0 if up < 4 else 0.5
-        put(f"t:{tag}", x)
-        put(f"{last}<{tag}", x)
-        if up == 0:
-            put(f"leaf:{tag}", 1.0)
-        for name in dict.fromkeys(names):
-            put(f"n:{name}", 1.5)
-        last = tag
+def _put(v: np.ndarray, key: str, x: float) -> None:
+    h = zlib.crc32(key.encode())
+    v[h % PATH] += x if h >> 16 & 1 else -x
+
+
+def _chain(node: Node) -> np.ndarray:
+    """Signed hashes of a node and its ancestors, each a half: what all paths through the node have in common. Kept in the nodes."""
+    todo = []
+    while node is not None and node.vector is None:
+        todo.append(node)
+        node = node.parent
+    v = node.vector[0] if node is not None else np.zeros(PATH, dtype=np.float32)
+    for node in reversed(todo):
+        v = v.copy()
+        _put(v, f"t:{node.tag}", 0.5)
+        if node.parent is not None:
+            _put(v, f"{node.tag}<{node.parent.tag}", 0.5)
+        for name in dict.fromkeys(node.names):
+            _put(v, f"n:{name}", 1.5)
+        node.vector = [v, None]
     return v
 
 
+def path_vector(node: Node | None) -> np.ndarray:
+    """Signed hashes of the path's elements; the nearest four count most."""
+    if node is None:
+        return np.zeros(PATH, dtype=np.float32)
+    _chain(node)
+    if node.vector[1] is None:
+        v = node.vector[0].copy()
+        _put(v, f"<{node.tag}", 1.0)
+        _put(v, f"leaf:{node.tag}", 1.0)
+        at, last = node, ""
+        for _ in range(4):
+            _put(v, f"t:{at.tag}", 0.5)
+            if last:
+                _put(v, f"{last}<{at.tag}", 0.5)
+            at, last = at.parent, at.tag
+            if at is None:
+                break
+        node.vector[1] = v
+    return node.vector[1]
+
+
 def vectors(pages: list[list[Block]]) -> list[np.ndarray]:
     """(blocks, SIZE) of each page."""
     every = [b for p in pages for b in p]
@@ -61,17 +85,18 @@ def vectors(pages: list[list[Block]]) -> list[np.ndarray]:
     slot = (mixed >> U64(59)).astype(np.int64)
     sign = np.where((h >> U64(58) & U64(1)).astype(bool), 1.0, -1.0)
     n = np.bincount(row, minlength=len(every)).astype(np.float64)
+    digits = np.add.reduceat(np.r_[_DIGIT[data], 0], off[:-1], dtype=np.int64)  # every block has text
     words = np.bincount(row * WORDS + slot, weights=sign, minlength=len(every) * WORDS).reshape(-1, WORDS)
     x = np.zeros((len(every), SIZE), dtype=np.float32)
     x[:, PATH : PATH + WORDS] = words / np.maximum(np.linalg.norm(words, axis=1, keepdims=True), 1)
     k = 0
     for p in pages:
         for i, blk in enumerate(p):
-            x[k, :PATH] = path_vector(blk.path)
+            x[k, :PATH] = path_vector(blk.node)
             chars = len(blk.text)
             x[k, PATH + WORDS :] = (
-                np.log1p(chars) / 5, np.log1p(n[k]) / 4, blk.linked, sum(map(blk.text.count, ".!?")) / max(1.0, n[k]), len(blk.path) / 8,
-                i / len(p), blk.text[:1] in "©®", sum(map(str.isdigit, blk.text[:200])) / max(1, min(200, chars)),
+                np.log1p(chars) / 5, np.log1p(n[k]) / 4, blk.linked, sum(map(blk.text.count, ".!?")) / max(1.0, n[k]), blk.depth / 8,
+                i / len(p), blk.text[:1] in "©®", digits[k] / max(1, chars),
             )
             k += 1
     cut = np.cumsum([len(p) for p in pages])[:-1]
