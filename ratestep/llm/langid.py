@@ -36,8 +36,8 @@ def has_letter(raw: bytes) -> bool:
     return any(map(str.isalpha, raw.decode("utf-8", "replace"))) if folded.strip() else False
 
 
-def bags(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """(rows, BUCKETS) of normalised n-gram counts; rows follow each other in ``data``."""
+def _counts(data: np.ndarray, off: np.ndarray, begins: int | None = None) -> np.ndarray:
+    """(rows, BUCKETS) counts of n-grams; of a part of a text, only of those among its first ``begins`` bytes."""
     base, rows = off[0], len(off) - 1
     b = _FOLD[data[base : off[-1]]].astype(np.uint32)
     out = np.zeros(rows * BUCKETS, dtype=np.float64)
@@ -51,29 +51,45 @@ def bags(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         same = row[: len(gram)] == row[n - 1 : n - 1 + len(gram)]
         # A gram of spaces only says nothing.
         same &= (b[: len(gram)] != 32) | (b[n - 1 : n - 1 + len(gram)] != 32)
+        if begins is not None:
+            same[begins:] = False
         with np.errstate(over="ignore"):
             h = (gram * _SALT[n - 1]) >> np.uint32(32 - 13)
         out += np.bincount(row[: len(gram)][same] + h[same], minlength=len(out))
-    x = np.sqrt(out.reshape(rows, BUCKETS)).astype(np.float32)
+    return out.reshape(rows, BUCKETS)
+
+
+def bags(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """(rows, BUCKETS) of normalised n-gram counts; rows follow each other in ``data``. A long text is read in parts."""
+    if len(off) == 2 and off[1] - off[0] > CHUNK:
+        out = sum(_counts(data, np.array([k, min(k + CHUNK + 2, off[1])]), CHUNK) for k in range(off[0], off[1], CHUNK))
+    else:
+        out = _counts(data, off)
+    x = np.sqrt(out).astype(np.float32)
     norm = np.sqrt((x * x).sum(1, keepdims=True))
     return x / np.maximum(norm, 1e-9)
 
 
 def codewords(k: int) -> np.ndarray:
-    """(k, bits) of +-1: every split of the languages up to 7 of them, beyond that random splits with no two rows alike."""
+    """(k, bits) of +-1: every split of the languages up to 7 of them, beyond that rows of a random code, drawn until all are apart.
+
+    A row is drawn anew while it is nearer than a quarter of the bits to one before it, so that no two rows are alike for any k.
+    """
     if k <= 1:
         return np.ones((k, 1), dtype=np.float32)
     if k <= 7:
         splits = [s for s in itertools.product((1, -1), repeat=k - 1) if -1 in s]
         return np.array([(1, *s) for s in splits], dtype=np.float32).T
     rng = np.random.default_rng(k)
-    best, apart = None, -1
-    for _ in range(50):
-        m = rng.choice(np.array([-1, 1], dtype=np.float32), size=(k, int(np.ceil(10 * np.log2(k)))))
-        d = min((m[i] != m[j]).sum() for i, j in itertools.combinations(range(k), 2)) if k <= 64 else (m[:1] != m[1:]).sum(1).min()
-        if d > apart and (m != m[0]).any(0).all():
-            best, apart = m, d
-    return best
+    bits = int(np.ceil(10 * np.log2(k)))
+    while True:
+        out = np.empty((k, bits), dtype=np.float32)
+        for i in range(k):
+            out[i] = rng.choice(np.array([-1, 1], dtype=np.float32), size=bits)
+            while i and (out[:i] != out[i]).sum(1).min() < bits / 4:
+                out[i] = rng.choice(np.array([-1, 1], dtype=np.float32), size=bits)
+        if (out != out[0]).any(0).all():
+            return out
 
 
 @dataclass
@@ -118,13 +134,15 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 120, de
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, max_bytes: int) -> DataFrame:
-    """About ``per_language`` rows of each language, by a hash of the id."""
+    """About ``per_language`` rows of each language, by a hash of the id.
+
+    The counts of languages stay a table: Spark broadcasts it if it is small, whatever labels there are.
+    """
     known = docs.where(F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0) & (F.octet_length(text_col) <= max_bytes))
-    there = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
-    if not there:
-        return known.where("false").select(text_col, lang_col)
-    limit = F.create_map(*(x for k, n in there.items() for x in (F.lit(k), F.lit(int(min(1.0, per_language / n) * (1 << 30))))))
-    return known.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < F.element_at(limit, F.col(lang_col))).select(text_col, lang_col)
+    own = known.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
+    share = F.least(F.lit(1.0), per_language / F.col("n"))
+    limit = own.groupBy("l").agg(F.count(F.lit(1)).alias("n")).select("l", (share * (1 << 30)).cast("long").alias("limit"))
+    return own.join(limit, "l").where(F.pmod("h", F.lit(1 << 30)) < F.col("limit")).select(F.col("t").alias(text_col), F.col("l").alias(lang_col))
 
 
 def train(
