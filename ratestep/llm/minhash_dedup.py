@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratestep.llm.graph import components
-from ratestep.llm.textbytes import LOWER, U64, chunks, columns, mix64, span_hashes, word_spans
+from ratestep.llm.textbytes import LOWER, U64, chunks, columns, mix64, slices, span_hashes, word_spans
 from ratestep.runtime import Scratch, bounded_batches
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -40,9 +40,13 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, width: int = 5) -> list[np.n
     """The sorted distinct shingle hashes of each row; ``off`` are byte offsets into ``data``."""
     out: list[np.ndarray] = []
     for i, j in chunks(off):
-        part = LOWER[data[off[i] : off[j]]]
-        b, e, row = word_spans(part, off[i:j] - off[i], _SPACE)
-        w = span_hashes(part, b, e)
+        # A long text is read in parts, so that only its words' hashes are held at once.
+        read = []
+        for lo, hi in [(off[i], off[j])] if j > i + 1 else slices(data, off[i], off[j], _SPACE):
+            part = LOWER[data[lo:hi]]
+            b, e, row = word_spans(part, off[i:j] - off[i] if j > i + 1 else np.zeros(1, dtype=np.int64), _SPACE)
+            read.append((span_hashes(part, b, e), row))
+        w, row = (np.concatenate(x) for x in zip(*read, strict=True)) if read else (np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64))
         cut = np.searchsorted(row, np.arange(j - i + 1))
         with np.errstate(over="ignore"):
             n = len(w) - width + 1

@@ -70,6 +70,17 @@ def chunks(off: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
+def slices(data: np.ndarray, lo: int, hi: int, sep: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Parts of the text in ``data[lo:hi]`` of about ``size`` bytes that end after a separator, so that no word is cut; a longer word is whole."""
+    while lo < hi:
+        end = min(hi, lo + size)
+        while end < hi and not sep[data[end - 1]]:
+            gap = np.flatnonzero(sep[data[end : end + size]])
+            end = end + int(gap[0]) + 1 if len(gap) else min(hi, end + size)
+        yield lo, end
+        lo = end
+
+
 def word_spans(data: np.ndarray, starts: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each maximal run of bytes that are not separators; rows begin at ``starts``."""
     if not len(data):
