@@ -4,7 +4,8 @@ Writing is a DataFrame plan: a record is one string (header block and payload) a
 separator of Spark's text sink, so the files are plain WARC/1.1 and go to any store that Spark can write. Reading takes
 whole files (the writer bounds their size) and parses each in a worker. When a check fails (version line, header block,
 Content-Length, terminator, payload digest, gzip member), the reader searches for the next valid version line or gzip
-member, goes on there, and returns the bytes between as a quarantined gap.
+member, goes on there, and returns the bytes between as a quarantined gap; the same search goes on inside what a member holds, and what a
+broken member gave before its break is kept.
 """
 
 from __future__ import annotations
@@ -151,66 +152,116 @@ def _one(buf: bytes, at: int) -> tuple[dict | None, int, str]:
     return {"headers": headers, "block": block}, end + (4 if tail == b"\r\n\r\n" else 2), ""
 
 
-def _gunzip(buf: bytes, at: int) -> tuple[bytes | None, int]:
-    d = zlib.decompressobj(31)
+def _inflate(buf: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int, bool]:
+    """(output, end, whole) of the gzip member at ``at``; of a broken one, what came out before the break. Reads no further than the member."""
+    d, out, pos, view = zlib.decompressobj(31), [], at, memoryview(buf)
     try:
-        out = d.decompress(buf[at:]) + d.flush()
+        while pos < len(buf) and not d.eof:
+            out.append(d.decompress(view[pos : pos + step]))
+            pos += step
     except zlib.error:
-        return None, at
-    return (out, len(buf) - len(d.unused_data)) if d.eof else (None, at)
+        # The slice that broke is tried byte by byte, so that no output before the break is lost.
+        d, tail = zlib.decompressobj(31), []
+        d.decompress(view[at:pos]) if pos > at else None
+        try:
+            for k in range(pos, min(pos + step, len(buf))):
+                tail.append(d.decompress(view[k : k + 1]))
+        except zlib.error:
+            pass
+        return b"".join(out + tail), min(pos + step, len(buf)), False
+    if not d.eof:
+        return b"".join(out), len(buf), False
+    return b"".join(out), min(pos, len(buf)) - len(d.unused_data), True
+
+
+class _Marks:
+    """Where the next version line or gzip member is; what has been found is kept, so that the buffer is searched once."""
+
+    def __init__(self, buf: bytes, zipped: bool):
+        self.buf, self.zipped = buf, zipped
+        self.line = self.member = -1
+
+    def after(self, at: int) -> int:
+        n = len(self.buf)
+        if self.line < at:
+            m = _VERSION.search(self.buf, at)
+            self.line = m.start() if m else n
+        if self.zipped and self.member < at:
+            k = self.buf.find(_MEMBER, at)
+            self.member = k if k >= 0 else n
+        return min(self.line, self.member) if self.zipped else self.line
+
+
+def _plain(buf: bytes) -> Iterator[dict]:
+    """Records and gaps of bytes that are not zipped."""
+    at, gap, why, marks = 0, None, "", _Marks(buf, False)
+    while at < len(buf):
+        if gap is None and buf[at : at + 1] in b"\r\n":
+            at += 1
+            continue
+        rec, end, fault = _one(buf, at)
+        if rec is None:
+            if gap is None:
+                gap, why = at, fault
+            at = marks.after(at + 1)
+            continue
+        if gap is not None:
+            yield {"offset": gap, "length": at - gap, "fault": why}
+            gap = None
+        yield {"offset": at, "length": end - at, **rec}
+        at = end
+    if gap is not None:
+        yield {"offset": gap, "length": len(buf) - gap, "fault": why}
 
 
 def salvage(buf: bytes) -> Iterator[dict]:
-    """Records and gaps of an archive, in order; plain records and gzip members of whole records may be mixed.
+    """Records and gaps of an archive, in order; plain records and gzip members may be mixed.
 
-    Every byte belongs to exactly one record, gap, or blank line between records.
+    Every byte belongs to exactly one record, gap, member, or blank line between records. What a member holds is salvaged in the same way:
+    its records and gaps have the ``offset`` and ``length`` of the member and, as ``inner``, their offset in its output. A broken member
+    gives the records that come out before the break, then a gap from its start to the next valid member or version line.
     """
-    at, gap, why = 0, None, ""
+    at, gap, why, marks = 0, None, "", _Marks(buf, True)
     while at < len(buf):
         if gap is None and buf[at : at + 1] in b"\r\n":
             at += 1
             continue
-        zipped = buf.startswith(_MEMBER, at)
-        if zipped:
-            inner, end = _gunzip(buf, at)
-            found, fault, pos = [], "gzip member broken", 0
-            while inner is not None and pos < len(inner):
-                rec, pos, fault = _one(inner, pos)
-                if rec is None:
-                    break
-                found.append(rec)
-                while inner[pos : pos + 1] in (b"\r", b"\n"):
-                    pos += 1
-            ok = inner is not None and bool(found) and pos >= len(inner)
+        if buf.startswith(_MEMBER, at):
+            out, end, whole = _inflate(buf, at)
+            found = list(_plain(out))
+            ok = whole and any("headers" in x for x in found)
+            fault = "no record in gzip member" if whole else "gzip member broken"
         else:
             rec, end, fault = _one(buf, at)
-            found, ok = [rec], rec is not None
+            found, ok = [], rec is not None
+        if ok and gap is not None:
+            yield {"offset": gap, "length": at - gap, "fault": why}
+            gap = None
+        if ok and not found:
+            yield {"offset": at, "length": end - at, **rec}
+        # The last gap of a broken member is where the output ends: the gap of the member itself says so.
+        for k, x in enumerate(found):
+            if ok or "headers" in x or k < len(found) - 1:
+                yield {**x, "offset": at, "length": end - at if ok else 0, "inner": x["offset"], "inner_length": x["length"]}
         if ok:
-            if gap is not None:
-                yield {"offset": gap, "length": at - gap, "fault": why}
-                gap = None
-            for rec in found:
-                yield {"offset": at, "length": end - at, **rec}
             at = end
             continue
         if gap is None:
             gap, why = at, fault
-        nxt = _VERSION.search(buf, at + 1)
-        member = buf.find(_MEMBER, at + 1)
-        at = min(x for x in (nxt.start() if nxt else len(buf), member if member >= 0 else len(buf)))
+        at = marks.after(at + 1)
     if gap is not None:
         yield {"offset": gap, "length": len(buf) - gap, "fault": why}
 
 
 SCHEMA = (
-    "path string, offset long, length long, record_type string, record_id string, target_uri string, refers_to_id string, "
+    "path string, offset long, length long, inner long, inner_length long, record_type string, record_id string, target_uri string, refers_to_id string, "
     "payload_digest string, payload_bytes long, payload binary, fault string"
 )
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    kinds = {"offset": pa.int64(), "length": pa.int64(), "payload_bytes": pa.int64(), "payload": pa.binary()}
+    kinds = {**dict.fromkeys(("offset", "length", "inner", "inner_length"), pa.int64()), "payload_bytes": pa.int64(), "payload": pa.binary()}
     for batch in batches:
         for k in range(batch.num_rows):
             path, rows, size = batch.column("path")[k].as_py(), [], 0
@@ -219,7 +270,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 said = h.get("x-payload-length", "")
                 digest = h.get("warc-payload-digest", "")
                 rows.append({
-                    "path": path, "offset": x["offset"], "length": x["length"], "record_type": h.get("warc-type") if block is not None else None,
+                    "path": path, "offset": x["offset"], "length": x["length"], "inner": x.get("inner"), "inner_length": x.get("inner_length"), "record_type": h.get("warc-type") if block is not None else None,
                     "record_id": h.get("warc-record-id"), "target_uri": h.get("warc-target-uri"), "refers_to_id": h.get("warc-refers-to"),
                     "payload_digest": digest[5:].upper() if digest.lower().startswith("sha1:") else None,
                     "payload_bytes": (int(said) if said.isdigit() else len(block)) if block is not None else None, "payload": block, "fault": x.get("fault"),
