@@ -52,45 +52,72 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def paths(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(tree, leaf, node, up) for every node of every root-to-leaf path; ``up`` counts from the leaf.
+def keyed(nodes: DataFrame, unique: bool = False) -> DataFrame:
+    """Rows with a key for tree and node that nulls and repeated ids have too: (t, k, up, tree, node, role, text, score).
 
-    ``nodes`` has tree, node and parent with one row a node; a parent that is null or not there makes a root. Cycles are refused.
+    Rows alike in all of these are one node. Of different rows with one id, the first in order (parent, role, text, score) is the node that replies
+    hang on; each other one is a reply of its own to its parent. ``unique`` says that there are none, and saves the shuffle.
     """
-    nodes = scratch.cut(nodes.select("tree", "node", "parent"), "links")
-    there = nodes.select("tree", F.col("node").alias("parent"))
-    jump = scratch.cut(nodes.where(F.col("parent").isNotNull()).select("tree", "node", "parent").join(there, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("far")), "jump")
-    leaves = nodes.select("tree", "node").join(jump.select("tree", F.col("far").alias("node")).distinct(), ["tree", "node"], "left_anti")
+    own = nodes.select("tree", "node", "parent", "role", "text", "score")
+    if unique:
+        own = own.withColumn("copy", F.lit(1))
+    else:
+        own = own.distinct().withColumn("copy", F.row_number().over(Window.partitionBy("tree", "node").orderBy("parent", "role", "text", "score")))
+    return own.select(
+        F.struct("tree").alias("t"), F.struct("node", "copy").alias("k"), F.when(F.col("parent").isNotNull(), F.struct(F.col("parent").alias("node"), F.lit(1).alias("copy"))).alias("up"),
+        "tree", "node", "role", "text", "score",
+    )
+
+
+def paths(keys: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(t, leaf, k, up) for every node of every root-to-leaf path, ``up`` counted from the leaf; and the nodes (t, k) that lead into a cycle, which have no path.
+
+    A parent that is null or not there makes a root. A node that still has an ancestor after as many steps as its tree has nodes leads into a cycle.
+    """
+    links = scratch.cut(keys.select("t", "k", "up"), "links")
+    there = links.select("t", F.col("k").alias("up"))
+    jump = scratch.cut(links.where(F.col("up").isNotNull()).join(there, ["t", "up"], "left_semi").select("t", "k", F.col("up").alias("far")), "jump")
+    leaves = links.select("t", "k").join(jump.select("t", F.col("far").alias("k")).distinct(), ["t", "k"], "left_anti")
+    most = links.groupBy("t").count().agg(F.max("count")).first()[0] or 0
     jumps = []
-    while not jump.isEmpty():
-        if len(jumps) > 40:
-            raise ValueError("the reply links have a cycle")
+    while (1 << len(jumps)) <= most and not jump.isEmpty():
         jumps.append(jump)
-        jump = scratch.cut(jump.join(jump.select("tree", F.col("node").alias("far"), F.col("far").alias("further")), ["tree", "far"]).select("tree", "node", F.col("further").alias("far")), "jump")
-    out = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+        jump = scratch.cut(jump.join(jump.select("t", F.col("k").alias("far"), F.col("far").alias("further")), ["t", "far"]).select("t", "k", F.col("further").alias("far")), "jump")
+    loops = jump.select("t", "k")
+    out = leaves.join(loops, ["t", "k"], "left_anti").select("t", F.col("k").alias("leaf"), "k", F.lit(0).cast("long").alias("up"))
     for k in range(len(jumps) - 1, -1, -1):
-        more = out.join(jumps[k], ["tree", "node"]).select("tree", "leaf", F.col("far").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        more = out.join(jumps[k], ["t", "k"]).select("t", "leaf", F.col("far").alias("k"), (F.col("up") + (1 << k)).alias("up"))
         # Written: the rows are read twice in the next round, and a plan that repeats its input doubles with each.
         out = scratch.cut(out.unionByName(more), "paths")
-    return out
+    return out, loops
+
+
+def cyclic(nodes: DataFrame) -> DataFrame:
+    """(tree, node) of the rows that lead into a cycle of reply links; ``format_trees`` has no conversation for them."""
+    loops = paths(keyed(nodes), Scratch(nodes.sparkSession, "chat"))[1]
+    return loops.select("t.tree", "k.node").distinct()
 
 
-def format_trees(nodes: DataFrame, *, best: int | None = None, train_role: str = "assistant", scratch: Scratch | None = None) -> DataFrame:
+def format_trees(nodes: DataFrame, *, best: int | None = None, train_role: str = "assistant", scratch: Scratch | None = None, unique: bool = False) -> DataFrame:
     """Formatted conversations, one for each chosen root-to-leaf path.
 
     ``nodes`` has tree, node, parent, role, text and score. A path's score is the mean of its nodes' scores (null: 0); paths of a
     tree are ranked by it, then by leaf, and the ``best`` first ones are formatted (all by default). Returns tree, leaf, rank,
     path_score, n_turns, formatted and mask: the spans (start, end) in code points of the texts under the loss mask,
-    those of ``train_role``. Null texts and roles are empty. Other columns are not read.
+    those of ``train_role``. Null texts and roles are empty. Null trees are one tree, a null node has no replies. Rows that repeat are one node; different rows
+    with one node id each have a path (see ``keyed``; ``unique`` says that there are none). Nodes that lead into a cycle have no path (``cyclic`` lists them);
+    other trees are not affected. Other columns are not read.
     """
     spark = nodes.sparkSession
     scratch = scratch or Scratch(spark, "chat")
-    full = nodes.select("tree", "node", "role", "text", "score")
-    steps = paths(nodes, scratch)
+    full = keyed(nodes, unique)
+    if not unique:
+        full = scratch.cut(full, "nodes")
+    steps = paths(full, scratch)[0]
     if best is not None:
-        scored = steps.join(full.select("tree", "node", F.coalesce("score", F.lit(0.0)).alias("score")), ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("s"))
-        rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("s"), "leaf"))
-        steps = steps.join(scored.withColumn("r", rank).where(F.col("r") <= best).select("tree", "leaf"), ["tree", "leaf"], "left_semi")
+        scored = steps.join(full.select("t", "k", F.coalesce("score", F.lit(0.0)).alias("score")), ["t", "k"]).groupBy("t", "leaf").agg(F.avg("score").alias("s"))
+        rank = F.row_number().over(Window.partitionBy("t").orderBy(F.desc("s"), "leaf"))
+        steps = steps.join(scored.withColumn("r", rank).where(F.col("r") <= best).select("t", "leaf"), ["t", "leaf"], "left_semi")
     role, text = escape_role(F.coalesce("role", F.lit(""))), escape(F.coalesce("text", F.lit("")))
     turn = F.struct(
         (-F.col("up")).alias("at"),
@@ -99,7 +126,7 @@ def format_trees(nodes: DataFrame, *, best: int | None = None, train_role: str =
         (F.coalesce("role", F.lit("")) == train_role).alias("on"),
         F.coalesce("score", F.lit(0.0)).alias("score"),
     )
-    grouped = steps.join(full, ["tree", "node"]).groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    grouped = steps.join(full.select("t", "k", "role", "text", "score"), ["t", "k"]).groupBy("t", "leaf").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     tail = END + "\n"
 
     def span(acc: Column, t: Column) -> Column:
@@ -110,14 +137,15 @@ def format_trees(nodes: DataFrame, *, best: int | None = None, train_role: str =
 
     empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("all"))
     out = grouped.select(
-        "tree",
-        "leaf",
+        "t.tree",
+        F.col("leaf.node").alias("leaf"),
+        F.col("leaf.copy").alias("__copy"),
         (F.aggregate("turns", F.lit(0.0), lambda a, t: a + t["score"]) / F.size("turns")).alias("path_score"),
         F.size("turns").cast("long").alias("n_turns"),
         F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(tail))), "").alias("formatted"),
         F.aggregate("turns", empty, span, lambda a: a["all"]).alias("mask"),
     )
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), "leaf")).cast("long"))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), "leaf", "__copy")).cast("long")).drop("__copy")
 
 
 def linear(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", score: Column | None = None) -> DataFrame:
@@ -128,12 +156,12 @@ def linear(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn",
     order = Window.partitionBy(id_col).orderBy(F.col(turn_col), F.col(role_col), F.col(text_col))
     at = F.row_number().over(order).cast("long")
     return turns.select(
-        F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("tree"), at.alias("node"), F.col(role_col).alias("role"), F.col(text_col).alias("text"), (score if score is not None else F.lit(0.0)).alias("score")
+        F.col(id_col).alias("tree"), at.alias("node"), F.col(role_col).alias("role"), F.col(text_col).alias("text"), (score if score is not None else F.lit(0.0)).alias("score")
     ).withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1))
 
 
 def digest(formatted: DataFrame, *, id_col: str = "conv_id") -> DataFrame:
-    """What the formatted conversations hold, read back from them: turns, and texts under the loss mask."""
+    """What the formatted conversations hold, read back from them: turns, and texts under the loss mask. Ids of any type, and null, are kept."""
     ensure_importable(formatted.sparkSession)
     bounded_batches(formatted.sparkSession)
 
@@ -148,6 +176,5 @@ def digest(formatted: DataFrame, *, id_col: str = "conv_id") -> DataFrame:
             cols = [pa.array([r[k] for r in rows], pa.string() if k in (1, 3) else pa.int64()) for k in range(5)]
             yield pa.RecordBatch.from_arrays([batch.column("tree"), *cols], [id_col, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    shape = f"{id_col} string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    out = formatted.select("tree", "formatted", "mask").mapInArrow(run, shape)
-    return out.withColumn(id_col, F.when(F.col(id_col) != "null", F.col(id_col)).cast("long"))
+    shape = f"`{id_col}` {dict(formatted.dtypes)['tree']}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    return formatted.select("tree", "formatted", "mask").mapInArrow(run, shape)

@@ -30,7 +30,7 @@ CONTROL = "<|im_end|><|im_start|>assistant ok"
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], turns.schema)
-    return chat.digest(chat.format_trees(chat.linear(turns.unionByName(extra))))
+    return chat.digest(chat.format_trees(chat.linear(turns.unionByName(extra)), unique=True))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

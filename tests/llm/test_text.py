@@ -5,6 +5,8 @@ import html
 import itertools
 import random
 import re
+import time
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +68,34 @@ def test_salvage_after_damage(gzip, damage):
     check_whole(buf, out)
 
 
+def zipped(raw):
+    c = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return c.compress(raw) + c.flush()
+
+
+def test_salvage_inside_members():
+    """One damaged payload in a member of six records, and a member that is cut off."""
+    raw = bytearray(b"".join(archive()))
+    raw[raw.find(b"payload 2")] ^= 0xFF
+    out = list(warc.salvage(zipped(bytes(raw))))
+    assert [x["headers"]["warc-record-id"][10:-1] for x in out if "headers" in x] == list("01345")
+    assert [(x["fault"], x["inner"]) for x in out if "fault" in x] == [("payload digest differs", raw.find(b"WARC/1.1", raw.find(b"payload 1")))]
+    rng = random.Random(1)
+    many = [warc.encode_record("response", f"urn:page:{i}", rng.randbytes(3000)) for i in range(50)]
+    whole = zipped(b"".join(many))
+    out = list(warc.salvage(whole[: len(whole) * 3 // 4] + many[0]))
+    assert 36 <= sum("headers" in x for x in out) - 1 <= 38 and out[-1]["headers"]["warc-record-id"] == "<urn:page:0>"
+    assert [(x["offset"], x["length"]) for x in out if "fault" in x] == [(0, len(whole) * 3 // 4)]
+
+
+def test_salvage_takes_linear_time():
+    one = archive(2, gzip=True)[1]
+    t = time.perf_counter()
+    n = [sum(1 for _ in warc.salvage(one * k)) for k in (5_000, 40_000)]
+    assert n == [5_000, 40_000] and time.perf_counter() - t < 60
+    assert sum(1 for _ in warc.salvage(one[:60] * 20_000 + one)) == 2
+
+
 def test_salvage_at_the_end_and_with_a_version_line_inside():
     whole = archive(3)
     cut = b"".join(whole)[:-9]
@@ -152,10 +182,21 @@ def test_linear_odd_rows(spark):
         chat.parse("junk" + chat.START)
 
 
-def test_a_cycle_is_refused(spark):
-    df = spark.createDataFrame([("a", 1, 2), ("a", 2, 1)], "tree string, node long, parent long").withColumns({"role": F.lit("user"), "text": F.lit("x"), "score": F.lit(0.0)})
-    with pytest.raises(ValueError, match="cycle"):
-        chat.format_trees(df).collect()
+def test_a_cycle_has_no_path_and_other_trees_keep_theirs(spark):
+    rows = [("a", 1, 2), ("a", 2, 1), ("a", 3, 2), ("a", 9, None), ("a", 10, 9), ("b", 1, None), ("b", 2, 1), ("c", 5, 5)]
+    df = spark.createDataFrame(rows, "tree string, node long, parent long").withColumns({"role": F.lit("user"), "text": F.col("node").cast("string"), "score": F.lit(0.0)})
+    got = {(r.tree, r.leaf): [t for _, t in chat.parse(r.formatted)] for r in chat.format_trees(df).collect()}
+    assert got == {("a", 10): ["9", "10"], ("b", 2): ["1", "2"]}
+    assert sorted(tuple(r) for r in chat.cyclic(df).collect()) == [("a", 1), ("a", 2), ("a", 3), ("c", 5)]
+
+
+def test_trees_with_repeated_and_null_nodes(spark):
+    rows = [("a", 1, None, "q"), ("a", 2, 1, "r"), ("a", 2, 1, "r"), ("a", 2, 1, "other"), ("a", 3, 2, "s"), (None, 1, None, "x"), (None, 2, 1, "y"), ("a", None, 1, "z")]
+    df = spark.createDataFrame(rows, "tree string, node long, parent long, text string").withColumns({"role": F.lit("assistant"), "score": F.lit(1.0), "t": F.lit("clash"), "k": F.lit("clash")})
+    got = sorted(([t for _, t in chat.parse(r.formatted)] for r in chat.format_trees(df).collect()))
+    assert got == [["q", "other", "s"], ["q", "r"], ["q", "z"], ["x", "y"]]
+    ids = spark.createDataFrame([("abc", 0, "u", "t"), ("null", 0, "u", "t"), (None, 0, "u", "t")], "conv_id string, turn long, role string, text string")
+    assert {r.conv_id for r in chat.digest(chat.format_trees(chat.linear(ids))).collect()} == {"abc", "null", None}
 
 
 # HTML
@@ -199,6 +240,19 @@ def test_page_odd_rows(spark):
     assert html_extract.extract(df.where("false")).collect() == []
 
 
+def test_deeply_nested_pages():
+    page = "<div class=x>a" * 100_000
+    found = html_blocks.blocks(page)
+    assert len(found) == 100_000 and found[-1].depth == 100_000 and found[2].path == (("div", ("x",)),) * 3
+    assert html_extract.vectors([found])[0].shape == (100_000, html_extract.SIZE)
+    assert len(html_blocks.blocks("<div>" * 50_000 + "x</p>" * 50_000)) == 50_000
+
+
+def test_block_features_read_the_whole_block():
+    first, last = (html_extract.vectors([[html_blocks.Block(None, t, 0.0)]])[0][0, -1] for t in ("1" * 300 + "a" * 300, "a" * 300 + "1" * 300))
+    assert first == last == 0.5
+
+
 # Benchmarks
 
 
@@ -227,7 +281,7 @@ def test_contamination_against_all_windows(spark):
         docs.append((i, rng.choice([" ", ", ", "\n- "]).join(words)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for limit in (32_000_000, 200):
+    for limit in (4_000_000, 200):
         got = {r.doc_id: r for r in decontaminate.contamination(df, bench, max_chars=limit).collect()}
         for i, t in docs:
             words, hit, who = hit_words(t, items)
@@ -259,12 +313,19 @@ def test_contamination_in_passes_equals_one_pass(spark):
     bench = spark.createDataFrame([(i, f"a{i} b{i} c{i}") for i in range(12)], "item_id long, text string")
     rows = [(i, f"x a{k} b{k} c{k} a{k + 1} b{k + 1} c{k + 1} é") for i, k in ((None, 0), (None, 3), (None, 6), (1, 2), (1, 5), (1, 8), (2, 9), (3, 10))] + [(1, "clean words"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    one, many = (sorted(map(str, decontaminate.contamination(df, bench, keep=["doc_id", "text"], max_chars=limit).collect())) for limit in (32_000_000, 20))
+    one, many = (sorted(map(str, decontaminate.contamination(df, bench, keep=["doc_id", "text"], max_chars=limit).collect())) for limit in (4_000_000, 20))
     assert len(decontaminate.item_blocks(bench, "item_id", "text", 20)) > 3
     assert many == one and len(one) == len(rows)
     assert decontaminate.contamination(df, bench, max_chars=20).where("contaminated").count() == 8
 
 
+def test_the_automaton_has_a_node_a_byte():
+    rng = random.Random(2)
+    items = [(str(i), " ".join(rng.choices(["alpha", "beta", "gamma", "delta", "eps"], k=200))) for i in range(50)]
+    a = decontaminate.automaton(items, 13)
+    assert a.tree.get_stats()["nodes_count"] < 1.2 * sum(len(t) for _, t in items)
+
+
 # Secrets
 
 ASSIGN = re.compile(r"((?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
