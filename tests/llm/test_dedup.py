@@ -187,13 +187,36 @@ def test_vector_odd_rows(spark):
     assert embedding_dedup.near_duplicates(df.where("false")).collect() == []
 
 
-def test_index_size_follows_the_input():
-    bits = [embedding_dedup.wanted(n, 0.95, 0.002)[0] for n in (10**3, 10**5, 10**7, 10**9)]
-    assert bits == sorted(bits) and bits[-1] - bits[0] >= 18
-    x = np.random.default_rng(0).normal(size=(500, 16))
-    q = embedding_dedup.learn(x / np.linalg.norm(x, axis=1, keepdims=True), 8, 6)
-    on = ((x / np.linalg.norm(x, axis=1, keepdims=True) - q.mean) @ q.planes > q.cut).mean(0)
-    assert on == pytest.approx(np.full(48, 0.5), abs=0.01)
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_codes_are_balanced_and_the_index_follows_the_input():
+    rng = np.random.default_rng(0)
+    x = unit(rng.normal(size=(3000, 32)) + 0.3)
+    q = embedding_dedup.learn(x, 10**7, 0.95, 0.002)
+    assert q.bits(x).mean(0) == pytest.approx(np.full(embedding_dedup.CODE, 0.5), abs=0.01)
+    size = [np.unpackbits(embedding_dedup.learn(x, n, 0.95, 0.002).masks[:1].view(np.uint8)).sum() for n in (10**2, 10**5, 10**7, 10**9)]
+    assert size == sorted(size) and size[0] == 0 and size[-1] >= 15
+    # Planted pairs that the model has not seen meet in some table and pass the radius.
+    fresh = unit(rng.normal(size=(2000, 32)) + 0.3)
+    a, b = q.codes(fresh), q.codes(embedding_dedup.planted(fresh, 0.95, seed=9))
+    meet = (q.keys(a) == q.keys(b)).any(1) & (np.bitwise_count(a ^ b).sum(1) <= q.radius)
+    assert meet.mean() > 0.99
+
+
+def test_a_large_index_finds_what_one_bucket_finds(spark, monkeypatch):
+    """Tables and blocks forced on a small input, against all pairs."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 32)
+    monkeypatch.setattr(embedding_dedup, "_DEAL", 1.0)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 32))
+    x = np.concatenate([x, x[:200] + 0.1 * rng.normal(size=(200, 32)), x[:1] + 0.08 * rng.normal(size=(120, 32))])
+    rows = [(i, [float(np.float32(v)) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    want = {i: n for i, (n, _) in brute_vectors(rows).items()}
+    assert all(got[i] <= want[i] for i in want) and sum(got.values()) >= 0.99 * sum(want.values()) > 100
 
 
 def test_vectors_of_a_skewed_table(spark):
