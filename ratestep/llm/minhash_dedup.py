@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratestep.llm.graph import components
+from ratestep.llm.graph import components, dealt, hot, repeated
 from ratestep.llm.textbytes import LOWER, U64, chunks, columns, mix64, slices, span_hashes, word_spans
 from ratestep.runtime import Scratch, bounded_batches
 
@@ -101,12 +101,12 @@ class OneHash:
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int, bins: int) -> DataFrame:
-    """One row a document: id, n, the 128-bit sum of its set, band keys and an 8-bit sketch of each bin."""
+    """One row a document: id, the hash of its text, n, the 128-bit sum of its set, band keys and an 8-bit sketch of each bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = OneHash(bands, rows, bins)
         for batch in batches:
-            data, off, _ = columns(batch, text_col)
+            data, off, _ = columns(batch, "text")
             n, f1, f2, keys, sketch = [], [], [], [], []
             for s in shingle_sets(data, off, width):
                 n.append(len(s))
@@ -121,11 +121,12 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, ro
                     keys.append(None)
                     sketch.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                ["id", "n", "f1", "f2", "keys", "sketch"],
+                [batch.column("id"), batch.column("h"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                ["id", "h", "n", "f1", "f2", "keys", "sketch"],
             )
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, "id long, n long, f1 long, f2 long, keys array<long>, sketch binary")
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    return own.mapInArrow(run, "id long, h long, n long, f1 long, f2 long, keys array<long>, sketch binary")
 
 
 def _least(threshold: float, bins: int, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -134,16 +135,34 @@ def _least(threshold: float, bins: int, na: np.ndarray, nb: np.ndarray) -> np.nd
     return threshold - 5 * np.sqrt(threshold * (1 - threshold) / eff)
 
 
+def _by_hub(pairs: DataFrame, values: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (b, salt, a, na, nb, v) of ``pairs(a, b, ...)`` with the value ``v`` of a; before those of a hub b, a row with a null ``a`` and the hub's value.
+
+    A hub's value is sent once for each share of its pairs, not with every pair, and the pairs of a hub with very many are dealt out.
+    """
+    parts = hot(pairs, "b", scratch)
+    left = dealt(pairs, "b", "a", parts).join(values.select(F.col("id").alias("a"), "v"), "a").select("b", "salt", "a", "na", "nb", "v")
+    hubs = repeated(pairs.groupBy("b").agg(F.max("nb").alias("nb")).join(values.select(F.col("id").alias("b"), "v"), "b"), "b", parts)
+    none = F.lit(None).cast("long")
+    return left.unionByName(hubs.select("b", "salt", none.alias("a"), none.alias("na"), "nb", "v")).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
+
+
 def _alike(threshold: float, bins: int):
-    """Rows whose sketches could belong to a pair over the threshold."""
+    """Pairs whose sketches could belong to a pair over the threshold, from the rows of ``_by_hub``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.zeros((1, bins), dtype=np.uint8)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, bins) for c in ("sa", "sb"))
-            least = _least(threshold, bins, batch.column("na").to_numpy(), batch.column("nb").to_numpy())
-            yield batch.filter(pa.array((x == y).mean(1) >= least)).select(["a", "b"])
+            x = np.frombuffer(b"".join(batch.column("v").to_pylist()), dtype=np.uint8).reshape(-1, bins)
+            hub = np.asarray(batch.column("a").is_null())
+            every = np.concatenate([last, x[hub]])
+            at = np.cumsum(hub)
+            least = _least(threshold, bins, batch.column("na").fill_null(1).to_numpy(), batch.column("nb").to_numpy())
+            ok = ~hub & ((x == every[at]).mean(1) >= least)
+            last = every[-1:]
+            yield batch.filter(pa.array(ok)).select(["a", "b", "na", "nb"])
 
     return run
 
@@ -252,30 +271,36 @@ def _joining(width: int, percent: int):
 
 
 def _verified(width: int, percent: int):
-    """Compares the full sets of both texts; the right one repeats in consecutive rows and is kept."""
+    """Compares the full sets of both texts of a pair, from the rows of ``_by_hub``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor().decompress
-
-        def set_of(z: pa.Scalar) -> np.ndarray:
-            raw = np.frombuffer(open_(z.as_py()), dtype=np.uint8)
-            return shingle_sets(raw, np.array([0, len(raw)]), width)[0]
-
-        last_id, last = None, np.zeros(0, dtype=U64)
+        hub = np.zeros(0, dtype=U64)
         for batch in batches:
             keep = []
-            for k, hub in enumerate(batch.column("b").to_pylist()):
-                if hub != last_id:
-                    last_id, last = hub, set_of(batch.column("zb")[k])
-                s = set_of(batch.column("za")[k])
-                both = len(np.intersect1d(s, last, assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(last) - both) and both > 0)
+            for a, z in zip(batch.column("a"), batch.column("v"), strict=True):
+                raw = np.frombuffer(open_(z.as_py()), dtype=np.uint8)
+                s = shingle_sets(raw, np.array([0, len(raw)]), width)[0]
+                if not a.is_valid:
+                    hub = s
+                    keep.append(False)
+                    continue
+                both = len(np.intersect1d(s, hub, assume_unique=True))
+                keep.append(100 * both >= percent * (len(s) + len(hub) - both) and both > 0)
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return run
 
 
-def _packed_texts(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFrame:
+def _with_keys(rows: DataFrame, again: DataFrame | None) -> DataFrame:
+    """Adds ``key``: the id, or for ids in ``again``, which have several rows, a hash of id and text."""
+    if again is None:
+        return rows.withColumn("key", F.col("id"))
+    own = F.when(F.col("there"), F.xxhash64("id", "h")).otherwise(F.col("id"))
+    return rows.join(again.select("id", F.lit(True).alias("there")), "id", "left").withColumn("key", own).drop("there")
+
+
+def _packed_texts(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, again: DataFrame | None) -> DataFrame:
     """(id, z): compressed texts of the documents that a Bloom filter of ``ids`` lets through: all of ``ids``, and few others.
 
     The filter has FILTER_BITS bits at most, whatever the input; when it fills up, more texts pass and are dropped by the join.
@@ -301,8 +326,10 @@ def _packed_texts(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame) -
                 kept = batch.filter(pa.array(ok))
                 yield pa.RecordBatch.from_arrays([kept.column("id"), pa.array([press(x.encode()) for x in kept.column("text").to_pylist()], pa.binary())], ["id", "z"])
 
-    mine = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return mine.withColumns({f"p{k}": F.pmod(F.xxhash64("id", F.lit(k)), F.lit(bits)) for k in (1, 2)}).mapInArrow(run, "id long, z binary")
+    mine = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    mine = _with_keys(mine, again).select(F.col("key").alias("id"), "text")
+    out = mine.withColumns({f"p{k}": F.pmod(F.xxhash64("id", F.lit(k)), F.lit(bits)) for k in (1, 2)}).mapInArrow(run, "id long, z binary")
+    return out if again is None else out.dropDuplicates(["id"])
 
 
 def near_duplicates(
@@ -316,12 +343,13 @@ def near_duplicates(
     rows: int = 4,
     bins: int = 256,
 ) -> DataFrame:
-    """(id, n_shingles, component_id, kept), a row for every row of ``docs``.
+    """(id, n_shingles, component_id, kept, text_hash, stands), a row for every row of ``docs``.
 
     Links documents with 100 * intersection >= ``percent`` * union of their word shingles. Null and empty
     texts, and texts of white space only, have empty sets and link with nothing: component_id is their own id. Rows that
-    repeat an id each get a row with that id's component; if their texts differ, the component is that of the row's own text. A null id
-    gets a null component_id and is kept. Other columns of ``docs``, of whatever names, are not read. An empty table
+    repeat an id each get a row with that id's component; if their texts differ, each has the component of its own text, named by the smallest id in it. A null id
+    gets a null component_id and is kept. ``stands`` marks the rows of one text for each component (all rows without words or id): those that repeat
+    an id and a text, and no others, stand together. Other columns of ``docs``, of whatever names, are not read. An empty table
     gives an empty result.
     """
     spark = docs.sparkSession
@@ -329,22 +357,27 @@ def near_duplicates(
     scratch = Scratch(spark, "minhash")
     docs = docs.withColumn(id_col, F.col(id_col).cast("long"))
     signed = scratch.cut(sign(docs, id_col, text_col, width, bands, rows, bins), "signed")
+    again = scratch.cut(signed.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("id"), "again")
+    again = None if again.isEmpty() else again
+    signed = _with_keys(signed, again)
     known = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
-    reps = known.groupBy("f1", "f2", "n").agg(F.min_by(F.struct("id", "keys", "sketch"), "id").alias("r"))
+    reps = known.groupBy("f1", "f2", "n").agg(F.min_by(F.struct(F.col("key").alias("id"), F.col("id").alias("doc"), "keys", "sketch"), F.struct("id", "h")).alias("r"))
     reps = scratch.cut(reps.select("f1", "f2", "n", "r.*"), "reps")
-    dealt = reps.select("id", "n", F.explode("keys").alias("key"))
-    hubs = dealt.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("hi")).where("hub.id < hi")
-    shared = scratch.cut(dealt.join(hubs.select("key", F.col("hub.id").alias("b"), F.col("hub.n").alias("nb")), "key"), "buckets")
+    keyed = reps.select("id", "n", F.explode("keys").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("hi")).where("hub.id < hi")
+    shared = scratch.cut(keyed.join(hubs.select("key", F.col("hub.id").alias("b"), F.col("hub.n").alias("nb")), "key"), "buckets")
     sketches = reps.select("id", "n", "sketch")
-    own = scratch.cut(_packed_texts(docs, id_col, text_col, shared.select("id").distinct()), "texts")
+    wanted = shared.select("id").distinct()
+    own = scratch.cut(_packed_texts(docs, id_col, text_col, wanted, again), "texts")
 
     star = (
         shared.where(F.col("id") != F.col("b")).where(100 * F.least("n", "nb") >= percent * F.greatest("n", "nb"))
         .select(F.col("id").alias("a"), "b", F.col("n").alias("na"), "nb").distinct()
     )
-    sketched = star.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-    likely = sketched.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_alike(percent / 100, bins), "a long, b long")
-    links = _confirmed(likely, own, scratch, width, percent)
+    rows_of = lambda pairs, values: _by_hub(pairs, values, scratch)
+    sketched = rows_of(scratch.cut(star, "star"), sketches.select("id", F.col("sketch").alias("v")))
+    likely = scratch.cut(sketched.mapInArrow(_alike(percent / 100, bins), "a long, b long, na long, nb long"), "likely")
+    links = scratch.cut(rows_of(likely, own.select("id", F.col("z").alias("v"))).mapInArrow(_verified(width, percent), "a long, b long"), "links")
     parts = components(scratch, links)
 
     placed = shared.select("key", "id", "n").join(parts.withColumnRenamed("component", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
@@ -355,20 +388,22 @@ def near_duplicates(
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "n", "part", (F.col("own") > F.col("other")).alias("side"), "sketch")
     )
-    dealt_out = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    open_ = dealt_out(blocks).mapInArrow(_unsettled(percent / 100, bins), "key long, i int, j int, id long, part long, side boolean")
-    more = dealt_out(scratch.cut(open_, "open").join(own, "id")).mapInArrow(_joining(width, percent), "a long, b long")
+    spread = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    open_ = spread(blocks).mapInArrow(_unsettled(percent / 100, bins), "key long, i int, j int, id long, part long, side boolean")
+    more = spread(scratch.cut(open_, "open").join(own, "id")).mapInArrow(_joining(width, percent), "a long, b long")
     links = links.unionByName(scratch.cut(more, "more"))
     parts = components(scratch, links)
 
-    classes = reps.select("f1", "f2", "id").join(parts, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("component"))
-    out = signed.select("id", "n", "f1", "f2").join(classes, ["f1", "f2"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
+    classes = reps.select("f1", "f2", "n", "id", "doc").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    if again is None:
+        classes = classes.withColumns({"name": F.col("component"), "first": F.col("component")})
+    else:
+        # Named by the smallest id of its documents: a key of a text that shares its id is not one.
+        least = classes.groupBy("component").agg(F.min(F.struct("doc", "id")).alias("s")).where((F.col("s.doc") != F.col("component")) | (F.col("s.id") != F.col("component")))
+        classes = classes.join(scratch.cut(least, "names"), "component", "left").withColumns({"name": F.coalesce("s.doc", "component"), "first": F.coalesce("s.id", "component")})
+    out = signed.select("id", "h", "n", "f1", "f2", "key").join(classes.select("f1", "f2", "n", "name", F.col("first"), F.col("id").alias("class")), ["f1", "f2", "n"], "left")
+    name = F.when(F.col("n") > 0, F.coalesce("name", "id")).otherwise(F.col("id"))
+    stands = F.col("id").isNull() | (F.col("n") == 0) | ((F.col("class") == F.col("first")) & (F.col("key") == F.col("class")))
     return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id")
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), name).alias("component_id"), F.col("h").alias("text_hash"), stands.alias("stands")
     ).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
-
-
-def _confirmed(pairs: DataFrame, own: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
-    full = pairs.join(own.select(F.col("id").alias("a"), F.col("z").alias("za")), "a").join(own.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b")
-    return scratch.cut(full.select("a", "b", "za", "zb").mapInArrow(_verified(width, percent), "a long, b long"), "links")

@@ -67,7 +67,7 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash", "stands")
 
 
 QUERIES: dict[str, Query] = {

@@ -94,6 +94,26 @@ def test_minhash_odd_rows(spark):
     assert minhash_dedup.near_duplicates(df.where("false")).collect() == []
 
 
+def test_texts_that_share_an_id(spark):
+    """Two texts under id 1, each near a text of another id, and ids that only occur with copies."""
+    words = lambda k, n=40: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(1, words("a")), (1, words("b")), (2, words("a") + " z"), (3, words("b") + " z"), (4, words("c")), (4, words("c")), (5, words("d")), (5, words("D")), (0, words("e")), (0, words("b") + " y"), (6, None), (6, "")]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = sorted((r.doc_id, r.n_shingles, r.component_id) for r in got)
+    assert by == sorted([(1, 36, 1), (2, 37, 1), (1, 36, 0), (3, 37, 0), (0, 37, 0), (0, 36, 0), (4, 36, 4), (4, 36, 4), (5, 36, 5), (5, 36, 5), (6, 0, 6), (6, 0, 6)])
+    stands = [(r.doc_id, r.n_shingles, r.text_hash) for r in got if r.stands]
+    assert len(set(stands)) == 7 and sorted(x[0] for x in set(stands)) == [0, 0, 1, 4, 5, 6, 6]
+
+
+def test_hubs_are_dealt_out(spark, monkeypatch):
+    """Shares of eight rows, so that stars and components are split."""
+    monkeypatch.setattr(graph, "SHARE", 8)
+    test_components(spark)
+    rng = random.Random(9)
+    docs = list(enumerate(family(rng, 300, 3, 60) + family(rng, 80, 1, 40)))
+    assert result(minhash_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+
+
 def test_signatures_agree_as_often_as_sets_do():
     h = minhash_dedup.OneHash(32, 4, 256)
     rng = np.random.default_rng(0)
