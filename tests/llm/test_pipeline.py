@@ -78,3 +78,24 @@ def test_mixing_stage(stages):
 def test_run(spark, sf):
     out = p.run(spark, sf)
     assert out.count() > 0 and "mix_order" in out.columns and p.ORACLE_SQL is None
+
+
+def test_columns_of_clashing_names_and_empty_tables(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    names = ("lang_pred", "score", "ambiguous", "text_hash", "row_order", "stands", "component_id", "n_words", "items", "contaminated", "found", "base", "row")
+    wide = Scratch(spark, "t").cut(docs.withColumns({c: F.concat(F.lit(f"{c} "), F.col("doc_id")) for c in names}))
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, wide, sf)
+        assert out.columns == wide.columns
+        for r in out.collect():
+            assert all(r[c] == f"{c} {r.doc_id}" for c in names), name
+        assert stage(spark, wide.where("false"), sf).collect() == []
+    assert p.STAGES[-1][1](spark, wide.where("false"), sf).collect() == []
+
+
+def test_texts_under_one_id_are_documents_of_their_own(spark, sf):
+    words = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(1, words("a"), "x"), (1, words("b"), "y"), (1, words("b"), "x"), (2, words("a") + " z", "x"), (None, words("a"), "x"), (3, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, note string")
+    got = p.distinct_documents(spark, df, sf).collect()
+    assert sorted(map(str, got)) == sorted(map(str, [df.collect()[k] for k in (0, 2, 4, 5)]))
