@@ -22,28 +22,48 @@ TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 KINDS = ("assign", "access", "hex", "markov")
 _K = len(ALPHABET) + 1
+#: Items of a block of a running fold, and characters of a chunk of text.
+_BLOCK, _CHUNK = 64, 4096
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
-def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
-    """Spans of the matches of ``pattern``; with ``group``, only those whose group has ``least`` characters."""
-    between = F.split(text, pattern, -1)
-    found = F.arrays_zip(
-        F.transform(between, F.char_length).alias("gap"),
-        F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.char_length).alias("len"),
-        *([F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.char_length).alias("part")] if group else []),
-    )
+def _running(items: Column, zero: Column, join, value, out) -> Column:
+    """``out(x, state)`` for each item, the state being ``join`` of the values of all items before it.
+
+    Folds that append copy what they have, so they run over blocks of ``_BLOCK`` items and over one state a block: time grows in proportion to the
+    items, up to many thousands of blocks.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(_BLOCK)), lambda k: F.slice(items, k + 1, F.lit(_BLOCK)))
+    totals = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda acc, x: join(acc, value(x))))
+    none = F.slice(F.array(zero), 1, 0)
+    starts = F.aggregate(totals, F.struct(zero.alias("at"), none.alias("all")), lambda acc, t: F.struct(join(acc["at"], t).alias("at"), F.array_append(acc["all"], acc["at"]).alias("all")), lambda acc: acc["all"])
+
+    def within(b: Column, s: Column) -> Column:
+        empty = F.transform(F.slice(b, 1, 0), lambda x: out(x, s))
+        step = lambda acc, x: F.struct(join(acc["at"], value(x)).alias("at"), F.array_append(acc["all"], out(x, acc["at"])).alias("all"))
+        return F.aggregate(b, F.struct(s.alias("at"), empty.alias("all")), step, lambda acc: acc["all"])
+
+    return F.flatten(F.zip_with(blocks, starts, within))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.coalesce(x["len"], F.lit(0))
-        ok = x["len"].isNotNull() & (x["part"] >= least if group else F.lit(True))
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(ok, F.array_append(acc["all"], span)).otherwise(acc["all"]).alias("all"))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("all"))
-    scanned = F.aggregate(found, start, step, lambda acc: acc["all"])
-    return F.when(text.rlike(pattern), scanned).otherwise(F.array().cast(SPAN))
+def _spans(df: DataFrame, into: str, text: str, pattern: str, kind: int, group: int = 0, least: int = 0) -> DataFrame:
+    """Adds ``into``: spans of the matches of ``pattern``; with ``group``, only those whose group has ``least`` characters."""
+    t = F.col(text)
+    length = lambda xs: F.transform(xs, F.char_length)
+    parts = [length(F.split(t, pattern, -1)).alias("gap"), length(F.regexp_extract_all(t, F.lit(pattern), F.lit(0))).alias("len")]
+    if group:
+        parts.append(length(F.regexp_extract_all(t, F.lit(pattern), F.lit(group))).alias("part"))
+    # A column of its own: it is read in several places, and patterns should run once.
+    df = df.withColumn(into, F.when(t.rlike(pattern), F.arrays_zip(*parts)))
+
+    def span(x: Column, at: Column) -> Column:
+        start = at + x["gap"]
+        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + F.coalesce(x["len"], F.lit(0))).alias("end"), (x["part"] if group else F.lit(least)).alias("part"), x["len"].isNotNull().alias("ok"))
+
+    placed = _running(F.col(into), F.lit(0).cast("long"), lambda p, q: p + q, lambda x: (x["gap"] + F.coalesce(x["len"], F.lit(0))).cast("long"), span)
+    kept = F.filter(placed, lambda s: s["ok"] & (s["part"] >= least))
+    plain = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    return df.withColumn(into, F.when(F.col(into).isNotNull(), plain).otherwise(F.array()).cast(SPAN))
 
 
 def _codes(token: Column) -> Column:
@@ -88,19 +108,22 @@ def find_secrets(docs: DataFrame, table: list[float], *, id_col: str = "doc_id",
     A column called found is replaced.
 
     Kinds 0 to 2 are the base patterns, 3 the tokens whose ratio is ``least_llr`` or more and that
-    overlap no base span. A null text is empty and has no spans; rows that repeat are scanned alike.
+    no base span covers whole. A null text is empty and has no spans; rows that repeat are scanned alike.
     """
     # What is kept travels in one struct, so that its names cannot clash with those used here.
     kept = [c for c in (keep or [id_col]) if c != "found"]
-    base = docs.select(F.struct(*kept).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumns({
-        "base": F.concat(_spans(F.col("t"), ASSIGN, 0, 2, 12), _spans(F.col("t"), ACCESS, 1), _spans(F.col("t"), HEX, 2)),
-        "tok": _spans(F.col("t"), TOKEN, 3),
-    })
-    ratios = F.arrays_zip(F.col("tok").alias("s"), llr(F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0)), table).alias("r"))
-    scored = base.withColumn("scored", F.when(F.size("tok") > 0, ratios))
-    overlaps = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    added = F.transform(F.filter("scored", lambda x: (x["r"] >= least_llr) & ~overlaps(x["s"])), lambda x: x["s"])
-    return scored.withColumn("found", F.array_sort(F.concat("base", F.coalesce(added, F.array().cast(SPAN))))).select("row.*", "found")
+    df = docs.select(F.struct(*kept).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    for into, pattern, kind, group, least in (("s0", ASSIGN, 0, 2, 12), ("s1", ACCESS, 1, 0, 0), ("s2", HEX, 2, 0, 0), ("s3", TOKEN, 3, 0, 0)):
+        df = _spans(df, into, "t", pattern, kind, group, least)
+    ratios = F.arrays_zip(F.col("s3").alias("s"), llr(F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0)), table).alias("r"))
+    df = df.withColumn("likely", F.when(F.size("s3") > 0, F.transform(F.filter(ratios, lambda x: x["r"] >= least_llr), lambda x: x["s"])))
+    df = df.withColumn("base", F.array_sort(F.concat("s0", "s1", "s2")))
+    # In order of starts, base spans before tokens: a base span covers a token if the furthest end so far is not before the token's.
+    df = df.withColumn("every", F.when(F.size("likely") > 0, F.array_sort(F.concat("base", "likely"))))
+    reach = lambda x: F.when(x["kind"] < 3, x["end"]).otherwise(F.lit(-1).cast("long"))
+    seen = _running(F.col("every"), F.lit(-1).cast("long"), F.greatest, reach, lambda x, at: F.struct(x.alias("s"), ((x["kind"] < 3) | (x["end"] > at)).alias("ok")))
+    found = F.transform(F.filter(seen, lambda x: x["ok"]), lambda x: x["s"])
+    return df.withColumn("found", F.when(F.col("every").isNotNull(), found).otherwise(F.col("base"))).select("row.*", "found")
 
 
 def _named(spans: Column) -> Column:
@@ -123,15 +146,23 @@ def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span, and every run of overlapping spans, replaced by ``mark``."""
+    """The text with every span, and every run of overlapping spans, replaced by ``mark``.
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.lit(mark))
-        out = F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.char_length(text))))
+    The text is cut into chunks first: a piece between two spans is taken from its own chunks, not counted out from the start of the text.
+    """
+    zero = F.lit(0).cast("long")
+    runs = _running(found, zero, F.greatest, lambda s: s["end"], lambda s, at: F.struct(at.alias("a"), s["start"].alias("b"), (s["start"] >= at).alias("ok")))
+    last = F.struct(F.aggregate(found, zero, lambda acc, s: F.greatest(acc, s["end"])).alias("a"), F.char_length(text).cast("long").alias("b"), F.lit(True).alias("ok"))
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+
+    def piece(p: Column, own: Column) -> Column:
+        first = F.floor(p["a"] / _CHUNK).cast("int")
+        n = F.ceil(p["b"] / _CHUNK).cast("int") - first
+        return F.when(p["b"] > p["a"], F.substring(F.array_join(F.slice(own, first + 1, n), ""), (p["a"] % _CHUNK).cast("int") + 1, (p["b"] - p["a"]).cast("int"))).otherwise(F.lit(""))
+
+    pieces = F.concat(F.filter(runs, lambda p: p["ok"]), F.array(last))
+    # Chunks in an array of one: a lambda's argument is evaluated once for all pieces.
+    done = F.element_at(F.transform(F.array(chunks), lambda own: F.array_join(F.transform(pieces, lambda p: piece(p, own)), mark)), 1)
     return F.when(F.size(found) > 0, done).otherwise(text)
 
 

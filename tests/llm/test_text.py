@@ -362,6 +362,47 @@ def test_base_spans(spark, sf, ratios):
         assert [int(s[1]) for s in spans] == sorted(int(s[1]) for s in spans)
 
 
+def all_spans(text, table, least=7.0):
+    """Base spans, and long tokens by the ratios of their character pairs, in plain Python."""
+    base, code = base_spans(text), {c: i + 1 for i, c in enumerate(secrets.ALPHABET)}
+    out = list(base)
+    for m in re.finditer(secrets.TOKEN, text):
+        ratio = sum(table[code[a] * 67 + code[b]] for a, b in itertools.pairwise(m[0]))
+        assert abs(ratio - least) > 1e-9
+        if ratio >= least and not any(a <= m.start() and m.end() <= b for a, _, b, _ in base):
+            out.append((m.start(), 3, m.end(), "markov"))
+    return sorted(out)
+
+
+def test_all_spans_against_a_plain_scorer(spark, sf, ratios):
+    rng = random.Random(5)
+    odd = ["4f3c2b1a09f8e7d6c5b4-QxZr8LmNp0TvWyBd x", "token=" + "".join(rng.choices(secrets.ALPHABET[:62], k=30)) + "/" + "é" + "".join(rng.choices(secrets.ALPHABET, k=40))]
+    odd += [" ".join("".join(rng.choices(secrets.ALPHABET, k=rng.randrange(15, 60))) for _ in range(300))]
+    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(PLANTED + odd, 10_000)), "doc_id long, text string"))
+    found = secrets.find_secrets(df, ratios, keep=["doc_id", "text"])
+    rows = {r.doc_id: r for r in secrets.report(found).collect()}
+    hidden = {r.doc_id: r for r in found.select("doc_id", "text", secrets.redacted(F.col("text"), F.col("found")).alias("out")).collect()}
+    for i, r in rows.items():
+        text = hidden[i].text or ""
+        want = all_spans(text, ratios)
+        assert r.spans == ",".join(f"{n}:{a}:{b}" for a, _, b, n in want)
+        out, at = "", 0
+        for a, _, b, _ in want:
+            if a >= at:
+                out += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert (hidden[i].out or "") == out + text[at:]
+    assert rows[10_000 + len(PLANTED)].spans == "hex:0:20,markov:0:37"
+
+
+def test_many_spans_in_one_text(spark, ratios):
+    text = "é 0123456789abcdef " * 100_000
+    t = time.perf_counter()
+    found = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), ratios, keep=["doc_id", "text"])
+    r = found.select(F.size("found").alias("n"), F.col("found")[99_999]["start"].alias("s"), secrets.redacted(F.col("text"), F.col("found")).alias("out")).first()
+    assert (r.n, r.s, r.out) == (100_000, 19 * 99_999 + 2, "é [SECRET] " * 100_000) and time.perf_counter() - t < 120
+
+
 def test_markov_part_tells_random_strings_from_identifiers(spark, ratios):
     rng = random.Random(3)
     symbols = secrets.ALPHABET
