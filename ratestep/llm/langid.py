@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratestep.llm.textbytes import CHUNK, chunks, columns
-from ratestep.runtime import bounded_batches, ensure_importable
+from ratestep.runtime import Scratch, bounded_batches, ensure_importable
 
 BUCKETS = 1 << 13
 UNKNOWN = "und"
@@ -136,12 +136,12 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 120, de
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, max_bytes: int) -> DataFrame:
     """About ``per_language`` rows of each language, by a hash of the id.
 
-    The counts of languages stay a table: Spark broadcasts it if it is small, whatever labels there are.
+    The counts of languages stay a table, written so that Spark knows its size: it is broadcast if it is small, whatever labels there are.
     """
     known = docs.where(F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0) & (F.octet_length(text_col) <= max_bytes))
     own = known.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
     share = F.least(F.lit(1.0), per_language / F.col("n"))
-    limit = own.groupBy("l").agg(F.count(F.lit(1)).alias("n")).select("l", (share * (1 << 30)).cast("long").alias("limit"))
+    limit = Scratch(docs.sparkSession, "languages").cut(own.groupBy("l").agg(F.count(F.lit(1)).alias("n")).select("l", (share * (1 << 30)).cast("long").alias("limit")), "limit")
     return own.join(limit, "l").where(F.pmod("h", F.lit(1 << 30)) < F.col("limit")).select(F.col("t").alias(text_col), F.col("l").alias(lang_col))
 
 
