@@ -60,42 +60,73 @@ def summed_area(y: np.ndarray) -> np.ndarray:
 
 
 def guillotine(y: np.ndarray, e: np.ndarray, alpha: float, beta: float, rho: float) -> float:
-    """Log evidence of a grid under straight cuts from side to side: with probability ``rho`` a rectangle stays whole, else one cut is drawn evenly.
+    """Log evidence of a grid under straight cuts from side to side: with probability ``rho`` a rectangle stays whole; else a direction in which
+    it can be cut is drawn evenly, then a cut in that direction.
 
-    Rectangles are solved by size, all positions of a size at once.
+    Rectangles are solved by size, all positions and all cuts of a size at once. Solved ones are kept by where they begin and by where they end, so that
+    the two sides of all cuts in a direction are two slices.
     """
     m, n = y.shape
     sy, se = summed_area(y), summed_area(e)
-    z: dict[tuple[int, int], np.ndarray] = {}
-    for h in range(1, m + 1):
-        for w in range(1, n + 1):
-            box = lambda s, h=h, w=w: s[h:, w:] - s[:-h, w:] - s[h:, :-w] + s[:-h, :-w]
-            whole = gamma_poisson(box(sy), box(se), alpha, beta)
-            cuts = h + w - 2
-            if not cuts:
-                z[h, w] = whole
-                continue
-            rows, cols = m - h + 1, n - w + 1
-            parts = [z[i, w][:rows] + z[h - i, w][i : i + rows] for i in range(1, h)]
-            parts += [z[h, j][:, :cols] + z[h, w - j][:, j : j + cols] for j in range(1, w)]
-            z[h, w] = np.logaddexp(np.log(rho) + whole, np.log1p(-rho) - np.log(cuts) + logsumexp(np.stack(parts), axis=0))
-    return float(z[m, n][0, 0])
+    sizes = [(h, w) for h in range(1, m + 1) for w in range(1, n + 1)]
+    boxes = [[(s[h:, w:] - s[:-h, w:] - s[h:, :-w] + s[:-h, :-w]).ravel() for s in (sy, se)] for h, w in sizes]
+    whole = gamma_poisson(*(np.concatenate([b[k] for b in boxes]) for k in (0, 1)), alpha, beta)
+    left, low, right = (np.zeros((m + 1, n + 1, m + 1, n + 1)) for _ in range(3))
+    at = 0
+    for h, w in sizes:
+        rows, cols = m - h + 1, n - w + 1
+        z = whole[at : at + rows * cols].reshape(rows, cols)
+        at += rows * cols
+        ways = (h > 1) + (w > 1)
+        if ways:
+            parts = np.empty((h + w - 2, rows, cols))
+            if h > 1:
+                np.add(left[1:h, w, :rows, :cols], low[h - 1 : 0 : -1, w, h : h + rows, :cols], out=parts[: h - 1])
+                parts[: h - 1] -= np.log(h - 1)
+            if w > 1:
+                np.add(left[h, 1:w, :rows, :cols], right[h, w - 1 : 0 : -1, :rows, w : w + cols], out=parts[h - 1 :])
+                parts[h - 1 :] -= np.log(w - 1)
+            top = parts.max(0)
+            parts -= top
+            np.exp(parts, out=parts)
+            z = np.logaddexp(np.log(rho) + z, np.log1p(-rho) - np.log(ways) + top + np.log(parts.sum(0)))
+        # By first row and column; by the row after the last; by the column after the last.
+        left[h, w, :rows, :cols] = low[h, w, h : h + rows, :cols] = right[h, w, :rows, w : w + cols] = z
+    return float(left[m, n, 0, 0])
 
 
 def guillotine_by_recursion(y: np.ndarray, e: np.ndarray, alpha: float, beta: float, rho: float) -> float:
-    """The same from the definition; for checks."""
+    """The same, one rectangle after the other."""
 
     @cache
     def solve(r0: int, r1: int, c0: int, c1: int) -> float:
         whole = float(gamma_poisson(y[r0:r1, c0:c1].sum(), e[r0:r1, c0:c1].sum(), alpha, beta))
-        cuts = [(solve(r0, r, c0, c1), solve(r, r1, c0, c1)) for r in range(r0 + 1, r1)] + [(solve(r0, r1, c0, c), solve(r0, r1, c, c1)) for c in range(c0 + 1, c1)]
-        if not cuts:
+        across = [solve(r0, r, c0, c1) + solve(r, r1, c0, c1) for r in range(r0 + 1, r1)]
+        along = [solve(r0, r1, c0, c) + solve(r0, r1, c, c1) for c in range(c0 + 1, c1)]
+        means = [float(logsumexp(np.array(x))) - np.log(len(x)) for x in (across, along) if x]
+        if not means:
             return whole
-        return float(np.logaddexp(np.log(rho) + whole, np.log1p(-rho) - np.log(len(cuts)) + logsumexp(np.array([a + b for a, b in cuts]))))
+        return float(np.logaddexp(np.log(rho) + whole, np.log1p(-rho) + logsumexp(np.array(means)) - np.log(len(means))))
 
     return solve(0, y.shape[0], 0, y.shape[1])
 
 
+def cut_trees(h: int, w: int, rho: float) -> list[tuple[float, tuple[tuple[int, int, int, int], ...]]]:
+    """(log prior, rectangles (r0, r1, c0, c1)) of every tree of cuts of an h by w grid, one after the other; for small grids."""
+
+    @cache
+    def trees(r0: int, r1: int, c0: int, c1: int):
+        cuts = [[(trees(r0, r, c0, c1), trees(r, r1, c0, c1)) for r in range(r0 + 1, r1)], [(trees(r0, r1, c0, c), trees(r0, r1, c, c1)) for c in range(c0 + 1, c1)]]
+        open_ = [x for x in cuts if x]
+        out = [(np.log(rho) if open_ else 0.0, ((r0, r1, c0, c1),))]
+        for side in open_:
+            each = np.log1p(-rho) - np.log(len(open_)) - np.log(len(side))
+            out += [(each + p + q, a + b) for one, two in side for p, a in one for q, b in two]
+        return out
+
+    return trees(0, h, 0, w)
+
+
 def binary_tree(y: np.ndarray, e: np.ndarray, alpha: float, beta: float, rho: float) -> float:
     """Log evidence of a series under repeated cuts in two, one evenly drawn cut after the other."""
     return guillotine(y[None, :], e[None, :], alpha, beta, rho)
@@ -181,18 +212,26 @@ def histogram(s: np.ndarray, width: int, offset: int = 0) -> np.ndarray:
     return (np.bincount(b, weights=s) / np.bincount(b))[b]
 
 
+def _around(y: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    """Sums of ``y`` weighted by a symmetric ``shape`` of distances 0, 1, ...; by transforms, in memory proportional to the axis."""
+    n = len(y)
+    full = 1 << (n + len(shape) - 1).bit_length()
+    kernel = np.zeros(full)
+    kernel[: len(shape)] = shape
+    kernel[full - len(shape) + 1 :] = shape[:0:-1]
+    return np.fft.irfft(np.fft.rfft(y, full) * np.fft.rfft(kernel), full)[:n]
+
+
 def kernel_smooth(s: np.ndarray, sd: float) -> np.ndarray:
     """Gaussian smoothing, normalised at the ends."""
-    k = np.arange(len(s))
-    w = np.exp(-0.5 * ((k[:, None] - k[None, :]) / sd) ** 2)
-    return (w @ s) / w.sum(1)
-
+    shape = np.exp(-0.5 * (np.arange(len(s)) / sd) ** 2)
+    return _around(np.asarray(s, dtype=float), shape) / _around(np.ones(len(s)), shape)
 
-def kernel_cost(t: np.ndarray, n_trials: int, sd: float) -> float:
-    """Shimazaki and Shinomoto's cost of a Gaussian bandwidth for event times pooled over trials."""
-    d = t[:, None] - t[None, :]
-    conv = np.exp(-(d**2) / (4 * sd**2)) / (2 * np.sqrt(np.pi) * sd)
-    kern = np.exp(-(d**2) / (2 * sd**2)) / (np.sqrt(2 * np.pi) * sd)
-    np.fill_diagonal(kern, 0.0)
-    return float((conv.sum() - 2 * kern.sum()) / n_trials**2)
 
+def kernel_cost(counts: np.ndarray, n_trials: int, sd: float) -> float:
+    """Shimazaki and Shinomoto's cost of a Gaussian bandwidth for events counted by interval, pooled over trials."""
+    y, d = np.asarray(counts, dtype=float), np.arange(len(counts))
+    both = lambda shape: float(y @ _around(y, shape))
+    conv = both(np.exp(-(d**2) / (4 * sd**2))) / (2 * np.sqrt(np.pi) * sd)
+    kern = (both(np.exp(-(d**2) / (2 * sd**2))) - float(y.sum())) / (np.sqrt(2 * np.pi) * sd)
+    return (conv - 2 * kern) / n_trials**2

@@ -44,8 +44,7 @@ def best_bandwidth(rows: DataFrame, sds: list[float], n_trials: int) -> DataFram
     dealt = rows.withColumn("sd", F.explode(F.array(*(F.lit(float(x)) for x in sds)))).repartition("series_id", "sd")
 
     def one(r: dict) -> list[dict]:
-        t = np.repeat(np.arange(len(r["x1"])), np.array(r["x1"], dtype=int)).astype(float)
-        return [{"sd": r["sd"], "cost": planes.kernel_cost(t, n_trials, r["sd"]) if len(t) else 0.0}]
+        return [{"sd": r["sd"], "cost": planes.kernel_cost(np.array(r["x1"]), n_trials, r["sd"])}]
 
     costs = kernel(dealt, one, "series_id string, sd double, cost double")
     return costs.groupBy("series_id").agg(F.min_by("sd", F.struct("cost", "sd")).alias("sd"), F.min("cost").alias("cost"))

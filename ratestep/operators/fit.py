@@ -221,13 +221,13 @@ def log_marginal(rows: DataFrame, kind: str, max_boundaries: int = 10, *, cyclic
 
 
 def best_prior(rows: DataFrame, kind: str, max_boundaries: int = 10, *, cyclic: bool = False, bound: float = 1e5) -> DataFrame:
-    """(series_id, p1, p2, log_marginal, at_bound): the prior of largest evidence by the simplex method."""
+    """(series_id, p1, p2, log_marginal, at_bound, converged): the prior of largest evidence by the simplex method."""
 
     def one(r: dict) -> list[dict]:
-        m, v, hit = seg.best_prior(model_of(r, kind), max_boundaries, cyclic=cyclic, bound=bound)
-        return [{"p1": m.prior[0], "p2": m.prior[1], "log_marginal": v, "at_bound": hit}]
+        m, v, hit, closed = seg.best_prior(model_of(r, kind), max_boundaries, cyclic=cyclic, bound=bound)
+        return [{"p1": m.prior[0], "p2": m.prior[1], "log_marginal": v, "at_bound": hit, "converged": closed}]
 
-    return kernel(rows, one, "series_id string, p1 double, p2 double, log_marginal double, at_bound boolean")
+    return kernel(rows, one, "series_id string, p1 double, p2 double, log_marginal double, at_bound boolean, converged boolean")
 
 
 def prior_grid(rows: DataFrame, kind: str, grid: list[tuple[float, float]], max_boundaries: int = 10, *, scaled: bool = False) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ratestep.functions import planes
 from ratestep.functions.segments import fit
@@ -29,16 +30,17 @@ def two_level(grid: DataFrame, alpha: float, beta: float, max_r: int, max_c: int
 
     Every band (r0, r1) of every grid is a row of its own: evidences are computed and, where the rows' posterior needs them, rates.
     """
-    # Prefix sums down the columns make any band a difference of two rows.
-    per_row = grid.groupBy("grid_id", "r").agg(F.array_sort(F.collect_list(F.struct("c", "y", "e"))).alias("x"))
-    whole = per_row.groupBy("grid_id").agg(F.array_sort(F.collect_list(F.struct("r", "x"))).alias("rows"))
-    m = F.size("rows")
-    bands = whole.withColumn("r0", F.explode(F.sequence(F.lit(0), m - 1))).withColumn("r1", F.explode(F.sequence(F.col("r0"), m - 1)))
-    bands = bands.withColumn("part", F.slice("rows", F.col("r0") + 1, F.col("r1") - F.col("r0") + 1)).drop("rows").repartition("grid_id", "r0", "r1")
+    # Prefix sums down the columns make any band a difference of two rows: a band carries these two and no others.
+    down = Window.partitionBy("grid_id", "c").orderBy("r")
+    sums = grid.withColumns({"sy": F.sum("y").over(down), "se": F.sum("e").over(down)})
+    upto = sums.groupBy("grid_id", "r").agg(F.array_sort(F.collect_list(F.struct("c", "sy", "se"))).alias("x"))
+    hi = upto.select("grid_id", F.explode(F.sequence(F.lit(0), F.col("r"))).alias("r0"), F.col("r").alias("r1"), F.col("x").alias("hi"))
+    lo = upto.select("grid_id", (F.col("r") + 1).alias("r0"), F.col("x").alias("lo"))
+    bands = hi.join(lo, ["grid_id", "r0"], "left").repartition("grid_id", "r0", "r1")
 
     def model(r: dict):
-        y = np.array([[c["y"] for c in row["x"]] for row in r["part"]]).sum(0)
-        e = np.array([[c["e"] for c in row["x"]] for row in r["part"]]).sum(0)
+        top = np.array([(x["sy"], x["se"]) for x in r["hi"]], dtype=float)
+        y, e = (top - np.array([(x["sy"], x["se"]) for x in r["lo"]], dtype=float) if r["lo"] else top).T
         return planes.Poisson(y, e, alpha, beta)
 
     ev = kernel(bands, lambda r: [{"r0": r["r0"], "r1": r["r1"], "l": planes.band_log_marginal(model(r), max_c)}], "grid_id string, r0 int, r1 int, l double", keep="grid_id")

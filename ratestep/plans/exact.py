@@ -67,6 +67,16 @@ def lgamma_table(spark, n: int, shift: float) -> DataFrame:
     return logs.select("n", F.sum("l").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)).alias("value"))
 
 
+def prefix_sums(values: Column, block: int = 64) -> Column:
+    """0 and the running sums of an array. A fold that appends copies what it has, so it runs over blocks, and over their totals."""
+    zero = F.lit(0.0)
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(block)), lambda k: F.slice(values, k + 1, F.lit(block)))
+    step = lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x)
+    starts = F.aggregate(F.transform(parts, lambda b: F.aggregate(b, zero, lambda acc, x: acc + x)), F.array(zero), step)
+    sums = F.flatten(F.zip_with(parts, F.slice(starts, 1, F.size(parts)), lambda b, s: F.slice(F.aggregate(b, F.array(s), step), 2, F.size(b))))
+    return F.concat(F.array(zero), sums)
+
+
 def gather(series: DataFrame, prior: DataFrame | None = None, *, weak: float | None = None, **constants: float) -> DataFrame:
     """One row a series: T, prefix sums c1 and c2 (from 0), the first and second column as arrays, and prior parameters p1 and p2.
 
@@ -77,9 +87,7 @@ def gather(series: DataFrame, prior: DataFrame | None = None, *, weak: float | N
     # bytes, would put small series on a few cores. Gathering needs this exchange anyway.
     parts = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = series.repartition(parts, "series_id").groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("k", F.col(x1).cast("double").alias("x1"), F.col(x2).cast("double").alias("x2")))).alias("r"))
-    running = lambda name: F.aggregate(
-        F.col("r"), F.array(F.lit(0.0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x[name])
-    )
+    running = lambda name: prefix_sums(F.transform("r", lambda x: x[name]))
     out = rows.select("series_id", F.size("r").alias("T"), running("x1").alias("c1"), running("x2").alias("c2"), F.transform("r", lambda x: x["x1"]).alias("x1"), F.transform("r", lambda x: x["x2"]).alias("x2"))
     if prior is not None:
         p = [c for c in prior.columns if c != "series_id"]

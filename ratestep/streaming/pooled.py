@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ratestep.functions.live import ChangePointStream
@@ -85,34 +86,55 @@ def _multinomial(x: list[float], e: list[float]) -> float:
     return float(lgamma(x.sum() + 1) - lgamma(x + 1).sum() + xlogy(x, p).sum())
 
 
+_SHAPE = "tree string, n long, leaf string, y double, alone double, pooled double"
+_NAMES = [c.split()[0] for c in _SHAPE.split(", ")]
+
+
 def replay_pooled(rows: DataFrame, parents: dict[str, str | None], exposure: dict[str, float], prior: tuple[float, float], expected_run_length: float, **kw) -> DataFrame:
-    """(tree, n, leaf, y, alone, pooled) of rows (tree, n, leaf, y); batch or stream: a stream keeps each tree in the state store."""
+    """(tree, n, leaf, y, alone, pooled) of a table of rows (tree, n, leaf, y); rows of one interval and leaf are added up, gaps count as empty intervals."""
     ensure_importable(rows.sparkSession)
-    shape = "tree string, n long, leaf string, y double, alone double, pooled double"
 
-    def answers(key: str, tree: PooledTree, last: int | None, frame: pd.DataFrame) -> tuple[list[tuple], int | None]:
-        out = []
-        for n, part in frame.sort_values("n").groupby("n"):
-            if last is not None and n <= last:
-                continue
+    def whole(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        tree, out, last = PooledTree(parents, exposure, prior, expected_run_length, **kw), [], None
+        for n, part in frame.groupby("n"):
             for i in range(int(n) if last is None else last + 1, int(n) + 1):
-                seen = dict(zip(part["leaf"], part["y"], strict=True)) if i == n else {}
-                out += [(key, i, *x) for x in tree.step(seen)]
+                out += [(key[0], i, *x) for x in tree.step(part.groupby("leaf")["y"].sum().to_dict() if i == n else {})]
             last = int(n)
-        return out, last
+        return pd.DataFrame(out, columns=_NAMES)
 
-    names = [c.split()[0] for c in shape.split(", ")]
-    if rows.isStreaming:
+    return rows.groupBy("tree").applyInPandas(whole, _SHAPE)
 
-        def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-            tree, last = pickle.loads(state.get[0]) if state.exists else (PooledTree(parents, exposure, prior, expected_run_length, **kw), None)
-            out, last = answers(key[0], tree, last, pd.concat(list(frames)))
-            state.update((pickle.dumps((tree, last)),))
-            yield pd.DataFrame(out, columns=names)
 
-        return rows.groupBy("tree").applyInPandasWithState(step, shape, "blob binary", "append", GroupStateTimeout.NoTimeout)
+def watch_pooled(
+    rows: DataFrame, parents: dict[str, str | None], exposure: dict[str, float], prior: tuple[float, float], expected_run_length: float, *, seconds: int = 3600, **kw
+) -> DataFrame:
+    """The same for a stream of rows (tree, ts, leaf, y) with a watermark on ``ts``: (tree, n, leaf, y, alone, pooled, late).
 
-    def whole(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(answers(key[0], PooledTree(parents, exposure, prior, expected_run_length, **kw), None, frame)[0], columns=names)
+    Counts are held in the state until the watermark has passed the end of their interval of ``seconds``, so that an interval may come in any number of
+    micro-batches. ``late`` is the total of a tree that came after its interval was closed and is in no count. A tree is one group, as its scores
+    depend on all of its leaves; forests are spread by tree.
+    """
+    ensure_importable(rows.sparkSession)
 
-    return rows.groupBy("tree").applyInPandas(whole, shape)
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tree, last, held, late = pickle.loads(state.get[0]) if state.exists else (PooledTree(parents, exposure, prior, expected_run_length, **kw), None, {}, 0.0)
+        for f in frames:
+            for (n, leaf), y in f.groupby(["n", "leaf"])["y"].sum().items():
+                if last is not None and n <= last:
+                    late += float(y)
+                else:
+                    own = held.setdefault(int(n), {})
+                    own[leaf] = own.get(leaf, 0.0) + float(y)
+        mark, out = state.getCurrentWatermarkMs(), []
+        for n in sorted(n for n in held if (n + 1) * seconds * 1000 <= mark):
+            for i in range(n if last is None else last + 1, n + 1):
+                out += [(key[0], i, *x, late) for x in tree.step(held[n] if i == n else {})]
+            last = n
+            del held[n]
+        if held:
+            state.setTimeoutTimestamp(max((min(held) + 1) * seconds * 1000, mark + 1))
+        state.update((pickle.dumps((tree, last, held, late)),))
+        yield pd.DataFrame(out, columns=[*_NAMES, "late"])
+
+    timed = rows.withColumn("n", F.floor(F.unix_timestamp("ts") / seconds).cast("long")).select("tree", "ts", "n", "leaf", F.col("y").cast("double").alias("y"))
+    return timed.groupBy("tree").applyInPandasWithState(step, _SHAPE + ", late double", "blob binary", "append", GroupStateTimeout.EventTimeTimeout)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ratestep.functions import planes
 from ratestep.functions import segments as g
+from ratestep.functions.special import logsumexp
 from ratestep.operators import baselines, fit, grid, live, tree
 from ratestep.plans import exact
 from ratestep.schema import checked
@@ -147,6 +148,31 @@ def test_grids(spark):
     assert grid.guillotine(cells, 1.0, 1.0, 0.6).first().log_evidence == pytest.approx(planes.guillotine_by_recursion(y, np.ones((5, 4)), 1.0, 1.0, 0.6))
 
 
+@pytest.mark.parametrize("shape", [(1, 1), (1, 4), (2, 2), (2, 3), (3, 2)])
+def test_guillotine_against_all_trees(shape):
+    """A direction is drawn first, then a cut in it."""
+    y = np.random.default_rng(3).poisson(2.0, shape).astype(float)
+    e = np.random.default_rng(4).uniform(0.5, 2, shape)
+    trees = planes.cut_trees(*shape, 0.6)
+    assert sum(np.exp(p) for p, _ in trees) == pytest.approx(1)
+    want = logsumexp(np.array([p + sum(float(planes.gamma_poisson(y[a:b, c:d].sum(), e[a:b, c:d].sum(), 1.5, 0.7)) for a, b, c, d in bins) for p, bins in trees]))
+    assert planes.guillotine(y, e, 1.5, 0.7, 0.6) == pytest.approx(want, abs=1e-11)
+    assert planes.guillotine_by_recursion(y, e, 1.5, 0.7, 0.6) == pytest.approx(want, abs=1e-11)
+
+
+def test_smoothing_by_transforms():
+    y = np.random.default_rng(5).poisson(3, 50).astype(float)
+    k = np.arange(50)
+    w = np.exp(-0.5 * ((k[:, None] - k) / 2.5) ** 2)
+    assert planes.kernel_smooth(y, 2.5) == pytest.approx(w @ y / w.sum(1), abs=1e-10)
+    t = np.repeat(k, y.astype(int)).astype(float)
+    d = t[:, None] - t
+    conv, kern = np.exp(-(d**2) / 25) / (2 * np.sqrt(np.pi) * 2.5), np.exp(-(d**2) / 12.5) / (np.sqrt(2 * np.pi) * 2.5)
+    np.fill_diagonal(kern, 0)
+    assert planes.kernel_cost(y, 3, 2.5) == pytest.approx((conv.sum() - 2 * kern.sum()) / 9, rel=1e-9)
+    assert np.isfinite(planes.kernel_cost(np.ones(100_000), 1, 3.0))
+
+
 def test_counting_and_merging():
     assert [planes.tilings(n, n) for n in (1, 2, 3, 4)] == [1, 2 ** 3, 322, 70878]
     y = np.array([5.0, 6, 5, 50, 52, 51])

@@ -197,7 +197,8 @@ def test_credible_range_and_weights():
 def test_prior_search():
     r = np.random.default_rng(4).gamma(3, 2, 60)
     model = g.Poisson.weak_prior(np.random.default_rng(5).poisson(np.repeat(r, 10)))
-    best, value, hit = g.best_prior(model, 30)
+    best, value, hit, closed = g.best_prior(model, 30)
+    assert closed
     assert not hit and value >= g.log_marginal(model, 30)
     assert best.alpha / best.beta == pytest.approx(6, rel=0.3)
     for a, b in ((1.05, 1), (0.95, 1), (1, 1.05), (1, 0.95)):

@@ -92,3 +92,25 @@ def test_pooled_tree_replay(spark):
     t = pooled.PooledTree(parents, exposure, (1.0, 1.0), 100.0, half_life=5)
     assert sum(t.weights("x0").values()) == pytest.approx(1)
     assert np.exp([x[3] for x in [t.step({"x0": 2.0})[0]]])[0] <= 1
+
+
+def test_an_interval_in_two_batches_is_whole(spark, tmp_path):
+    """Leaves of one hour come in different micro-batches; the answers are those of a replay of the whole counts."""
+    parents, exposure = {"root": None, "a": "root", "b": "root"}, {"a": 1.0, "b": 2.0}
+    folder = str(tmp_path / "in")
+    counts = [(n, leaf, float((3 * n + len(leaf) + (leaf == "b")) % 5)) for n in range(6) for leaf in "ab"]
+    at = lambda n: T0 + dt.timedelta(hours=n, minutes=5)
+    table = lambda part: spark.createDataFrame([("t", at(n), leaf, y) for n, leaf, y in part], "tree string, ts timestamp, leaf string, y double")
+    parts = [counts[:3], counts[3:7], counts[7:], [(20, "a", 1.0)], [(0, "a", 7.0), (30, "a", 1.0)], [(40, "a", 1.0)], [(50, "a", 1.0)]]
+    out, marks = str(tmp_path / "out"), str(tmp_path / "marks")
+    for part in parts:
+        table(part).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema("tree string, ts timestamp, leaf string, y double").parquet(folder).withWatermark("ts", "10 minutes")
+        watched = pooled.watch_pooled(stream, parents, exposure, (1.0, 1.0), 50.0)
+        watched.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(out).toPandas()
+    got["n"] -= got["n"].min()
+    want = pooled.replay_pooled(spark.createDataFrame([("t", *c) for c in [*counts, (20, "a", 1.0)]], "tree string, n long, leaf string, y double"), parents, exposure, (1.0, 1.0), 50.0).toPandas()
+    got = got[got.n <= 20].sort_values(["n", "leaf"]).reset_index(drop=True)
+    want = want.sort_values(["n", "leaf"]).reset_index(drop=True)
+    assert got.y.tolist() == want.y.tolist() and np.allclose(got.pooled, want.pooled) and np.allclose(got.alone, want.alone)
