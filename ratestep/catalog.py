@@ -1,18 +1,20 @@
 """Queries over the test tables, one or more for each operator, and the SQL that each is compared with.
 
-``daily`` series are events of each type by day (30 days), ``folded`` ones by hour of the day (24), ``users`` are trials over
-the 24 hours of the first day, ``flags`` are returned and other lineitems by month. Logs, rates and probabilities are rounded to
+``daily`` series are events of each type by day (30 days), ``hourly`` ones by hour (720), ``folded`` ones by hour of the day (24); ``users`` has
+a trial for each day of each user with events, over the 24 hours; grids are the orders of a year by region and month. Logs, rates and probabilities are rounded to
 six digits on both sides.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratestep import oracle as o
+from ratestep.functions import sql
 from ratestep.operators import baselines, fit, grid, live, tree
 from ratestep.plans import exact
 from ratestep.runtime import Scratch
@@ -69,10 +71,10 @@ def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users as trials over the first day's hours; repeats within an hour are one event."""
-    e = table(spark, sf_dir, "events")
-    trial = F.lpad(F.col("user_id").cast("string"), 12, "0").alias("trial_id")
-    return e.select(F.lit("users").alias("series_id"), trial, F.when(hour() < 24, hour()).alias("t")).distinct()
+    """A trial for each day of each user with events, over the hours of the day; repeats within an hour are one event."""
+    e = table(spark, sf_dir, "events").where("user_id IS NOT NULL")
+    trial = F.concat(F.lpad(F.col("user_id").cast("string"), 12, "0"), F.date_format("ts", "-yyyy-MM-dd")).alias("trial_id")
+    return e.select(F.lit("users").alias("series_id"), trial, F.hour("ts").alias("t")).distinct()
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +126,7 @@ def add_trials(spark, sf_dir):
     return axis.add_trials(axis.spike_counts(first, 0, 23), axis.spike_counts(rest, 0, 23))
 
 
-@register("text_trials", "SELECT 'users' AS series_id, ((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 3600000000)::INTEGER AS t, count(DISTINCT user_id)::BIGINT AS n FROM events WHERE ts < TIMESTAMP '2024-01-02' GROUP BY 2")
+@register("text_trials", o.query(o.USERS, select="SELECT 'users' AS series_id, k AS t, count(*)::BIGINT AS n FROM once GROUP BY 2"))
 def text_trials(spark, sf_dir):
     path = Scratch(spark, "trials").path("text")
     files.write_trials(user_trials(spark, sf_dir).where("t IS NOT NULL"), path)
@@ -474,7 +476,7 @@ def bursts(spark, sf_dir):
 
 @register("separation_level")
 def separation_level(spark, sf_dir):
-    return fit.separation_level(gathered(spark, sf_dir), "poisson", 2)
+    return fit.separation_level(gathered(spark, sf_dir), "poisson", M)
 
 
 @register("level_scan", o.query(o.DAILY, _latency(), select=f"SELECT series_id, {LEVEL}::DOUBLE AS level, {o.rounded('sum(p)')} AS p FROM lat GROUP BY 1"))
@@ -484,7 +486,7 @@ def level_scan(spark, sf_dir):
 
 @register("best_prior")
 def best_prior(spark, sf_dir):
-    return fit.best_prior(gathered(spark, sf_dir), "poisson", 2)
+    return fit.best_prior(gathered(spark, sf_dir), "poisson", M)
 
 
 _GRID = [(a, b) for a in (0.5, 1.0, 2.0, 8.0) for b in (0.5, 1.0, 2.0, 8.0)]
@@ -540,9 +542,30 @@ def online_next_pmf(spark, sf_dir):
     return live.online_next(gathered(spark, sf_dir), "poisson", [40, 60, 66, 80], M).select("series_id", "x", r6("p", "p"))
 
 
-@register("online_replay")
+_PREFIX = f"""
+    msg AS ({" UNION ALL ".join(f"SELECT series_id, {m} AS m, k, v FROM f{m}" for m in range(M + 1))}),
+    cst AS (SELECT series_id, k, sum(CASE WHEN y > 0 THEN y * ln(e) ELSE 0 END - lgamma(y + 1)) OVER (PARTITION BY series_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS c FROM ser),
+    pev AS (SELECT series_id, k, m, v - (lgamma(k + 1) - lgamma(m + 1) - lgamma(k - m + 1)) + c AS ev FROM msg JOIN cst USING (series_id, k) WHERE m <= k),
+    pall AS (SELECT z.series_id, z.k, z.v - ln(least({M}, z.k) + 1) AS log_marginal, t.m_map FROM ({o.lse("SELECT series_id, k, ev AS x FROM pev", "series_id, k")}) z
+        JOIN (SELECT series_id, k, arg_max(m, (ev, -m))::INTEGER AS m_map FROM pev GROUP BY 1, 2) t USING (series_id, k)),
+    lbeg AS (SELECT series_id, 0 AS i, 0 AS a, 0.0::DOUBLE AS v FROM prior UNION ALL SELECT series_id, m + 1, k + 1, v FROM msg WHERE m < {M}),
+    pnow AS (SELECT series_id, a, k, x, n1, n2, exp(x - max(x) OVER w) AS u FROM (SELECT s.series_id, s.a, s.k, s.v + q.l AS x, n1, n2 FROM
+        ({o.lse("SELECT l.series_id, l.a, s.k, l.v - (lgamma(s.k + 1) - lgamma(l.i + 1) - lgamma(s.k - l.i + 1)) AS x FROM lbeg l JOIN ser s ON s.series_id = l.series_id AND l.a <= s.k", "series_id, a, k")}) s
+        JOIN bins q ON q.series_id = s.series_id AND q.a = s.a AND q.b = s.k) WINDOW w AS (PARTITION BY series_id, k)),
+    pmean AS (SELECT series_id, k, sum(u * n1 / n2) / sum(u) AS rate, arg_max(a, (round(u, 12), -a))::INTEGER AS start_map FROM pnow GROUP BY 1, 2),
+    pstd AS (SELECT series_id, k, sqrt((sum(u * n1 / (n2 * n2)) + sum(u * (n1 / n2 - rate) * (n1 / n2 - rate))) / sum(u)) AS rate_std FROM pnow JOIN pmean USING (series_id, k) GROUP BY 1, 2),
+    pnxt AS (SELECT series_id, k, x, coalesce(n1, p1) AS n1, coalesce(n2, p2) AS n2, exp(x - max(x) OVER w) AS u FROM (SELECT s.series_id, s.k, s.v + coalesce(q.l, 0) AS x, n1, n2, p1, p2 FROM
+        ({o.lse("SELECT l.series_id, l.a, s.k, l.v - (lgamma(s.k + 2) - lgamma(l.i + 1) - lgamma(s.k + 2 - l.i)) AS x FROM lbeg l JOIN ser s ON s.series_id = l.series_id AND l.a <= s.k + 1", "series_id, a, k")}) s
+        JOIN prior USING (series_id) LEFT JOIN bins q ON q.series_id = s.series_id AND q.a = s.a AND q.b = s.k) WINDOW w AS (PARTITION BY series_id, k)),
+    pcdf AS (SELECT series_id, k, sum(u * exp(n1 * ln(n2 / (n2 + 1)))) / sum(u) AS next_zero,
+        sum(u * list_sum(list_transform(range(11), lambda j: exp(lgamma(j + n1) - lgamma(n1) - lgamma(j + 1) - j * ln(n2 + 1) + n1 * ln(n2 / (n2 + 1)))))) / sum(u) AS next_cdf FROM pnxt GROUP BY 1, 2)"""
+
+
+@register("online_replay", o.query(o.DAILY, o.Chain(30, M).bins().forward(), _PREFIX,
+    select=f"SELECT series_id, k, {o.rounded('log_marginal')} AS log_marginal, m_map, {o.rounded('rate')} AS rate, {o.rounded('rate_std')} AS rate_std, start_map, {o.rounded('next_zero')} AS next_zero, {o.rounded('next_cdf')} AS next_cdf FROM pall JOIN pmean USING (series_id, k) JOIN pstd USING (series_id, k) JOIN pcdf USING (series_id, k)"))
 def online_replay(spark, sf_dir):
-    return live.replay_online(gathered(spark, sf_dir), "poisson", M)
+    out = live.replay_online(gathered(spark, sf_dir), "poisson", M)
+    return out.select("series_id", "k", "m_map", "start_map", *(r6(c, c) for c in ("log_marginal", "rate", "rate_std", "next_zero", "next_cdf")))
 
 
 # Change-point streams
@@ -554,13 +577,13 @@ _FULL_BINS = """
 
 
 def _recursion(h: float) -> str:
-    """Evidence of every prefix under runs that end with probability ``h``, from the full evidences of all segments."""
+    """Evidence of every prefix under runs that end with probability ``h``, from the full evidences of all segments: zz[t + 2] is that of 0..t."""
     return f"""
-    ends AS (SELECT series_id, b, list(l ORDER BY a) AS ls FROM full_bins GROUP BY 1, 2),
-    z AS (SELECT series_id, 0 AS t, [ls[1]] AS zs, [ls[1]] AS terms FROM ends WHERE b = 0
-        UNION ALL SELECT series_id, t, list_append(zs, list_max(terms) + ln(list_sum(list_transform(terms, lambda v: exp(v - list_max(terms)))))), terms
-        FROM (SELECT z.series_id, z.t + 1 AS t, zs, list_concat([ls[1] + (z.t + 1) * ln({1 - h})], list_transform(range(1, z.t + 2), lambda a: zs[a] + ln({h}) + (z.t + 1 - a) * ln({1 - h}) + ls[a + 1])) AS terms
-            FROM z JOIN ends ON ends.series_id = z.series_id AND ends.b = z.t + 1))"""
+    ends AS (SELECT series_id, b, list(l + (b - a) * ln({1 - h}) + CASE WHEN a > 0 THEN ln({h}) ELSE 0 END ORDER BY a) AS ls FROM full_bins GROUP BY 1, 2),
+    z AS (SELECT series_id, 0 AS t, [0.0, ls[1]] AS zz, [ls[1]] AS terms FROM ends WHERE b = 0
+        UNION ALL SELECT series_id, t, list_append(zz, mx + ln(list_sum(list_transform(terms, lambda v: exp(v - mx))))), terms
+        FROM (SELECT *, list_max(terms) AS mx FROM (SELECT z.series_id, z.t + 1 AS t, zz, list_transform(list_zip(zz, ls), lambda v: v[1] + v[2]) AS terms
+            FROM z JOIN ends ON ends.series_id = z.series_id AND ends.b = z.t + 1)))"""
 
 
 _STREAM = _FULL_BINS + "," + _recursion(_H)
@@ -568,12 +591,12 @@ _LFS = "lfs AS (SELECT series_id, k, lgamma(y + 1) AS lf, sum(lgamma(y + 1)) OVE
 _EXACT_STREAM = {"expected_run_length": 10.0, "prune": 0.0, "merge_bins": None}
 
 
-@register("stream_log_marginal", o.query(o.DAILY, o.Chain(30, M).bins(), _LFS, _STREAM, recursive=True, select=f"SELECT series_id, t::INTEGER AS k, {o.rounded('zs[t + 1]')} AS log_marginal FROM z"))
+@register("stream_log_marginal", o.query(o.DAILY, o.Chain(30, M).bins(), _LFS, _STREAM, recursive=True, select=f"SELECT series_id, t::INTEGER AS k, {o.rounded('zz[t + 2]')} AS log_marginal FROM z"))
 def stream_log_marginal(spark, sf_dir):
     return live.replay_stream(gathered(spark, sf_dir), "poisson", **_EXACT_STREAM).select("series_id", "k", r6("log_marginal", "log_marginal"))
 
 
-_RUNS = "runs AS (SELECT series_id, t, unnest(range(t + 1)) AS a, unnest(list_transform(terms, lambda v: exp(v - zs[t + 1]))) AS p FROM z)"
+_RUNS = "runs AS (SELECT series_id, t, unnest(range(t + 1)) AS a, unnest(list_transform(terms, lambda v: exp(v - zl))) AS p FROM (SELECT *, zz[t + 2] AS zl FROM z))"
 
 
 @register("stream_run_lengths", o.query(o.DAILY, o.Chain(30, M).bins(), _LFS, _STREAM, _RUNS, recursive=True, select=f"SELECT series_id, (30 - a)::INTEGER AS run_length, {o.rounded('p')} AS p FROM runs WHERE t = 29"))
@@ -608,7 +631,7 @@ def _negbin(r: float) -> str:
         FROM nbc x JOIN nbc z ON z.series_id = x.series_id AND z.k >= x.k)"""
 
 
-_PREFIXES = f"SELECT series_id, t::INTEGER AS k, {o.rounded('zs[t + 1]')} AS log_marginal FROM z"
+_PREFIXES = f"SELECT series_id, t::INTEGER AS k, {o.rounded('zz[t + 2]')} AS log_marginal FROM z"
 
 
 @register("stream_negbin", o.query(o.DAILY, _negbin(4.0), _recursion(1 / 100), recursive=True, select=_PREFIXES))
@@ -631,14 +654,71 @@ def stream_dispersions(spark, sf_dir):
     return live.dispersions(exact.gather(hourly(spark, sf_dir), weak=1.0), expected_run_length=100.0)
 
 
-@register("pit_uniformity")
+_HOURLY_RUNS = ["runs AS (SELECT series_id, t, unnest(range(t + 1)) AS a, unnest(list_transform(terms, lambda v: exp(v - zl))) AS p FROM (SELECT *, zz[t + 2] AS zl FROM z))", """
+    live_runs AS MATERIALIZED (SELECT r.series_id, r.t, r.p, n1, n2, r.t - r.a + 1 AS len FROM runs r JOIN bins q ON q.series_id = r.series_id AND q.a = r.a AND q.b = r.t WHERE r.p >= 1e-12),
+    before AS (SELECT series_id, t + 1 AS t, p * {stay} AS p, n1, n2 FROM live_runs UNION ALL SELECT series_id, k, CASE WHEN k = 0 THEN 1.0 ELSE {h} END, p1, p2 FROM ser JOIN prior USING (series_id)),
+    pits AS (SELECT b.series_id, t, sum(p * (coalesce(list_sum(list_transform(range(y::BIGINT), lambda j: exp(lgamma(j + n1) - lgamma(n1) - lgamma(j + 1) - j * ln(n2 + 1) + n1 * ln(n2 / (n2 + 1))))), 0)
+        + 0.5 * exp(lgamma(y + n1) - lgamma(n1) - lgamma(y + 1) - y * ln(n2 + 1) + n1 * ln(n2 / (n2 + 1))))) AS pit FROM before b JOIN ser s ON s.series_id = b.series_id AND s.k = b.t GROUP BY 1, 2)""".format(h=1 / 200, stay=1 - 1 / 200)]
+_HOURLY = [o.HOURS, o.Chain(720, M).bins(), _LFS, _FULL_BINS, _recursion(1 / 200), *_HOURLY_RUNS]
+#: All options at their defaults but for merging, which SQL has no counterpart for.
+_UNMERGED = {"expected_run_length": 200.0, "merge_bins": None}
+
+
+@register("stream_hourly", o.query(*_HOURLY, "at_t AS (SELECT series_id, t, sum(p * n1 / n2) / sum(p) AS rate FROM live_runs GROUP BY 1, 2)", recursive=True,
+    select=f"SELECT s.series_id, s.t::INTEGER AS k, {o.rounded('any_value(zz[s.t + 2])', 5)} AS log_marginal, {o.rounded('any_value(pit)', 5)} AS pit, {o.rounded('any_value(rate)', 5)} AS rate, {o.rounded('sqrt(sum(p * n1 / (n2 * n2)) + sum(p * (n1 / n2 - rate) * (n1 / n2 - rate)))', 5)} AS rate_std, {o.rounded('sum(CASE WHEN len <= 3 THEN p ELSE 0 END)', 5)} AS p_change FROM live_runs s JOIN at_t USING (series_id, t) JOIN pits USING (series_id, t) JOIN z ON z.series_id = s.series_id AND z.t = s.t GROUP BY 1, 2"))
+def stream_hourly(spark, sf_dir):
+    """All 720 hours, improbable runs pruned as by default."""
+    out = live.replay_stream(exact.gather(hourly(spark, sf_dir), weak=1.0), "poisson", **_UNMERGED)
+    return out.select("series_id", "k", *((F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("log_marginal", "pit", "rate", "rate_std", "p_change")))
+
+
+_LEARNT = f"""
+    hz AS (SELECT series_id, m AS c, k, v + lgamma(1 + m) + lgamma(99 + k - m) - lgamma(100 + k) - lgamma(1) - lgamma(99) + lgamma(100) + cst AS x FROM
+        (SELECT q.series_id, q.m, q.k, q.v, c.cst FROM ({" UNION ALL ".join(f"SELECT series_id, {m} AS m, k, v FROM f{m}" for m in range(30))}) q
+        JOIN (SELECT series_id, k, sum(-lgamma(y + 1)) OVER (PARTITION BY series_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS cst FROM ser) c USING (series_id, k))),
+    hw AS (SELECT series_id, k, c, x, max(x) OVER w AS mx FROM hz WINDOW w AS (PARTITION BY series_id, k))"""
+
+
+@register("stream_learnt_hazard_daily", o.query(o.DAILY, o.Chain(30, 29).bins().forward(), _LEARNT,
+    select=f"SELECT series_id, k::INTEGER AS k, {o.rounded('any_value(mx) + ln(sum(exp(x - mx)))')} AS log_marginal, {o.rounded('sum(exp(x - mx) * (1 + c) / (100 + k)) / sum(exp(x - mx))')} AS hazard FROM hw GROUP BY 1, 2"))
+def stream_learnt_hazard_daily(spark, sf_dir):
+    out = live.replay_stream(gathered(spark, sf_dir), "poisson", expected_run_length=100.0, hazard_strength=1.0, prune=0.0)
+    return out.select("series_id", "k", r6("log_marginal", "log_marginal"), r6("hazard", "hazard"))
+
+
+_SPREADS = [0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0]
+_LB = "(lgamma({0}) + lgamma({1}) - lgamma({0} + {1}))".format
+_DISPERSED = f"""
+    spread AS (SELECT unnest({_SPREADS}::DOUBLE[]) AS r),
+    nbp AS (SELECT series_id, r, p2 * r + p1 + 2 AS na, p1 + p1 * (1 + p1) / (p2 * r) AS nb FROM prior CROSS JOIN spread),
+    nbc AS (SELECT ser.series_id, r, k, y, na, nb, sum(y) OVER w AS cy, sum(lgamma(y + r) - lgamma(r) - lgamma(y + 1)) OVER w AS cc, lgamma(y + r) - lgamma(r) - lgamma(y + 1) AS own
+        FROM ser JOIN nbp ON nbp.series_id = ser.series_id WINDOW w AS (PARTITION BY ser.series_id, r ORDER BY k ROWS UNBOUNDED PRECEDING)),
+    full_bins AS (SELECT x.series_id || '#' || x.r AS series_id, x.k AS a, z.k AS b, z.cc - x.cc + x.own + {_LB("(x.na + x.r * (z.k - x.k + 1))", "(x.nb + z.cy - x.cy + x.y)")} - {_LB("x.na", "x.nb")} AS l
+        FROM nbc x JOIN nbc z ON z.series_id = x.series_id AND z.r = x.r AND z.k >= x.k
+        UNION ALL SELECT q.series_id || '#inf', q.a, q.b, l - (z.c1 - x.c1 + x.lf), FROM bins q JOIN lfs x ON x.series_id = q.series_id AND x.k = q.a JOIN lfs z ON z.series_id = q.series_id AND z.k = q.b)"""
+
+
+@register("stream_dispersions_daily", o.query(o.DAILY, o.Chain(30, M).bins(), _LFS, _DISPERSED, _recursion(1 / 100), """
+    whole AS (SELECT split_part(series_id, '#', 1) AS series_id, CASE WHEN split_part(series_id, '#', 2) = 'inf' THEN 0.0 ELSE 1 / split_part(series_id, '#', 2)::DOUBLE END AS inverse, zz[31] AS v FROM z WHERE t = 29)""", recursive=True,
+    select=f"SELECT series_id, {o.rounded('inverse')} AS inverse, {o.rounded('exp(v - mx) / sum(exp(v - mx)) OVER (PARTITION BY series_id)')} AS weight FROM (SELECT *, max(v) OVER (PARTITION BY series_id) AS mx FROM whole)"))
+def stream_dispersions_daily(spark, sf_dir):
+    """Weights by the inverse of the dispersion (0: Poisson)."""
+    out = live.dispersions(gathered(spark, sf_dir), expected_run_length=100.0, prune=0.0)
+    return out.select("series_id", r6(1 / F.col("dispersion"), "inverse"), r6("weight", "weight"))
+
+
+@register("pit_uniformity", o.query(*_HOURLY, "ranked AS (SELECT series_id, pit, row_number() OVER (PARTITION BY series_id ORDER BY pit) AS i, count(*) OVER (PARTITION BY series_id) AS n FROM pits)", recursive=True,
+    select=f"SELECT series_id, any_value(n) AS n, {o.rounded('max(greatest(i / n - pit, pit - (i - 1) / n))')} AS ks FROM ranked GROUP BY 1"))
 def pit_uniformity(spark, sf_dir):
-    return baselines.ks_distance(live.replay_stream(exact.gather(hourly(spark, sf_dir), weak=1.0), "poisson", expected_run_length=200.0))
+    ks = baselines.ks_distance(live.replay_stream(exact.gather(hourly(spark, sf_dir), weak=1.0), "poisson", **_UNMERGED))
+    return ks.select("series_id", F.col("n").cast("long").alias("n"), r6("ks", "ks"))
 
 
-@register("surprise_summary")
+@register("surprise_summary", o.query(*_HOURLY, recursive=True,
+    select=f"SELECT series_id, count(*) AS n, sum(CASE WHEN pit >= 0.99 THEN 1 ELSE 0 END)::BIGINT AS alarms, {o.rounded('avg(CASE WHEN pit >= 0.99 THEN 1.0 ELSE 0.0 END)')} AS share FROM pits GROUP BY 1"))
 def surprise_summary(spark, sf_dir):
-    return baselines.surprises(live.replay_stream(exact.gather(hourly(spark, sf_dir), weak=1.0), "poisson", expected_run_length=200.0), 0.99)
+    out = baselines.surprises(live.replay_stream(exact.gather(hourly(spark, sf_dir), weak=1.0), "poisson", **_UNMERGED), 0.99)
+    return out.select("series_id", F.col("n").cast("long").alias("n"), F.col("alarms").cast("long").alias("alarms"), r6("share", "share"))
 
 
 # Structured Streaming
@@ -674,66 +754,83 @@ def streamed_change_points(spark, sf_dir):
 # Grids and hierarchies
 
 
-def month_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders by region and month of 1995, as a grid."""
-    up = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_regionkey").alias("r"))
-    made = table(spark, sf_dir, "orders").where("year(o_orderdate) = 1995").select("o_custkey", (F.month("o_orderdate") - 1).alias("c"))
-    counts = made.join(up, F.col("o_custkey") == F.col("c_custkey")).groupBy("r", "c").agg(F.count(F.lit(1)).cast("double").alias("y"))
-    cells = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("r")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(11))))
-    return cells.join(counts, ["r", "c"], "left").select(F.lit("1995").alias("grid_id"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.coalesce("y", F.lit(0.0)).alias("y"), F.lit(1.0).alias("e"))
-
-
 def month_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders by region and month, a grid for each year from the first to the last; the last grid ends with the last month that has orders."""
+    """Orders by region and month, a grid of twelve months for each year from the first to the last."""
     up = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_regionkey").alias("r"))
     made = table(spark, sf_dir, "orders").select("o_custkey", F.trunc("o_orderdate", "month").alias("at"))
     counts = made.join(up, F.col("o_custkey") == F.col("c_custkey")).groupBy("r", "at").agg(F.count(F.lit(1)).cast("double").alias("y"))
-    axis_ = made.agg(F.trunc(F.min("at"), "year").alias("first"), F.max("at").alias("last")).where("last IS NOT NULL").select(F.explode(F.sequence("first", "last", F.expr("INTERVAL 1 MONTH"))).alias("at"))
+    axis_ = made.agg(F.trunc(F.min("at"), "year").alias("first"), F.add_months(F.trunc(F.max("at"), "year"), 11).alias("last")).where("last IS NOT NULL").select(F.explode(F.sequence("first", "last", F.expr("INTERVAL 1 MONTH"))).alias("at"))
     cells = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("r")).crossJoin(axis_)
     return cells.join(counts, ["r", "at"], "left").select(F.year("at").cast("string").alias("grid_id"), F.col("r").cast("int").alias("r"), (F.month("at") - 1).cast("int").alias("c"), F.coalesce("y", F.lit(0.0)).alias("y"), F.lit(1.0).alias("e"))
 
 
-@register("month_grid", "SELECT '1995' AS grid_id, n_regionkey AS r, (month(o_orderdate) - 1)::INTEGER AS c, count(*)::DOUBLE AS y, 1.0::DOUBLE AS e FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE year(o_orderdate) = 1995 GROUP BY 1, 2, 3")
-def month_grid_query(spark, sf_dir):
-    return month_grid(spark, sf_dir)
+_MONTHS = """
+    years AS (SELECT unnest(range(min(year(o_orderdate)), max(year(o_orderdate)) + 1)) AS year FROM orders),
+    made AS (SELECT year(o_orderdate) AS year, n_regionkey AS r, (month(o_orderdate) - 1)::INTEGER AS c, count(*)::DOUBLE AS y FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3),
+    cells AS MATERIALIZED (SELECT years.year::VARCHAR AS grid_id, r_regionkey::INTEGER AS r, m.c::INTEGER AS c, coalesce(y, 0.0)::DOUBLE AS y, 1.0::DOUBLE AS e FROM region CROSS JOIN years CROSS JOIN (SELECT unnest(range(12)) AS c) m
+        LEFT JOIN made ON made.year = years.year AND made.r = r_regionkey AND made.c = m.c)"""
 
 
-_MONTHS = "grid AS (SELECT n_regionkey AS r, (month(o_orderdate) - 1)::INTEGER AS c, count(*)::DOUBLE AS y FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE year(o_orderdate) = 1995 GROUP BY 1, 2)"
+@register("month_grid", o.query(_MONTHS, select="SELECT * FROM cells"))
+def month_grid(spark, sf_dir):
+    return month_grids(spark, sf_dir)
 
 
 def _two_level() -> list[str | o.Chain]:
-    bands = """cells AS (SELECT r_regionkey AS r, m.c, coalesce(y, 0) AS y FROM region CROSS JOIN (SELECT unnest(range(12)) AS c) m LEFT JOIN grid ON grid.r = r_regionkey AND grid.c = m.c),
-    ser AS (SELECT x.r || '-' || z.r AS series_id, x.r AS r0, z.r AS r1, g.c::INTEGER AS k, sum(g.y) AS y, count(*)::DOUBLE AS e FROM (SELECT DISTINCT r FROM cells) x JOIN (SELECT DISTINCT r FROM cells) z ON z.r >= x.r
-        JOIN cells g ON g.r BETWEEN x.r AND z.r GROUP BY 1, 2, 3, 4),
+    bands = """
+    ser AS (SELECT x.grid_id || '-' || x.r || '-' || z.r AS series_id, x.grid_id, x.r AS r0, z.r AS r1, g.c::INTEGER AS k, sum(g.y) AS y, count(*)::DOUBLE AS e FROM (SELECT DISTINCT grid_id, r FROM cells) x
+        JOIN (SELECT DISTINCT grid_id, r FROM cells) z ON z.grid_id = x.grid_id AND z.r >= x.r JOIN cells g ON g.grid_id = x.grid_id AND g.r BETWEEN x.r AND z.r GROUP BY 1, 2, 3, 4, 5),
     prior AS (SELECT DISTINCT series_id, 1.0::DOUBLE AS p1, 0.02::DOUBLE AS p2 FROM ser)"""
-    columns = o.Chain(12, 4).bins().forward()
+    columns = o.full(12, 4)
     parts = " UNION ALL ".join(f"SELECT series_id, v - (lgamma(12) - lgamma({m + 1}) - lgamma({12 - m})) AS x FROM f{m} WHERE k = 11" for m in range(5))
     columns.ctes.append(f"marg AS ({o.lse(parts, 'series_id')})")
-    columns.ctes.append("r_bins AS MATERIALIZED (SELECT DISTINCT '1995' AS series_id, r0 AS a, r1 AS b, v - ln(5) AS l FROM marg JOIN ser USING (series_id))")
-    rows = o.Chain(5, 4, p="r_").forward()
-    last = " UNION ALL ".join(f"SELECT series_id, v - (lgamma(5) - lgamma({m + 1}) - lgamma({5 - m})) AS x FROM r_f{m} WHERE k = 4" for m in range(5))
-    rows.ctes.append(f"total AS ({o.lse(last, 'series_id')})")
+    columns.ctes.append("r_ser AS (SELECT DISTINCT grid_id AS series_id, r0 AS k, 0.0::DOUBLE AS y, 1.0::DOUBLE AS e FROM ser)")
+    columns.ctes.append("r_bins AS MATERIALIZED (SELECT DISTINCT grid_id AS series_id, r0 AS a, r1 AS b, v - ln(5) AS l, 0.0 AS m1, 0.0 AS m2, 0.0 AS n1, 0.0 AS n2 FROM marg JOIN ser USING (series_id))")
+    rows = o.Chain(5, 4, ser="r_ser", p="r_").forward().backward().evidences().bin_posterior()
     return [_MONTHS, bands, columns, rows]
 
 
-@register("two_level_evidence", o.query(*_two_level(), select=f"SELECT series_id AS grid_id, {o.rounded('v - ln(5)')} AS log_marginal FROM total"))
+@register("two_level_evidence", o.query(*_two_level(), select=f"SELECT series_id AS grid_id, {o.rounded('any_value(total) - ln(5)')} AS log_marginal FROM r_post GROUP BY 1"))
 def two_level_evidence(spark, sf_dir):
-    return grid.two_level(month_grid(spark, sf_dir), 1.0, 0.02, 4, 4)[0].select("grid_id", r6("log_marginal", "log_marginal"))
+    return grid.two_level(month_grids(spark, sf_dir), 1.0, 0.02, 4, 4)[0].select("grid_id", r6("log_marginal", "log_marginal"))
 
 
-@register("two_level_rates")
+@register("two_level_rates", o.query(*_two_level(), """
+    mixed AS (SELECT g.grid_id, g.r, q.k AS c, sum(w) AS w, sum(w * rate) AS w1, sum(w * (rate * rate + rate_std * rate_std)) AS w2 FROM (SELECT DISTINCT grid_id, r FROM cells) g
+        JOIN r_w b ON b.series_id = g.grid_id AND g.r BETWEEN b.a AND b.b JOIN rates q ON q.series_id = b.series_id || '-' || b.a || '-' || b.b GROUP BY 1, 2, 3)""",
+    select=f"SELECT grid_id, r, c::INTEGER AS c, {o.rounded('w1 / w', 5)} AS rate, {o.rounded('sqrt(greatest(w2 / w - (w1 / w) * (w1 / w), 0))', 5)} AS rate_std FROM mixed"))
 def two_level_rates(spark, sf_dir):
-    return grid.two_level(month_grids(spark, sf_dir), 1.0, 0.02, 4, 4)[1]
-
-
-@register("guillotine")
+    out = grid.two_level(month_grids(spark, sf_dir), 1.0, 0.02, 4, 4)[1]
+    return out.select("grid_id", "r", "c", *((F.round(x, 5) + F.lit(0.0)).alias(x) for x in ("rate", "rate_std")))
+
+
+def _guillotine(h: int, w: int, rho: float, alpha: str, beta: str) -> list[str]:
+    """Rectangles by size: every size from the sizes below it. ``cells`` has grid_id, r, c, y, e, p1, p2."""
+    out = ["""area AS MATERIALIZED (SELECT x.grid_id, x.r, x.c, z.r - x.r + 1 AS h, z.c - x.c + 1 AS w, sum(g.y) AS y, sum(g.e) AS e, any_value(x.p1) AS p1, any_value(x.p2) AS p2 FROM cells x JOIN cells z ON z.grid_id = x.grid_id AND z.r >= x.r AND z.c >= x.c
+        JOIN cells g ON g.grid_id = x.grid_id AND g.r BETWEEN x.r AND z.r AND g.c BETWEEN x.c AND z.c GROUP BY 1, 2, 3, 4, 5)""",
+        f"own AS MATERIALIZED (SELECT *, {alpha} * ln({beta}) - lgamma({alpha}) + lgamma(y + {alpha}) - (y + {alpha}) * ln(e + {beta}) AS l FROM area)",
+        "z1x1 AS (SELECT grid_id, h, w, r, c, l AS v FROM own WHERE h = 1 AND w = 1)"]
+    name = lambda i, j: f"z{i}x{j}"
+    for i in range(1, h + 1):
+        for j in range(1, w + 1):
+            if i == j == 1:
+                continue
+            ways = (i > 1) + (j > 1)
+            parts = [f"SELECT x.grid_id, x.r, x.c, x.v + z.v - ln({i - 1}) AS x FROM {name(k, j)} x JOIN {name(i - k, j)} z ON z.grid_id = x.grid_id AND z.r = x.r + {k} AND z.c = x.c" for k in range(1, i)]
+            parts += [f"SELECT x.grid_id, x.r, x.c, x.v + z.v - ln({j - 1}) AS x FROM {name(i, k)} x JOIN {name(i, j - k)} z ON z.grid_id = x.grid_id AND z.r = x.r AND z.c = x.c + {k}" for k in range(1, j)]
+            both = f"greatest(ln({rho}) + l, s) + ln(1 + exp(-abs(ln({rho}) + l - s)))"
+            out.append(f"{name(i, j)} AS MATERIALIZED (SELECT grid_id, h, w, r, c, {both} AS v FROM (SELECT own.*, ln({1 - rho}) - ln({ways}) + q.v AS s FROM own JOIN ({o.lse(' UNION ALL '.join(parts), 'grid_id, r, c')}) q USING (grid_id, r, c) WHERE h = {i} AND w = {j}))")
+    return out
+
+
+@register("guillotine", o.query(_MONTHS.replace("1.0::DOUBLE AS e FROM region", "1.0::DOUBLE AS e, 1.0 AS p1, 0.02 AS p2 FROM region"), *_guillotine(5, 12, 0.5, "p1", "p2"), select=f"SELECT grid_id, {o.rounded('v')} AS log_evidence FROM z5x12"))
 def guillotine(spark, sf_dir):
-    return grid.guillotine(month_grids(spark, sf_dir), 1.0, 0.02, 0.5)
+    return grid.guillotine(month_grids(spark, sf_dir), 1.0, 0.02, 0.5).select("grid_id", r6("log_evidence", "log_evidence"))
 
 
-@register("binary_tree")
+@register("binary_tree", o.query(o.DAILY, "cells AS (SELECT series_id AS grid_id, 0 AS r, k AS c, y, e, p1, p2 FROM ser JOIN prior USING (series_id))", *_guillotine(1, 30, 0.5, "p1", "p2"), select=f"SELECT grid_id AS series_id, {o.rounded('v')} AS log_evidence FROM z1x30"))
 def binary_tree(spark, sf_dir):
-    return grid.binary_tree(gathered(spark, sf_dir), 0.5)
+    return grid.binary_tree(gathered(spark, sf_dir), 0.5).select("series_id", r6("log_evidence", "log_evidence"))
 
 
 _TREE = """
@@ -835,10 +932,32 @@ def tree_best_prior(spark, sf_dir):
     return tree.best_prior(customers_tree(spark, sf_dir), _SETTINGS).select("alpha", "beta", "rho", r6("log_z", "log_z"))
 
 
-@register("tree_held_out")
+def _half(text: str, prefix: str) -> str:
+    """The same tables for the orders that are learnt from, with names of their own."""
+    text = re.sub(r"\b(leaf|mid|top|root)(_[zb])?\b", rf"{prefix}_\1\2", text)
+    return text.replace("LEFT JOIN orders ON o_custkey = c_custkey", "LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 2 = 0) o ON o_custkey = c_custkey")
+
+
+_GAINS = " UNION ALL ".join(f"SELECT x.l - t.l AS gain FROM {n}_z x JOIN b_{n}_z t ON t.node = x.node JOIN b_{n}_b b ON b.node = x.node WHERE NOT b.cut" for n, _ in _EACH)
+
+
+@register("tree_held_out", o.query(_TREE, _tree_z(), _half(_TREE, "h"), _half(_tree_z(), "h"), _half(_TREE, "b"), _half(_tree_z(True), "b"), _half(_tree_best(), "b"),
+    select=f"SELECT {o.rounded('(SELECT z FROM root_z) - (SELECT z FROM h_root_z)')} AS log_p_tree, {o.rounded(f'(SELECT sum(gain) FROM ({_GAINS}))')} AS log_p_best"))
 def tree_held_out(spark, sf_dir):
+    """What all orders add to the even ones, averaged over cuts and in the best partition of the even ones."""
     first = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0")
-    return tree.held_out(customers_tree(spark, sf_dir, first), customers_tree(spark, sf_dir), _TA, _TB, _RHO)
+    out = tree.held_out(customers_tree(spark, sf_dir, first), customers_tree(spark, sf_dir), _TA, _TB, _RHO)
+    return out.select(r6("log_p_tree", "log_p_tree"), r6("log_p_best", "log_p_best"))
+
+
+@register("tree_lookup", o.query(_TREE, _tree_z(True), _tree_best(), select="""
+    SELECT l.node AS place, CASE WHEN NOT r.cut THEN r.node WHEN NOT t.cut THEN t.node WHEN NOT m.cut THEN m.node ELSE l.node END AS node
+    FROM leaf l JOIN mid mm ON mm.node = l.parent JOIN top tt ON tt.node = mm.parent CROSS JOIN root_b r LEFT JOIN top_b t ON t.node = tt.node LEFT JOIN mid_b m ON m.node = mm.node"""))
+def tree_lookup(spark, sf_dir):
+    """The bin of the best partition that holds each customer."""
+    nodes = customers_tree(spark, sf_dir)
+    bins = Scratch(spark, "lookup").cut(tree.best_partition(nodes, _TA, _TB, _RHO))
+    return tree.lookup(nodes, bins, nodes.where("node LIKE 'c%'").select(F.col("node").alias("place"), "node"), 3)
 
 
 @register("merge_neighbours")
@@ -860,9 +979,10 @@ def _dyadic(levels: int) -> str:
     return ",\n    ".join(out)
 
 
-@register("dyadic_tree", o.query(o.HOURLY, "flat AS (SELECT types.series_id, r.k, coalesce(y, 0.0)::DOUBLE AS y, 1.0::DOUBLE AS e FROM types CROSS JOIN (SELECT unnest(range(512)) AS k) r LEFT JOIN counted c ON c.series_id = types.series_id AND c.k = r.k)", _dyadic(9), select=f"SELECT series_id, {o.rounded('z')} AS log_evidence FROM d9"))
+@register("dyadic_tree", o.query(o.HOURLY, "flat AS (SELECT types.series_id, r.k, coalesce(y, 0.0)::DOUBLE AS y, 1.0::DOUBLE AS e FROM types CROSS JOIN (SELECT unnest(range(720)) AS k) r LEFT JOIN counted c ON c.series_id = types.series_id AND c.k = r.k)", _dyadic(10), select=f"SELECT series_id, {o.rounded('z')} AS log_evidence FROM d10"))
 def dyadic_tree(spark, sf_dir):
-    return tree.dyadic(hourly(spark, sf_dir, 511), 512, 2.0, 0.5, 0.5).select("series_id", r6("log_evidence", "log_evidence"))
+    # The 304 places after the last hour have no exposure: their evidence is 1.
+    return tree.dyadic(hourly(spark, sf_dir), 1024, 2.0, 0.5, 0.5).select("series_id", r6("log_evidence", "log_evidence"))
 
 
 # Baselines
@@ -904,3 +1024,49 @@ def fit_coverage(spark, sf_dir):
     truth = d.join(d.groupBy("series_id").agg(F.avg("y").alias("true_rate")), "series_id").select("series_id", "k", "true_rate")
     rates = fit.by_k(fit.fit(exact.gather(d, weak=1.0), "poisson", M))
     return baselines.rms_error(rates, truth).join(baselines.coverage(rates, truth, 2.0), "series_id").select("series_id", r6("rms", "rms"), r6("covered", "covered"))
+
+
+_SDS = [0.7, 1.5, 3.0, 6.0]
+
+
+@register("best_bandwidth", o.query(o.DAILY, f"""
+    tried AS (SELECT x.series_id, sd, sum(x.y * z.y * exp(-((x.k - z.k) ** 2) / (4 * sd * sd))) / (2 * sqrt(pi()) * sd) - 2 * (sum(x.y * z.y * exp(-((x.k - z.k) ** 2) / (2 * sd * sd))) - sum(CASE WHEN x.k = z.k THEN x.y ELSE 0 END)) / (sqrt(2 * pi()) * sd) AS cost
+        FROM ser x JOIN ser z ON z.series_id = x.series_id CROSS JOIN (SELECT unnest({_SDS}::DOUBLE[]) AS sd) GROUP BY 1, 2)""", select=f"SELECT series_id, arg_min(sd, cost) AS sd, {o.rounded('min(cost) / 100', 4)} AS cost FROM tried GROUP BY 1"))
+def best_bandwidth(spark, sf_dir):
+    return baselines.best_bandwidth(gathered(spark, sf_dir), _SDS, 10).select("series_id", "sd", (F.round("cost", 4) + F.lit(0.0)).alias("cost"))
+
+
+@register("sliding_windows", """
+    SELECT event_type AS series_id, time_bucket(INTERVAL 1 HOUR, ts) - to_hours(back) AS start, count(*)::DOUBLE AS y FROM events CROSS JOIN (SELECT unnest([0, 1]) AS back) WHERE event_type IS NOT NULL GROUP BY 1, 2""")
+def sliding_windows(spark, sf_dir):
+    out = watched.sliding_counts(table(spark, sf_dir, "events").where("event_type IS NOT NULL"), F.col("event_type"), "ts", "2 hours", "1 hour")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@register("session_windows", """
+    WITH marked AS (SELECT event_type, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 15 MINUTE THEN 1 ELSE 0 END AS new FROM events WHERE event_type IS NOT NULL WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+    named AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM marked)
+    SELECT event_type AS series_id, min(ts) AS start, max(ts) + INTERVAL 15 MINUTE AS "end", count(*)::DOUBLE AS y FROM named GROUP BY event_type, s""")
+def session_windows(spark, sf_dir):
+    out = watched.session_counts(table(spark, sf_dir, "events").where("event_type IS NOT NULL"), F.col("event_type"), "ts", "15 minutes")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@register("sql_table_function", o.query(o.DAILY, FULL, select=_RATES))
+def sql_table_function(spark, sf_dir):
+    sql.register(spark)
+    daily(spark, sf_dir).createOrReplaceTempView("daily_series")
+    return _rates(spark.sql(f"SELECT * FROM bin_fit(TABLE(daily_series), {M})"))
+
+
+@register("sql_functions", f"""
+    WITH q AS (SELECT DISTINCT l_quantity::DOUBLE AS a, l_linenumber::DOUBLE AS b FROM lineitem)
+    SELECT a, b, {o.rounded('lgamma(a + 0.5)')} AS lg, {o.rounded('lgamma(a) + lgamma(b) - lgamma(a + b)')} AS lb, {o.rounded('a * ln(b)')} AS xl, {o.rounded('lgamma(a + b + 1) - lgamma(b + 1) - lgamma(a + 1)')} AS lc,
+        {o.rounded('greatest(a, b) + ln(1 + exp(-abs(a - b)))')} AS la, {o.rounded('list_sum(list_transform(range(b::BIGINT), lambda j: exp(j * ln(a / 5) - a / 5 - lgamma(j + 1))))')} AS gq,
+        {o.rounded('1 - list_sum(list_transform(range(b::BIGINT), lambda j: exp(j * ln(a / 5) - a / 5 - lgamma(j + 1))))')} AS gp,
+        {o.rounded('list_sum(list_transform(range(a::BIGINT, (a + b)::BIGINT), lambda j: exp(lgamma(a + b) - lgamma(j + 1) - lgamma(a + b - j) + j * ln(0.7123) + (a + b - 1 - j) * ln(0.2877))))')} AS ib FROM q""")
+def sql_functions(spark, sf_dir):
+    sql.register(spark)
+    table(spark, sf_dir, "lineitem").selectExpr("CAST(l_quantity AS DOUBLE) AS a", "CAST(l_linenumber AS DOUBLE) AS b").distinct().createOrReplaceTempView("quantities")
+    out = spark.sql("SELECT a, b, lgamma(a + 0.5) AS lg, betaln(a, b) AS lb, xlogy(a, b) AS xl, log_binom(a + b, b) AS lc, log_add(a, b) AS la, gammaincc(b, a / 5) AS gq, gammainc(b, a / 5) AS gp, betainc(a, b, CAST(0.7123 AS DOUBLE)) AS ib FROM quantities")
+    return out.select("a", "b", *(r6(c, c) for c in ("lg", "lb", "xl", "lc", "la", "gq", "gp", "ib")))

@@ -25,6 +25,11 @@ HOURLY = """
     types AS (SELECT DISTINCT event_type AS series_id FROM events WHERE event_type IS NOT NULL),
     counted AS (SELECT event_type AS series_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 3600000000 AS k, count(*)::DOUBLE AS y FROM events GROUP BY 1, 2)"""
 
+HOURS = HOURLY + """,
+    ser AS (SELECT types.series_id, r.k::INTEGER AS k, coalesce(y, 0.0)::DOUBLE AS y, 1.0::DOUBLE AS e
+        FROM types CROSS JOIN (SELECT unnest(range(720)) AS k) r LEFT JOIN counted c ON c.series_id = types.series_id AND c.k = r.k),
+    prior AS (SELECT series_id, 1.0::DOUBLE AS p1, 1.0 / (greatest(sum(y), 0.5) / sum(e)) AS p2 FROM ser GROUP BY 1)"""
+
 FOLDED = HOURLY + """,
     flat AS (SELECT types.series_id, r.k::INTEGER AS k, coalesce(y, 0.0)::DOUBLE AS y, 1.0::DOUBLE AS e
         FROM types CROSS JOIN (SELECT unnest(range(720)) AS k) r LEFT JOIN counted c ON c.series_id = types.series_id AND c.k = r.k),
@@ -32,8 +37,8 @@ FOLDED = HOURLY + """,
     prior AS (SELECT series_id, 1.0::DOUBLE AS p1, 1.0 / (greatest(sum(y), 0.5) / sum(e)) AS p2 FROM ser GROUP BY 1)"""
 
 USERS = """
-    once AS (SELECT DISTINCT user_id, ((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 3600000000)::INTEGER AS k FROM events WHERE ts < TIMESTAMP '2024-01-02'),
-    users AS (SELECT user_id, row_number() OVER (ORDER BY lpad(user_id::VARCHAR, 12, '0')) AS r FROM (SELECT DISTINCT user_id FROM events))"""
+    once AS (SELECT DISTINCT lpad(user_id::VARCHAR, 12, '0') || strftime(ts, '-%Y-%m-%d') AS trial, hour(ts)::INTEGER AS k FROM events WHERE user_id IS NOT NULL),
+    users AS (SELECT trial, row_number() OVER (ORDER BY trial) AS r FROM (SELECT DISTINCT trial FROM once))"""
 
 
 def user_series(name: str, where: str) -> str:
@@ -41,7 +46,7 @@ def user_series(name: str, where: str) -> str:
     {name}n AS (SELECT count(*) AS n FROM users WHERE {where}),
     {name} AS (SELECT 'users' AS series_id, r.k::INTEGER AS k, coalesce(s, 0)::DOUBLE AS y, (n - coalesce(s, 0))::DOUBLE AS e
         FROM (SELECT unnest(range(24)) AS k) r CROSS JOIN {name}n
-        LEFT JOIN (SELECT k, count(*) AS s FROM once JOIN users USING (user_id) WHERE {where} GROUP BY 1) c ON c.k = r.k)"""
+        LEFT JOIN (SELECT k, count(*) AS s FROM once JOIN users USING (trial) WHERE {where} GROUP BY 1) c ON c.k = r.k)"""
 
 
 @dataclass
