@@ -6,7 +6,7 @@ is a partial aggregate by parent. Several prior settings go through the same loo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ratestep.plans.exact import log_add, log_gamma
@@ -19,25 +19,17 @@ def log_evidence(y: Column, e: Column, alpha: Column, beta: Column) -> Column:
 
 
 def levels(nodes: DataFrame, scratch: Scratch) -> list[DataFrame]:
-    """Nodes by depth from the roots, with total counts and exposures; written once."""
-    out, now = [], nodes.where(F.col("parent").isNull()).select("node", "parent", "y", "exposure")
-    while True:
-        now = scratch.cut(now, "level")
-        if now.isEmpty():
-            break
+    """Nodes by depth from the roots; written once each, and counted while they are written."""
+    nodes = scratch.cut(nodes.select("node", "parent", F.coalesce("y", F.lit(0.0)).alias("y"), F.coalesce("exposure", F.lit(0.0)).alias("exposure")), "nodes")
+    out, now = [], nodes.where(F.col("parent").isNull())
+    while len(out) <= 64:
+        seen = Observation()
+        now = scratch.cut(now.observe(seen, F.count(F.lit(1)).alias("n")), "level")
+        if not seen.get.get("n"):
+            return out
         out.append(now)
-        if len(out) > 64:
-            raise ValueError("the hierarchy has a cycle, or more than 64 levels")
         now = nodes.join(now.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", "parent", "y", "exposure")
-    # Totals upwards: an inner node's own y and exposure are added to its children's.
-    below = None
-    for k in range(len(out) - 1, -1, -1):
-        x = out[k].select("node", "parent", F.coalesce("y", F.lit(0.0)).alias("y"), F.coalesce("exposure", F.lit(0.0)).alias("exposure"))
-        if below is not None:
-            up = below.groupBy(F.col("parent").alias("node")).agg(F.sum("y").alias("cy"), F.sum("exposure").alias("ce"))
-            x = x.join(up, "node", "left").select("node", "parent", (F.col("y") + F.coalesce("cy", F.lit(0.0))).alias("y"), (F.col("exposure") + F.coalesce("ce", F.lit(0.0))).alias("exposure"))
-        below = out[k] = scratch.cut(x, "totals")
-    return out
+    raise ValueError("the hierarchy has a cycle, or more than 64 levels")
 
 
 def _grid(df: DataFrame, grid: list[tuple[float, float, float]]) -> DataFrame:
@@ -47,32 +39,47 @@ def _grid(df: DataFrame, grid: list[tuple[float, float, float]]) -> DataFrame:
 def evidences(by_level: list[DataFrame], grid: list[tuple[float, float, float]], scratch: Scratch, *, best: bool = False) -> list[DataFrame]:
     """For each level (g, node, parent, y, exposure, L, Z, Zc): evidence as one bin, of the subtree, and of its cut children (null at a leaf).
 
-    With ``best`` the larger of the two ways is taken instead of their sum.
+    Counts and exposures are totals of the subtree: an inner node's own are added to its children's. With ``best`` the larger of the two ways is
+    taken instead of their sum.
     """
     out: list[DataFrame] = [None] * len(by_level)
     below = None
     for k in range(len(by_level) - 1, -1, -1):
         x = _grid(by_level[k], grid)
-        x = x.withColumn("L", log_evidence(F.col("y"), F.col("exposure"), F.col("g.alpha"), F.col("g.beta")))
         if below is None:
             x = x.withColumn("Zc", F.lit(None).cast("double"))
         else:
-            up = below.groupBy("g", F.col("parent").alias("node")).agg(F.sum("Z").alias("Zc"))
-            x = x.join(up, ["g", "node"], "left")
+            up = below.groupBy("g", F.col("parent").alias("node")).agg(F.sum("y").alias("cy"), F.sum("exposure").alias("ce"), F.sum("Z").alias("Zc"))
+            add = {c: F.col(c) + F.coalesce(more, F.lit(0.0)) for c, more in (("y", "cy"), ("exposure", "ce"))}
+            x = x.join(up, ["g", "node"], "left").withColumns(add)
+        x = x.withColumn("L", log_evidence(F.col("y"), F.col("exposure"), F.col("g.alpha"), F.col("g.beta")))
         whole, cut = F.log(F.col("g.rho")) + F.col("L"), F.log1p(-F.col("g.rho")) + F.col("Zc")
         z = F.when(F.col("Zc").isNull() | (F.col("y") == 0), F.col("L")).otherwise(F.greatest(whole, cut) if best else log_add(whole, cut))
         below = out[k] = scratch.cut(x.select("g", "node", "parent", "y", "exposure", "L", z.alias("Z"), F.when(F.col("y") > 0, F.col("Zc")).alias("Zc")), "z")
     return out
 
 
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def _by_node(by_level: list[DataFrame], setting: tuple[float, float, float], scratch: Scratch) -> DataFrame:
+    each = evidences(by_level, [setting], scratch)
+    return _all([x.select("node", F.lit(k).alias("level"), "y", "exposure", F.col("L").alias("log_bin"), F.col("Z").alias("log_z")) for k, x in enumerate(each)])
+
+
 def tree_evidence(nodes: DataFrame, alpha: float, beta: float, rho: float, *, scratch: Scratch | None = None) -> DataFrame:
     """(node, level, y, exposure, log_bin, log_z): every node's evidence as one bin, and over all ways to cut below it."""
     scratch = scratch or Scratch(nodes.sparkSession, "tree")
-    out = None
-    for k, x in enumerate(evidences(levels(nodes, scratch), [(alpha, beta, rho)], scratch)):
-        part = x.select("node", F.lit(k).alias("level"), "y", "exposure", F.col("L").alias("log_bin"), F.col("Z").alias("log_z"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _by_node(levels(nodes, scratch), (alpha, beta, rho), scratch)
+
+
+def _carried(x: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """What is handed down a level; written at every fourth one, so that plans stay short."""
+    return scratch.cut(x, "down") if k % 4 == 3 else x
 
 
 def tree_posterior(nodes: DataFrame, alpha: float, beta: float, rho: float, *, scratch: Scratch | None = None) -> DataFrame:
@@ -81,31 +88,34 @@ def tree_posterior(nodes: DataFrame, alpha: float, beta: float, rho: float, *, s
     A node below a subtree without events is never reached: that subtree is one bin.
     """
     scratch = scratch or Scratch(nodes.sparkSession, "tree")
-    out, reach = None, None
+    parts, reach = [], None
     for k, x in enumerate(evidences(levels(nodes, scratch), [(alpha, beta, rho)], scratch)):
         own = F.when(F.col("Zc").isNull(), F.lit(1.0)).otherwise(F.exp(F.log(F.lit(rho)) + F.col("L") - F.col("Z")))
         x = x.withColumn("own", own)
         x = x.withColumn("reach", F.lit(1.0)) if reach is None else x.join(reach, "parent").withColumn("reach", F.col("r"))
-        x = scratch.cut(x.select("node", "parent", F.lit(k).alias("level"), (F.col("reach") * F.col("own")).alias("p_bin"), ((F.col("y") + alpha) / (F.col("exposure") + beta)).alias("rate"), (F.col("reach") * (1 - F.col("own"))).alias("r")), "down")
+        x = x.select("node", "parent", F.lit(k).alias("level"), (F.col("reach") * F.col("own")).alias("p_bin"), ((F.col("y") + alpha) / (F.col("exposure") + beta)).alias("rate"), (F.col("reach") * (1 - F.col("own"))).alias("r"))
+        x = _carried(x, k, scratch)
         reach = x.select(F.col("node").alias("parent"), "r")
-        part = x.drop("r")
-        out = part if out is None else out.unionByName(part)
-    return out
+        parts.append(x.drop("r"))
+    return _all(parts)
 
 
-def best_partition(nodes: DataFrame, alpha: float, beta: float, rho: float, *, scratch: Scratch | None = None) -> DataFrame:
-    """(node, level, y, exposure): the bins of the most probable partition; a tie stays whole."""
-    scratch = scratch or Scratch(nodes.sparkSession, "tree")
-    out, open_ = None, None
-    for k, x in enumerate(evidences(levels(nodes, scratch), [(alpha, beta, rho)], scratch, best=True)):
+def _best(by_level: list[DataFrame], setting: tuple[float, float, float], scratch: Scratch) -> DataFrame:
+    parts, open_, rho = [], None, setting[2]
+    for k, x in enumerate(evidences(by_level, [setting], scratch, best=True)):
         x = x.withColumn("cut", F.coalesce(F.log1p(F.lit(-rho)) + F.col("Zc") > F.log(F.lit(rho)) + F.col("L"), F.lit(False)))
         if open_ is not None:
             x = x.join(open_, "parent", "left_semi")
-        x = scratch.cut(x.select("node", F.lit(k).alias("level"), "y", "exposure", "cut"), "best")
+        x = _carried(x.select("node", F.lit(k).alias("level"), "y", "exposure", "cut"), k, scratch)
         open_ = x.where("cut").select(F.col("node").alias("parent"))
-        part = x.where(~F.col("cut")).drop("cut")
-        out = part if out is None else out.unionByName(part)
-    return out
+        parts.append(x.where(~F.col("cut")).drop("cut"))
+    return _all(parts)
+
+
+def best_partition(nodes: DataFrame, alpha: float, beta: float, rho: float, *, scratch: Scratch | None = None) -> DataFrame:
+    """(node, level, y, exposure): the bins of the most probable partition; a tie stays whole."""
+    scratch = scratch or Scratch(nodes.sparkSession, "tree")
+    return _best(levels(nodes, scratch), (alpha, beta, rho), scratch)
 
 
 def prior_search(nodes: DataFrame, grid: list[tuple[float, float, float]], *, scratch: Scratch | None = None) -> DataFrame:
@@ -144,10 +154,13 @@ def lookup(nodes: DataFrame, bins: DataFrame, places: DataFrame, depth: int) ->
 def held_out(train: DataFrame, whole: DataFrame, alpha: float, beta: float, rho: float) -> DataFrame:
     """(log_p_tree, log_p_best): log predictive of what ``whole`` adds: averaged over cuts, and in the best partition of ``train``."""
     scratch = Scratch(train.sparkSession, "tree")
-    setting = [(alpha, beta, rho)]
-    z = [evidences(levels(x, scratch), setting, scratch)[0].agg(F.sum("Z").alias("z")) for x in (train, whole)]
-    best = best_partition(train, alpha, beta, rho, scratch=scratch)
-    after = tree_evidence(whole, alpha, beta, rho, scratch=scratch).select("node", F.col("log_bin").alias("l2"))
+    setting = (alpha, beta, rho)
+    by_level = [levels(x, scratch) for x in (train, whole)]
+    z = [evidences(by_level[0], [setting], scratch)[0].agg(F.sum("Z").alias("z"))]
+    best = _best(by_level[0], setting, scratch)
+    every = _by_node(by_level[1], setting, scratch)
+    z.append(every.where("level = 0").agg(F.sum("log_z").alias("z")))
+    after = every.select("node", F.col("log_bin").alias("l2"))
     a, b = F.lit(float(alpha)), F.lit(float(beta))
     fixed = best.join(after, "node").agg(F.sum(F.col("l2") - log_evidence(F.col("y"), F.col("exposure"), a, b)).alias("log_p_best"))
     both = z[0].withColumnRenamed("z", "z1").withColumn("one", F.lit(1)).join(z[1].withColumnRenamed("z", "z2").withColumn("one", F.lit(1)), "one").join(fixed.withColumn("one", F.lit(1)), "one")
