@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +71,23 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash", "stands")
 
 
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that no model decides."""
+    return secrets.report(secrets.find_secrets(_table(spark, sf_dir, "documents"), [0.0] * 67 * 67)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def toxicity_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The column of op3 that no model decides."""
+    return toxicity.score(_table(spark, sf_dir, "documents"), None).select("doc_id", "held_out")
+
+
+def language_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4 that no model decides: the fold, and whether a text has no letter (a model of one language gives it to all others)."""
+    one = langid.Model(["any"], langid.codewords(1), np.zeros((langid.BUCKETS, 1), dtype=np.float32), np.zeros(1, dtype=np.float32), np.ones(1, dtype=np.float32))
+    out = langid.identify(_table(spark, sf_dir, "documents"), one)
+    return out.select("doc_id", "held_out", (F.col("lang_pred") == langid.UNKNOWN).alias("und"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_chat": op2_chat,
@@ -81,6 +99,9 @@ QUERIES: dict[str, Query] = {
     "op8_html": op8_html,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "secret_base_spans": secret_base_spans,
+    "toxicity_folds": toxicity_folds,
+    "language_folds": language_folds,
 }
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -89,7 +110,30 @@ _WORDS10 = f"regexp_extract_all({_LOWER.format('text')}, '[^\\x20\\x09-\\x0D]+')
 _SYMBOL = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 5 * {k} + 1, 5))::BIGINT >> {s}) & 31), 1)"
 _BASE32 = " || ".join(_SYMBOL.format(k=k, s=s) for k in range(8) for s in (15, 10, 5, 0))
 
+_BITS = "list_reduce([{0}, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, i: xor(a >> 1, 3988292384 * (a & 1)))"
+_CRC32 = f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda acc, b: {_BITS.format('xor(acc, b)')}))"
+
+
+def _base_spans(name: str, kind: int, pattern: str, group: int, least: int) -> str:
+    """Rows (doc_id, kind, s, e): the pieces between matches and the matches alternate."""
+    return f"""
+        {name}_m AS (SELECT doc_id, list_transform(regexp_extract_all(t, '{pattern}'), lambda x: length(x)) AS found, list_transform(regexp_extract_all(t, '{pattern}', {group}), lambda x: length(x)) AS part,
+            list_transform(regexp_split_to_array(t, '{pattern}'), lambda x: length(x)) AS gap FROM d WHERE regexp_matches(t, '{pattern}')),
+        {name} AS (SELECT doc_id, {kind} AS kind, list_sum(gap[1:i]) + coalesce(list_sum(found[1:i - 1]), 0) AS s, list_sum(gap[1:i]) + list_sum(found[1:i]) AS e
+            FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM {name}_m) WHERE part[i] >= {least})"""
+
+
+_ASSIGN = """(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
 ORACLE: dict[str, str] = {
+    "toxicity_folds": f"SELECT doc_id, coalesce({_CRC32} % 3 = 1, false) AS held_out FROM documents",
+    "language_folds": f"SELECT doc_id, coalesce({_CRC32} % 5 = 0, false) AS held_out, NOT regexp_matches(coalesce(text, ''), '\\p{{L}}') AS und FROM documents",
+    "secret_base_spans": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),{_base_spans("a", 0, _ASSIGN, 1, 12)},{_base_spans("b", 1, "AKIA[A-Z0-9]+", 0, 18)},{_base_spans("c", 2, "[0-9a-f]+", 0, 16)},
+        every AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c),
+        named AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2,
+            string_agg(['assign', 'access', 'hex'][kind + 1] || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, kind) AS spans FROM every GROUP BY 1)
+        SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN named USING (doc_id)""",
     "op1_warc": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
         q AS (SELECT page_id, octet_length(encode(t))::BIGINT AS payload_bytes, sha1(t) AS h, min(page_id) OVER (PARTITION BY t) AS first_id FROM p)
