@@ -15,10 +15,12 @@ def test_streams_read_all_hours(spark, sf, monkeypatch, name, operator):
     assert sum(sum(r["x1"]) for r in rows) == events.where(F.col("ts") < "2024-01-31").count()
 
 
-@pytest.mark.parametrize("name, module, operator", [("two_level_rates", "grid", "two_level"), ("guillotine", "grid", "guillotine"), ("merge_neighbours", "tree", "merge_neighbours")])
-def test_grids_read_all_years(spark, sf, monkeypatch, name, module, operator):
-    monkeypatch.setattr(getattr(catalog, module), operator, lambda rows, *a: (rows, rows) if name == "two_level_rates" else rows)
-    assert catalog.QUERIES[name](spark, sf).agg(F.sum("y")).first()[0] == spark.read.parquet(f"{sf}/orders.parquet").count()
+def test_grids_and_trials_read_all_rows(spark, sf):
+    assert catalog.month_grids(spark, sf).agg(F.sum("y")).first()[0] == spark.read.parquet(f"{sf}/orders.parquet").count()
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    seen = events.select("user_id", F.date_trunc("hour", "ts")).distinct().count()
+    assert catalog.spike_counts(spark, sf).agg(F.sum("s")).first()[0] == seen
+    assert catalog.hourly(spark, sf).agg(F.sum("y")).first()[0] == events.where("event_type IS NOT NULL").count()
 
 
 def test_grids_of_the_years(spark, sf):
@@ -27,4 +29,4 @@ def test_grids_of_the_years(spark, sf):
     assert sorted(r.grid_id for r in rates) == [str(y) for y in range(first, last + 1)]
     merged = catalog.merge_neighbours(spark, sf)
     assert merged.count() == catalog.month_grids(spark, sf).count() and merged.where("node IS NULL OR merged > node").count() == 0
-    assert catalog.guillotine(spark, sf).where("isnan(log_evidence)").count() == 0
+    assert catalog.guillotine(spark, sf).where("isnan(log_evidence)").count() == 0 and catalog.month_grids(spark, sf).groupBy("grid_id").count().where("count <> 60").count() == 0
