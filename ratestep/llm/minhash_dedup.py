@@ -33,6 +33,8 @@ _SPACE[[32, *range(9, 14)]] = True
 BLOCK = 512
 #: The filter of the documents that share a bucket has this many bits at most.
 FILTER_BITS = 1 << 25
+#: Bits of a bitmap of Spark's bitmap_construct_agg.
+_BUCKET_BITS = 1 << 15
 _STEP = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -307,11 +309,13 @@ def _packed_texts(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame, a
     """
     spark = docs.sparkSession
     there = ids.count()
-    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(12, (16 * max(there, 1)).bit_length()))
+    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(_BUCKET_BITS.bit_length() - 1, (16 * max(there, 1)).bit_length()))
     spots = ids.select(F.explode(F.array(*(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(bits)) for k in (1, 2)))).alias("p"))
-    words = spots.groupBy((F.col("p") / 8).cast("long").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("p") % 8).cast("int"))).alias("b")).toArrow()
-    table = np.zeros(bits // 8, dtype=np.uint8)
-    table[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    # Bitmaps of 4 KiB are put together by the cluster: the driver gets bits / _BUCKET_BITS rows at most.
+    buckets = spots.groupBy(F.floor(F.col("p") / _BUCKET_BITS).alias("w")).agg(F.bitmap_construct_agg(F.col("p") % _BUCKET_BITS).alias("b")).collect()
+    table = np.zeros((bits // _BUCKET_BITS, _BUCKET_BITS // 8), dtype=np.uint8)
+    for r in buckets:
+        table[r.w] = np.frombuffer(r.b, dtype=np.uint8)
     shared = spark.sparkContext.broadcast(table.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -256,3 +256,13 @@ def test_vectors_of_a_skewed_table(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = embedding_dedup.near_duplicates(df).agg(F.sum("n_links")).first()[0]
     assert 0.985 * want <= got <= want
+
+
+@pytest.mark.parametrize("n_ids", [0, 5, 9000])
+def test_filter_lets_through_all_ids_and_few_others(spark, n_ids):
+    docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    ids = spark.range(n_ids).select((F.col("id") * 2).alias("id"))
+    got = {r.id for r in minhash_dedup._packed_texts(docs, "doc_id", "text", ids, None).select("id").collect()}
+    wanted = {2 * k for k in range(n_ids)}
+    assert wanted <= got
+    assert len(got - wanted) <= 0.05 * (20000 - n_ids)
