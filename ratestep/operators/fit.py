@@ -210,8 +210,8 @@ def virtual_rates(rows: DataFrame, kind: str, max_boundaries: int = 10) -> DataF
     """(series_id, k, rate, rate_std) as ratios of evidences with virtual events: the slow second opinion."""
 
     def one(r: dict) -> list[dict]:
-        m1, m2 = seg.virtual_spike_rate(model_of(r, kind), max_boundaries)
-        return [{"k": k, "rate": float(a), "rate_std": float(np.sqrt(max(b - a * a, 0)))} for k, (a, b) in enumerate(zip(m1, m2, strict=True))]
+        mean, var = seg.virtual_spike_moments(model_of(r, kind), max_boundaries)
+        return [{"k": k, "rate": float(a), "rate_std": float(np.sqrt(v))} for k, (a, v) in enumerate(zip(mean, var, strict=True))]
 
     return kernel(rows, one, "series_id string, k int, rate double, rate_std double")
 

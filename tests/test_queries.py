@@ -39,6 +39,19 @@ def test_query_equals_sql(spark, sf, con, name):
             assert (got[c].str[:19] == want[c].str[:19]).all(), c
 
 
+def test_virtual_events_equal_sql_at_large_counts(spark, tmp_path):
+    """About 20,000 events a day; every digit that the query returns."""
+    path, con = f"{tmp_path}/events.parquet", duckdb.connect()
+    day = "pmod(hash(id), 30) + IF(pmod(id, 97) = 0, 30, 0) / 4"
+    spark.range(600_000).selectExpr("'a' AS event_type", f"timestamp_ntz'2024-01-01' + make_dt_interval(cast({day} AS int)) AS ts").coalesce(1).write.parquet(path)
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/*.parquet'")
+    got, want = ordered(catalog.virtual_events(spark, str(tmp_path)).toPandas()), ordered(con.execute(catalog.ORACLE["virtual_events"]).df())
+    assert list(got.columns) == list(want.columns) and len(got) == len(want) == 30
+    got, want = got.sort_values("k"), want.sort_values("k")
+    for c, digit in (("k", 0), ("rate", 1e-6), ("rate_std", 1e-4)):
+        assert np.allclose(got[c].to_numpy(), want[c].to_numpy(), rtol=0, atol=1.01 * digit), c
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
 def test_query_runs(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).limit(5).count() > 0
